@@ -1,0 +1 @@
+"""Spark-native sequence and interval analytics."""

@@ -1,0 +1 @@
+"""Column builders: sequences, strings, statistics, variants."""

@@ -1,0 +1 @@
+"""Ready-made pipelines."""
