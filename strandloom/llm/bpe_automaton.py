@@ -30,8 +30,8 @@ from strandloom.llm.common import id_and_text, map_rows, small_batches
 #: Fixed value: the published pattern that splits text before the merges; White_Space is what \s means there.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-#: White space by the pattern or by Python; closing marks of which one alone is a word of the pattern.
-WHITE, CLOSING = {c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\p{White_Space}", c)}, set(".,;:!?")
+#: White space by the pattern or by Python; marks of which a run after letters is one word of the pattern.
+WHITE, MARKS = {c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\p{White_Space}", c)}, "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 #: Entries of a worker cache, and the longest string that is kept in one.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
@@ -45,24 +45,43 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class MergeAutomaton:
-    """The compiled merges of a byte-level BPE file of the tokenizers library."""
+class Labels:
+    """The labels of a byte-level BPE file of the tokenizers library: all that decoding needs."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        symbols, vocab = byte_symbols(), spec["model"]["vocab"]
-        size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
-        self.labels: list[bytes] = [b""] * size
-        for word, i in vocab.items():
+            self.spec = json.load(f)
+        symbols, self.vocab = byte_symbols(), self.spec["model"]["vocab"]
+        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.labels: list[bytes] = [b""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
+        for word, i in self.vocab.items():
             self.labels[i] = bytes(symbols[c] for c in word)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for word, i in self.special.items():
             self.labels[i] = word.encode()
+        lengths = np.array([len(x) for x in self.labels], np.int64)
+        self.label_bytes, self.label_len, self.label_start = np.frombuffer(b"".join(self.labels), np.uint8), lengths, np.cumsum(lengths) - lengths
+
+    def decode(self, ids: bytes) -> str:
+        """Labels of the arcs, one after the other; what is no UTF-8 becomes the replacement character."""
+        out, every = [], np.frombuffer(ids, "<u4")
+        for at in range(0, len(every), 1 << 18):
+            part = every[at : at + (1 << 18)]
+            lengths = self.label_len[part]
+            ends = np.cumsum(lengths)
+            out.append(self.label_bytes[np.arange(ends[-1]) + np.repeat(self.label_start[part] - ends + lengths, lengths)].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
+
+
+class MergeAutomaton(Labels):
+    """The compiled merges."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocab, size = self.vocab, len(self.labels)
         self.left, self.right, self.step = [-1] * size, [-1] * size, [-1] * size
         self.merged_at: dict[int, int] = {}
         self.table: dict[int, bool] = {}
-        for step, merge in enumerate(spec["model"]["merges"]):
+        for step, merge in enumerate(self.spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self._gadget(step, vocab[a], vocab[b], vocab[a + b])
         self.trie: dict = {}
@@ -79,8 +98,7 @@ class MergeAutomaton:
         self.cut_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.words = Cache(self._word)
         self.chunks = Cache(self._chunk)
-        lengths = np.array([len(x) for x in self.labels], np.int64)
-        self.label_bytes, self.label_len, self.label_start = np.frombuffer(b"".join(self.labels), np.uint8), lengths, np.cumsum(lengths) - lengths
+        del self.spec
 
     def _gadget(self, step: int, a: int, b: int, c: int) -> None:
         if self.step[c] >= 0:
@@ -105,7 +123,7 @@ class MergeAutomaton:
                 before, t = step[t] + 1, left[t]
             else:  # the state behind s was copied from that behind its right part, before its own gadget
                 before, s = step[s], right[s]
-        if len(self.table) > 4 * CACHE_ENTRIES:
+        if len(self.table) > 1_000_000:
             self.table.clear()
         self.table[key] = stands
         return stands
@@ -149,6 +167,9 @@ class MergeAutomaton:
         return array("I", ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
+        word = text.rstrip(MARKS)
+        if word.isalpha():
+            return self.words[word] + self.words[text[len(word) :]] if word != text else self.words[text]
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def _chunk(self, chunk: str) -> bytes | None:
@@ -157,8 +178,12 @@ class MergeAutomaton:
             return self._word(" " + chunk)
         if not chunk or chunk[0] in WHITE or any(s in chunk for s in self.special):
             return None
-        if chunk[-1] in CLOSING and chunk[:-1].isalpha():
-            return self._word(" " + chunk[:-1]) + self.words[chunk[-1]]
+        above, feed, below = chunk.partition("\n")
+        if feed and above and below and above[-1] not in WHITE and below[0] not in WHITE:  # a lone line feed is a word
+            return self.chunks[above] + self.words[feed] + self._plain(below)
+        word = chunk.rstrip(MARKS)
+        if word != chunk and word.isalpha():
+            return self.chunks[word] + self.words[chunk[len(word) :]]
         return self._plain(" " + chunk)
 
     def encode(self, text: str) -> bytes:
@@ -172,16 +197,6 @@ class MergeAutomaton:
             return self._plain(text)
         return b"".join(struct.pack("<I", self.special[part]) if part in self.special else self._plain(part) for part in self.cut_special(text) if part)
 
-    def decode(self, ids: bytes) -> str:
-        """Labels of the arcs, one after the other; what is no UTF-8 becomes the replacement character."""
-        out, every = [], np.frombuffer(ids, "<u4")
-        for at in range(0, len(every), 1 << 18):
-            part = every[at : at + (1 << 18)]
-            lengths = self.label_len[part]
-            ends = np.cumsum(lengths)
-            out.append(self.label_bytes[np.arange(ends[-1]) + np.repeat(self.label_start[part] - ends + lengths, lengths)].tobytes())
-        return b"".join(out).decode("utf-8", "replace")
-
 
 class Cache(dict):
     """A worker's cache of fixed size: emptied when full, so its size does not follow the corpus."""
@@ -200,6 +215,7 @@ class Cache(dict):
 
 
 _LOADED: dict[str, MergeAutomaton] = {}
+_LABELS: dict[str, Labels] = {}
 
 
 def automaton(path: str) -> MergeAutomaton:
@@ -209,6 +225,12 @@ def automaton(path: str) -> MergeAutomaton:
     return _LOADED[path]
 
 
+def labels(path: str) -> Labels:
+    if path not in _LABELS:
+        _LABELS[path] = Labels(path)
+    return _LABELS[path]
+
+
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_tokens, ids (packed little-endian unsigned 32-bit integers)."""
     small_batches(df.sparkSession)
@@ -225,7 +247,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     small_batches(encoded.sparkSession)
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "n_tokens": batch.column(1), "ids": batch.column(2), "text": [automaton(path).decode(x or b"") for x in batch.column(2).to_pylist()]}
+        return {"doc_id": batch.column(0), "n_tokens": batch.column(1), "ids": batch.column(2), "text": [labels(path).decode(x or b"") for x in batch.column(2).to_pylist()]}
 
     return map_rows(encoded.select("doc_id", "n_tokens", "ids"), kernel, "doc_id long, n_tokens long, ids binary, text string")
 
