@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 _LANCZOS = np.array(  # fixed values: coefficients of the Lanczos approximation, g = 7
     [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
@@ -82,7 +81,7 @@ def _tail(which: int):
             out = gamma_tails(a.to_numpy(float), x.to_numpy(float))[which]
             yield pd.Series(out).where(~np.isnan(out), None)
 
-    return F.pandas_udf(run, "double", PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "double")
 
 
 def _lower(a: Column, x: Column) -> Column:

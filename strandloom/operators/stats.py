@@ -35,7 +35,7 @@ def bh_threshold(df: DataFrame, p: str, q: float, mode: str = "zero_based", tie:
     """df with threshold for each p-value.
 
     ``zero_based``: rank / N * q with ranks from 0, compared value by value. ``standard``: the step-up procedure:
-    the largest p-value that stays below (rank + 1) / N * q is the threshold of all. Meant for one row a gene: the
+    the largest (rank + 1) / N * q that its p-value stays below is the threshold of all. Meant for one row a gene: the
     ranks need one order over all rows.
     """
     everything = Window.partitionBy(F.lit(0))
@@ -44,7 +44,7 @@ def bh_threshold(df: DataFrame, p: str, q: float, mode: str = "zero_based", tie:
     if mode == "zero_based":
         return df.withColumn("threshold", (rank - 1) / n * F.lit(q))
     if mode == "standard":
-        passing = F.when(F.col(p) <= F.col("_own"), F.col(p))
+        passing = F.when(F.col(p) <= F.col("_own"), F.col("_own"))
         return df.withColumn("_own", rank / n * F.lit(q)).withColumn("threshold", F.max(passing).over(everything)).drop("_own")
     raise ValueError(f"mode {mode}")
 

@@ -14,7 +14,7 @@ GAMMA = "map<string,struct<N:bigint,k:double,theta:double>>"
 
 def read_tsv(spark: SparkSession, path: str, header: bool = True, columns: list[str] = ()) -> DataFrame:
     """A tab-separated file of texts without quoting; a column of columns that is not there raises ValueError."""
-    df = spark.read.option("sep", "\t").option("quote", "").option("escape", "").option("nullValue", "\0").option("emptyValue", "").csv(path, header=header, inferSchema=False)
+    df = spark.read.option("sep", "\t").option("quote", "").option("escape", "").csv(path, header=header, inferSchema=False).na.fill("")
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"{path} has no column {missing[0]}")
     return df.select(*(f"`{c}`" for c in columns)) if columns else df

@@ -80,7 +80,7 @@ def format_values(key: str, kind: str = "string") -> Column:
 
 def genotypes(field: Column) -> Column:
     """(allele, phased, missing) of each part of a genotype; a missing allele is -1; the first part is as phased as the second."""
-    parts = F.regexp_extract_all(field, F.lit(r"[|/]?(?:\d+|\.)"))
+    parts = F.regexp_extract_all(field, F.lit(r"[|/]?(?:\d+|\.)"), F.lit(0))
     one = lambda x: F.regexp_replace(x, "^[|/]", "")
     phased = lambda x, i: F.when(i == 0, F.coalesce(F.try_element_at(parts, F.lit(2)).startswith("|"), F.lit(False))).otherwise(x.startswith("|"))
     return F.transform(parts, lambda x, i: F.struct(F.coalesce(one(x).try_cast("int"), F.lit(-1)).alias("allele"), phased(x, i).alias("phased"), (one(x) == ".").alias("missing")))
