@@ -25,7 +25,8 @@ ORACLE_SQL = None
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs but for the ids in rejected, with all their columns."""
-    return docs.join(rejected.select(F.col("doc_id").alias("rejected_id")), F.col("doc_id") == F.col("rejected_id"), "left_anti")
+    gone = rejected.select(F.col("doc_id").alias("rejected_id"))
+    return docs.join(gone, docs["doc_id"] == gone["rejected_id"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,7 +154,8 @@ def index(vectors: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, Da
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).collect()
     routing = {}
     for dim, (most, n) in totals.items():
-        own = np.array([np.frombuffer(row.v, np.int64) for row in sample if row.dim == dim], np.int64).reshape(-1, dim)
+        own = [np.frombuffer(row.v, np.int64) for row in sample if row.dim == dim]
+        own = np.array(own, np.int64).reshape(len(own), dim)
         own = own if len(own) else np.zeros((1, dim), np.int64)
         extra = np.sqrt(np.maximum(0.0, most - (own * own).sum(1).astype(float)))
         rows = max(tree_rows, -(-n // TREES))
