@@ -9,7 +9,9 @@
 4. Buckets that still hold more than one component are not given up: all their members are joined exactly by
    prefix filtering. Shingles are ordered from rare to frequent among these members; two sets that reach the
    threshold share one of their rarest ``n - ceil(threshold * n) + 1`` shingles. Shingles that one member alone
-   has need no partner, and members of one component are not compared again.
+   has need no partner. The members of a list of such a shingle are compared inside tasks, by products of small
+   incidence matrices, and only links come out. Long lists that share members are united to groups first and
+   compared block by block, so no task and no row holds a group, and no pair of it is ever a row.
 5. Components of all confirmed links go back to the documents.
 
 Every link that shares a band is found or bridged by a path of confirmed links. A pair at the threshold of 0.8
@@ -21,7 +23,7 @@ without an id never represent a class. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,10 @@ from strandloom.llm.common import cut, id_and_text, map_rows, small_batches
 from strandloom.llm.components import connected_components
 
 BANDS, BAND_ROWS = 30, 4
+#: Members of a list, and of a block of a longer one, that one task compares at a time; columns of its matrices.
+LIST, COLUMNS = 256, 4096
+#: Members of a group of lists that is compared as a whole.
+MODEST = 8 * LIST
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]  # fixed values: mixing multipliers
 
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
@@ -106,16 +112,17 @@ def sketched(rows: DataFrame, width: int, bands: int, band_rows: int) -> DataFra
 
 
 def full_sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and the packed shingles of the documents in ids, once each."""
+    """doc_id, leads and the packed shingles of the documents in ids (doc_id, leads), once each."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "items": [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]}
+        return {"doc_id": batch.column(0), "leads": batch.column(1), "items": [shingles(t, width).tobytes() for t in batch.column(2).to_pylist()]}
 
-    return map_rows(rows.join(ids, "doc_id", "left_semi"), kernel, "doc_id long, items binary").dropDuplicates(["doc_id"])
+    once = rows.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"])  # the join has brought equal ids together
+    return map_rows(once.select("doc_id", "leads", "text"), kernel, "doc_id long, leads boolean, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold; b leads a bucket."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         a, b, kept = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
@@ -126,7 +133,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(i)
         return {"a": [a[i] for i in kept], "b": [b[i] for i in kept]}
 
-    left, right = (sets.select(F.col("doc_id").alias(end), F.col("items").alias(f"items_{end}")) for end in "ab")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), sets.where("leads").select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
     return map_rows(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "items_a", "items_b"), kernel, "a long, b long")
 
 
@@ -147,17 +154,17 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     buckets = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", F.col("leader.doc_id").alias("b"), F.col("leader.n").alias("n_b"))
     members = cut(banded.join(buckets.hint("merge"), "key"), "members")
 
+    own = F.max(F.col("doc_id") == F.col("b"))
+    sets = cut(full_sets(rows, members.groupBy("doc_id").agg(own.alias("leads")), width), "sets")
     star = members.where((F.col("doc_id") != F.col("b")) & fits("n", "n_b")).select(F.col("doc_id").alias("a"), "b").distinct()
-    star = cut(star, "star")
-    ends = lambda pairs: pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    links = cut(confirmed(star, full_sets(rows, ends(star), width), percent), "links")
+    links = cut(confirmed(star, sets, percent), "links")
     labels = connected_components(links)
 
     labelled = members.select("key", "doc_id", "n").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = cut(labelled.join(mixed.hint("merge"), "key").select("doc_id", "n", "component").distinct(), "rest")
-    links = links.unionByName(links_of_rest(rest, full_sets(rows, rest.select("doc_id"), width), percent))
+    links = links.unionByName(links_of_rest(rest, sets, percent))
     components = connected_components(links)
 
     found = classes.join(components.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
@@ -166,26 +173,88 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def links_between(sets: list[np.ndarray], components: list[int], blocks: list[int], percent: int) -> list[tuple[int, int]]:
+    """Index pairs of sets that reach the threshold, of different components and, if there are two blocks, across them."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), sizes), counts > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(column, (at, at + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[low:high], column[low:high] - at] = 1
+        common += has @ has.T
+    common = common.astype(np.int64)
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    of, block = np.array(components), np.array(blocks)
+    linked &= of[:, None] != of[None, :]
+    if len(set(blocks)) > 1:
+        linked &= block[:, None] != block[None, :]
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)]
+
+
+def united(listed: DataFrame) -> DataFrame:
+    """grp, doc_id, size: the members of lists (doc_id, b) that are joined by shared members."""
+    found = connected_components(listed.select(F.col("doc_id").alias("a"), "b").distinct()).select(F.col("component").alias("grp"), F.col("id").alias("doc_id"))
+    return found.join(found.groupBy("grp").agg(F.count("*").alias("size")).hint("merge"), "grp")
+
+
 def links_of_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All confirmed links (a, b) between different components of rest, by prefix filtering over its full sets."""
-    fits = similar_sizes(percent)
-    sets = cut(sets, "sets")
+    """All links (a, b) between different components of rest, by prefix filtering over its full sets."""
+    own = sets.select("doc_id", "items").join(rest.select("doc_id", "component"), "doc_id")
 
-    def kernel(batch: pa.RecordBatch) -> dict:
+    def spread(batch: pa.RecordBatch) -> dict:
         ids, items = batch.column(0).to_pylist(), [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        return {"doc_id": pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in items])), "item": pa.array(np.concatenate(items) if items else np.empty(0, np.int64))}
+        sizes = [len(x) for x in items]
+        return {"doc_id": pa.array(np.repeat(np.array(ids, np.int64), sizes)), "item": pa.array(np.concatenate(items) if items else np.empty(0, np.int64)), "n": pa.array(np.repeat(np.array(sizes, np.int32), sizes))}
 
-    spread = map_rows(sets, kernel, "doc_id long, item long")
-    frequency = spread.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    shared = spread.join(frequency.hint("merge"), "item").join(rest, "doc_id")
+    every = map_rows(own.select("doc_id", "items"), spread, "doc_id long, item long, n int")
+    frequency = every.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    shared = every.join(frequency.hint("merge"), "item")
     # The shingles that no other member has come first in a prefix and fill part of it.
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "item")) + F.col("n") - F.count("*").over(Window.partitionBy("doc_id"))
+    of_doc = Window.partitionBy("doc_id")
+    place = F.row_number().over(of_doc.orderBy("df", "item")) + F.col("n") - F.count("*").over(of_doc)
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    posted = cut(shared.withColumn("place", place).where(F.col("place") <= prefix).select("item", "doc_id", "n", "component"), "postings")
-
-    # In a posting list the largest component is only compared with the others.
-    counts = posted.groupBy("item", "component").agg(F.count("*").alias("members"))
-    largest = counts.groupBy("item").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("components")).where("components > 1").select("item", F.col("top.component").alias("top"))
-    others = posted.join(largest.hint("merge"), "item").where("component <> top").select("item", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    pairs = others.join(posted.hint("merge"), "item").where((F.col("component") != F.col("of_a")) & fits("n", "n_a")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-    return confirmed(cut(pairs, "pairs"), sets, percent)
+    posted = shared.withColumn("place", place).where(F.col("place") <= prefix).select("item", "doc_id").join(rest.select("doc_id", "component"), "doc_id")
+    posted = cut(posted, "postings")
+    # Lists with the same members are one list: compared by size, smallest member and two 64-bit hashes of them all.
+    members = [F.count("*").alias("size"), F.min("doc_id").alias("b"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")]
+    lists = posted.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), *members).where("low < high")
+    lists = lists.groupBy("size", "b", "x", "y").agg(F.min("item").alias("item")).select("item", "size", "b")
+    listed = cut(posted.join(lists.hint("merge"), "item").select("item", "doc_id", "size", "b"), "lists")
+    # Lists that hang together are one group as long as that is of modest size: a member then travels a few times only.
+    groups = united(listed)
+    modest = groups.where(F.col("size") <= MODEST).select(F.lit(2).alias("kind"), "grp", "doc_id", F.ceil(F.col("size") / F.lit(LIST)).alias("blocks"))
+    large = listed.join(groups.where(F.col("size") > MODEST).select("doc_id"), "doc_id", "left_semi")
+    short = large.where(F.col("size") <= LIST).select(F.lit(0).alias("kind"), F.col("item").alias("grp"), "doc_id", F.lit(1).cast("long").alias("blocks"))
+    long = united(large.where(F.col("size") > LIST)).select(F.lit(1).alias("kind"), "grp", "doc_id", F.ceil(F.col("size") / F.lit(LIST)).alias("blocks"))
+    placed = modest.unionByName(short).unionByName(long)
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    with_other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"))))
+    dealt = placed.withColumn("block", block).withColumn("cell", with_other).select("kind", "grp", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", "doc_id")
+    key = ["kind", "grp", "i", "j"]
+    cells = dealt.join(own.hint("merge"), "doc_id").select(*key, "block", "doc_id", "component", "items").repartition(*key).sortWithinPartitions(*key)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[tuple]) -> pa.RecordBatch:
+            ids = [row[1] for row in held]
+            found = links_between([np.frombuffer(row[3], np.uint64) for row in held], [row[2] for row in held], [row[0] for row in held], percent) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())], names=["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            for *cell, block, doc_id, component, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != now:
+                    if held:
+                        yield out(held)
+                    now, held = cell, []
+                held.append((block, doc_id, component, items))
+        if held:
+            yield out(held)
+
+    return cells.mapInArrow(compare, "a long, b long").distinct()
