@@ -42,7 +42,9 @@ ASIDE_TAGS = frozenset("head nav footer aside form button select option dialog m
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promos promoted promotion comment comments commentlist reply replies disqus respond sidebar sidenav rail nav navbar navigation menu menubar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget toolbar footer copyright colophon masthead skip complementary contentinfo search".split()
 )
+#: A class of these words alone, one of the first two among them, is the head of a site and not of an article.
 HEAD_WORDS = frozenset(["header", "topbar"])
+HEAD_PARTS = HEAD_WORDS | frozenset("site page top main global wrapper container bar inner".split())
 #: Share of the mean that a path's smoothed value must reach, and of the selected text that the article holds.
 THRESHOLD, HOLDS = 0.5, 0.7
 
@@ -68,7 +70,7 @@ def is_aside(tag: str, attributes: str, parent: Element) -> bool:
             return True
         if name in ("class", "id", "role"):
             words = set(NAMES.findall(value))
-            if words & ASIDE_WORDS and not (tag in ("article", "main") and not words & {"comment", "comments", "reply"}) or words & HEAD_WORDS and not parent.article:
+            if words & ASIDE_WORDS and not (tag in ("article", "main") and not words & {"comment", "comments", "reply"}) or not parent.article and any((own := set(NAMES.findall(c))) & HEAD_WORDS and own <= HEAD_PARTS for c in value.split()):
                 return True
     return False
 
