@@ -242,6 +242,59 @@ def kmer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer_bias.score_samples(_cycles(spark, sf_dir))
 
 
+# The same over whole texts: each is cut into reads of 50 letters, the first is read1, the next read2, and so on
+
+
+WHOLE_CYCLES = f"""
+    s AS (SELECT source AS sample, {PURE} AS seq FROM documents),
+    b AS (SELECT sample, seq, unnest(range(0, (length(seq) + 49) // 50)) AS i FROM s),
+    r AS (SELECT sample, CASE WHEN i % 2 = 0 THEN 'read1' ELSE 'read2' END AS read, substr(seq, i * 50 + 1, 50) AS seq FROM b),
+    w AS (SELECT sample, read, seq, unnest(range(0, length(seq) - 2)) AS pos FROM r WHERE length(seq) >= 3),
+    k AS (SELECT sample, read, pos, substr(seq, pos + 1, 3) AS kmer FROM w),
+    c AS (SELECT sample, read, strand, pos, kmer, count(*) AS n FROM (
+        SELECT sample, read, 'fwd' AS strand, pos, kmer FROM k UNION ALL SELECT sample, read, 'rev', pos, {RC} FROM k) GROUP BY ALL)"""
+
+
+def _whole_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = F.regexp_extract_all(pure("text"), F.lit(".{1,100}"), F.lit(0))  # one pass over a text, however long
+    pairs = read(spark, sf_dir, "documents").select(F.col("source").alias("sample"), F.explode(pieces).alias("piece"))
+    return kmer_bias.kmer_cycle_counts(pairs.select("sample", F.substring("piece", 1, 50).alias("seq_1"), F.substring("piece", 51, 50).alias("seq_2")), 3)
+
+
+@query(f"WITH {WHOLE_CYCLES} SELECT * FROM c")
+def kmer_cycle_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_cycles(spark, sf_dir).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
+
+
+@query(f"WITH {WHOLE_CYCLES} SELECT sample, read, strand, pos, kmer, round(n / sum(n) OVER (PARTITION BY sample, read, strand, pos), 6) AS p FROM c")
+def kmer_distribution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_bias.distributions(_whole_cycles(spark, sf_dir)).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {WHOLE_CYCLES} SELECT 'all' AS sample, read, strand, pos, kmer, sum(n)::BIGINT AS n FROM c GROUP BY ALL")
+def kmer_merge_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_bias.merge_counts(_whole_cycles(spark, sf_dir), sample="all").select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
+
+
+@query(f"WITH {WHOLE_CYCLES}, {POOL}, {KLD} SELECT sample, read, pos, round(kld, 6) AS kld FROM d")
+def kmer_kl_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _whole_cycles(spark, sf_dir)
+    return kmer_bias.against_global(counts, kmer_bias.global_distribution(counts)).withColumn("kld", F.round("kld", 6))
+
+
+@query(f"""WITH {WHOLE_CYCLES}, {POOL}, {KLD}, m AS (SELECT read, pos, {GAMMA_SUMS} FROM (SELECT read, pos, kld AS x FROM d WHERE kld > 0) GROUP BY ALL HAVING count(*) > 1),
+    f AS (SELECT *, n * sx / (n * sxl - sl * sx) AS k0 FROM m) SELECT read, pos, n AS gamma_n, {GAMMA_K}, {GAMMA_T} FROM f""")
+def kmer_gamma_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _whole_cycles(spark, sf_dir)
+    places = kmer_bias.against_global(counts, kmer_bias.global_distribution(counts))
+    return stats.gamma_fit(places, "kld", ["read", "pos"]).where("gamma_n > 1").select("read", "pos", "gamma_n", F.round("k", 6).alias("k"), F.round("theta", 6).alias("theta"))
+
+
+@query()
+def kmer_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_bias.score_samples(_whole_cycles(spark, sf_dir))
+
+
 # Intervals
 
 

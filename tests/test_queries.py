@@ -1,6 +1,7 @@
 """Every query of the library against its SQL, and the driver contract."""
 
 import importlib
+import re
 import sys
 
 import duckdb
@@ -39,6 +40,13 @@ def test_scores_have_rows(spark, tiny):
     assert library.queries()["kmer_scores"](spark, tiny).count() > 0
 
 
+def test_whole_texts_give_every_letter_to_a_read(spark, tiny, sql):
+    letters = [len(re.sub("[^a-z]+", "", text.lower())) for (text,) in sql.execute("SELECT text FROM documents").fetchall()]
+    want = 2 * sum(max(0, min(50, n - at) - 2) for n in letters for at in range(0, n, 50))
+    assert library.queries()["kmer_cycle_counts_whole"](spark, tiny).agg({"n": "sum"}).first()[0] == want
+    assert library.queries()["kmer_scores_whole"](spark, tiny).count() > 0
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["kmer", "n"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
