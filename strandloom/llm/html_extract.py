@@ -3,8 +3,8 @@
 A page is read into text nodes, each with the path of tags from the root to it. For every path of the page the
 text length and the punctuation of its nodes are summed; both ratios are taken to the number of nodes and fused;
 the values are smoothed over neighbouring nodes in page order; paths whose mean reaches the threshold select
-content nodes. The smallest element that holds most of the selected text is the article, and its blocks (short
-ones too) are the result. Parts that say what they are (navigation, forms, adverts, comments) never take part.
+content nodes. The lowest container (article, main, section, div, body) around all selected nodes, or the article,
+main or part with the h1 around that, is the article, and its blocks (short ones too) are the result. Parts that say what they are (navigation, forms, adverts, comments) never take part.
 
 The operator is one pass over the pages without a shuffle; a page is never split or cut. A null or empty html, or
 one without content, gives an empty text. Rows that repeat an id are extracted one by one; other columns are not
@@ -45,18 +45,19 @@ ASIDE_WORDS = frozenset(
 #: A class of these words alone, one of the first two among them, is the head of a site and not of an article.
 HEAD_WORDS = frozenset(["header", "topbar"])
 HEAD_PARTS = HEAD_WORDS | frozenset("site page top main global wrapper container bar inner".split())
-#: Share of the mean that a path's smoothed value must reach, and of the selected text that the article holds.
-THRESHOLD, HOLDS = 0.5, 0.7
+#: What can be the article; the empty tag is the root of a page.
+CONTAINERS = frozenset(["article", "main", "section", "div", "body", ""])
+#: Share of the mean that a path's smoothed value must reach.
+THRESHOLD = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "aside", "article", "chars", "depth")
+    __slots__ = ("tag", "parent", "path", "aside", "article")
 
     def __init__(self, tag: str, parent: Element | None, aside: bool):
-        self.tag, self.parent, self.aside, self.chars = tag, parent, aside, 0
+        self.tag, self.parent, self.aside = tag, parent, aside
         self.path = tag if parent is None else f"{parent.path}/{tag}"
         self.article = tag in ("article", "main") or parent is not None and parent.article
-        self.depth = 0 if parent is None else parent.depth + 1
 
 
 def is_aside(tag: str, attributes: str, parent: Element) -> bool:
@@ -147,6 +148,32 @@ def text_blocks(html: str) -> list[tuple[Element, str]]:
     return blocks
 
 
+def lineage(element: Element | None) -> list[Element]:
+    """The element and those around it, inside out."""
+    out = []
+    while element is not None:
+        out.append(element)
+        element = element.parent
+    return out
+
+
+def container(selected: list[Element], every: list[Element]) -> Element:
+    """The article: the lowest container around all selected blocks, or the article, main or headed part around that."""
+    shared, seen = lineage(selected[0]), set()
+    for element in selected:
+        if id(element) not in seen:
+            seen.add(id(element))
+            own = set(map(id, lineage(element)))
+            shared = [e for e in shared if id(e) in own]
+    held = [e for e in shared if e.tag in CONTAINERS]
+    for tag in ("article", "main"):
+        for e in held:
+            if e.tag == tag:
+                return e
+    headed = {id(e) for line in map(lineage, every) if any(x.tag == "h1" for x in line) for e in line}
+    return next((e for e in held if id(e) in headed), held[0])
+
+
 def content(blocks: list[tuple[Element, str]]) -> list[str]:
     """The blocks of the article, in page order."""
     if not blocks:
@@ -163,21 +190,8 @@ def content(blocks: list[tuple[Element, str]]) -> list[str]:
     smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
     weight = np.array([len(text) for _, text in blocks], float)
     least = THRESHOLD * float((smooth * weight).sum() / weight.sum())
-    total = 0
-    for path, of_path in paths.items():
-        if smooth[of_path].mean() >= least:
-            for i in of_path:
-                element, text = blocks[i]
-                total += len(text)
-                while element is not None:
-                    element.chars += len(text)
-                    element = element.parent
-    seen: dict[int, Element] = {}
-    for element, _ in blocks:
-        while element is not None:
-            seen[id(element)] = element
-            element = element.parent
-    article = max((e for e in seen.values() if e.chars >= HOLDS * total and (e.tag in BLOCKS or not e.tag) and e.tag not in ("p", "li", "td", "tr", "h1", "h2", "h3")), key=lambda e: (e.depth, e.chars))
+    selected = [blocks[i][0] for of_path in paths.values() if smooth[of_path].mean() >= least for i in of_path]
+    article = container(selected or [element for element, _ in blocks], [element for element, _ in blocks])
     out = []
     for element, text in blocks:
         up = element

@@ -182,6 +182,21 @@ def test_main_text_of_broken_pages(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = "A long part, with marks, that goes on for a while: so it is content, and more."
+
+
+@pytest.mark.parametrize("part", [f"<{t}>" + f"<{i}>{LONG}</{i}>" * 10 + f"</{t}>" for t, i in (("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("dl", "dd"), ("section", "p"), ("div", "p"))] + ["<table>" + f"<tr><td>{LONG}</td></tr>" * 10 + "</table>"])
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_title_and_lead_stay_beside_a_long_part(part, around):
+    got = html_extract.main_text(f"<html><body><nav><a>Home</a></nav><{around}><h1>T</h1><p>intro</p>{part}</{around}></body></html>")
+    assert got.split("\n\n") == ["T", "intro"] + [LONG] * 10
+
+
+def test_no_selected_block_is_dropped():
+    got = html_extract.main_text(f"<body><div>{f'<p>{LONG}</p>' * 9}</div><section><p>{LONG}</p></section></body>")
+    assert got.split("\n\n") == [LONG] * 10
+
+
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", PAGE, "x"), (3, "u", PAGE, "x"), (4, "u", "<p>" + "a, " * 100_000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: len(r.text) for r in html_extract.extract(df).collect()}
