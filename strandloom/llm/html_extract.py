@@ -4,7 +4,8 @@ A page is read into text nodes, each with the path of tags from the root to it.
 text length and the punctuation of its nodes are summed; both ratios are taken to the number of nodes and fused;
 the values are smoothed over neighbouring nodes in page order; paths whose mean reaches the threshold select
 content nodes. The lowest container (article, main, section, div, body) around all selected nodes, or the article,
-main or part with the h1 around that, is the article, and its blocks (short ones too) are the result. Parts that say what they are (navigation, forms, adverts, comments) never take part.
+main or part with the h1 around that, is the article, and its blocks (short ones too) are the result. Parts that
+say what they are (navigation, forms, adverts, comments) do not take part, unless they hold the article itself.
 
 The operator is one pass over the pages without a shuffle; a page is never split or cut. A null or empty html, or
 one without content, gives an empty text. Rows that repeat an id are extracted one by one; other columns are not
@@ -38,10 +39,14 @@ BLOCKS = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 LISTS = frozenset("ul ol dl table select menu".split())
 #: Elements and the words of class, id and role that name what is no article.
-ASIDE_TAGS = frozenset("head nav footer aside form button select option dialog menu svg canvas object audio video map label input fieldset".split())
+ASIDE_TAGS = frozenset("head nav footer aside button select option dialog menu svg canvas object audio video map label input fieldset".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promos promoted promotion comment comments commentlist reply replies disqus respond sidebar sidenav rail nav navbar navigation menu menubar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget toolbar footer copyright colophon masthead skip complementary contentinfo search".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond".split())
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promos promoted promotion".split())
+#: Class names that say what a page has or lacks, and the share of a page's text by which such words are overruled.
+MODIFIER, MOST = re.compile(r"(?:has|with|without|no)[-_]"), 0.5
 #: A class of these words alone, one of the first two among them, is the head of a site and not of an article.
 HEAD_WORDS = frozenset(["header", "topbar"])
 HEAD_PARTS = HEAD_WORDS | frozenset("site page top main global wrapper container bar inner".split())
@@ -52,50 +57,94 @@ THRESHOLD = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "aside", "article")
+    __slots__ = ("tag", "parent", "path", "aside", "article", "doubt")
 
-    def __init__(self, tag: str, parent: Element | None, aside: bool):
-        self.tag, self.parent, self.aside = tag, parent, aside
+    def __init__(self, tag: str, parent: Element | None, aside: bool, doubt: str = ""):
+        self.tag, self.parent, self.aside, self.doubt = tag, parent, aside, doubt
         self.path = tag if parent is None else f"{parent.path}/{tag}"
         self.article = tag in ("article", "main") or parent is not None and parent.article
 
 
-def is_aside(tag: str, attributes: str, parent: Element) -> bool:
+def lineage(element: Element | None) -> list[Element]:
+    """The element and those around it, inside out."""
+    out = []
+    while element is not None:
+        out.append(element)
+        element = element.parent
+    return out
+
+
+def is_aside(tag: str, attributes: str, parent: Element) -> tuple[bool, str]:
+    """Whether an element is an aside by itself, and else why it may be one: form, comment, word or nothing."""
     if parent.aside or tag in ASIDE_TAGS or tag == "header" and not parent.article:
-        return True
+        return True, ""
+    doubt = "form" if tag == "form" else ""
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, doubt
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, ""
         if name in ("class", "id", "role"):
-            words = set(NAMES.findall(value))
-            if words & ASIDE_WORDS and not (tag in ("article", "main") and not words & {"comment", "comments", "reply"}) or not parent.article and any((own := set(NAMES.findall(c))) & HEAD_WORDS and own <= HEAD_PARTS for c in value.split()):
-                return True
-    return False
+            if not parent.article and any((own := set(NAMES.findall(c))) & HEAD_WORDS and own <= HEAD_PARTS for c in value.split()):
+                return True, ""
+            words = {w for c in value.split() if not MODIFIER.match(c) for w in NAMES.findall(c)}
+            if words & COMMENT_WORDS and (tag not in ("article", "main") or words & {"comment", "comments", "reply"}):
+                doubt = "comment"
+            elif words & ASIDE_WORDS and tag not in ("article", "main"):
+                doubt = "advert" if words & ADVERT_WORDS else doubt or "word"
+    return False, doubt
+
+
+def set_aside(groups: list[list[tuple[Element, str]]], opened: list[Element]) -> None:
+    """Make asides of the elements in doubt, unless they hold the article or, as sections of it, text like the rest."""
+    if not any(e.doubt for e in opened):
+        return
+    sums = defaultdict(lambda: [0, 0, 0])  # characters, punctuation, blocks
+    for group in groups:
+        touched = set()
+        for node, text in group:
+            chars, marks = len(" ".join(text.split())), len(PUNCTUATION.findall(text))
+            for e in lineage(node):
+                of_e = sums[e]
+                of_e[0] += chars
+                of_e[1] += marks
+                if e not in touched:
+                    touched.add(e)
+                    of_e[2] += 1
+    if not sums:
+        return
+    root = lineage(opened[0])[-1]
+    total = sums[root]
+    within, heads = defaultdict(int), [e for e in opened if e.tag in ("article", "main", "h1") and not e.doubt]
+    for head in heads:
+        for e in lineage(head):
+            within[e] += 1
+    for e in opened:  # outer ones first
+        e.aside = e.parent.aside
+        if e.doubt and not e.aside and e in sums:
+            (chars, marks, n), share = sums[e], sums[e][0] / max(1, total[0])
+            headed = heads and within[e] == len(heads)
+            least = MOST if e.doubt == "comment" or not heads else MOST / 2
+            holds = share >= least and (headed or not heads and e.doubt != "comment")
+            like = e.doubt == "word" and e.tag == "section" and e.parent.article and chars * (1 + marks) / n**2 >= total[0] * (1 + total[1]) / total[2] ** 2
+            e.aside = not (holds or like)
 
 
 def text_blocks(html: str) -> list[tuple[Element, str]]:
     """(element, text) for every block in page order that is not set aside; white space is one space."""
     root = Element("", None, False)
-    node, at, blocks, pieces = root, 0, [], []
-    owner = root
+    node, at, groups, pieces, opened = root, 0, [], [], []
 
     def close_block() -> None:
         nonlocal pieces
         if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
-            if text:
-                blocks.append((owner, text))
+            groups.append(pieces)
             pieces = []
 
     def add(text: str) -> None:
-        nonlocal owner
         if text and not node.aside:
-            if not pieces or not node.path.startswith(owner.path):
-                owner = node if not pieces or not text.isspace() else owner
-            pieces.append(text)
+            pieces.append((node, text))
 
     end = len(html)
     while at < end:
@@ -143,20 +192,26 @@ def text_blocks(html: str) -> list[tuple[Element, str]]:
                 node = up = up.parent
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        node = Element(tag, node, is_aside(tag, attributes, node))
+        node = Element(tag, node, *is_aside(tag, attributes, node))
+        if not node.aside:
+            opened.append(node)
     close_block()
+    groups = [group for group in groups if any(not text.isspace() for _, text in group)]
+    set_aside(groups, opened)
+    blocks = []
+    for group in groups:
+        owner, kept = root, []
+        for at_node, text in group:
+            if not at_node.aside:
+                if not kept or not at_node.path.startswith(owner.path):
+                    owner = at_node if not kept or not text.isspace() else owner
+                kept.append(text)
+        text = " ".join(entities.unescape("".join(kept)).split())
+        if text:
+            blocks.append((owner, text))
     return blocks
 
 
-def lineage(element: Element | None) -> list[Element]:
-    """The element and those around it, inside out."""
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out
-
-
 def container(selected: list[Element], every: list[Element]) -> Element:
     """The article: the lowest container around all selected blocks, or the article, main or headed part around that."""
     shared, seen = lineage(selected[0]), set()

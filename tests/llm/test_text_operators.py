@@ -197,6 +197,18 @@ def test_no_selected_block_is_dropped():
     assert got.split("\n\n") == [LONG] * 10
 
 
+@pytest.mark.parametrize("wrapper", ["div id='page' class='has-sidebar'", "div class='with-ads'", "div class='no-comments'", "div class='content social-theme'", "form action='/'", "div class='comments-open'"])
+def test_wrapper_with_a_word_of_asides_keeps_the_article(wrapper):
+    junk = "<div class='related'><article><p>Other, page.</p></article></div><div class='comments'><p>I agree, with all of it.</p></div><form><p>Subscribe, please.</p></form>"
+    got = html_extract.main_text(f"<body><{wrapper}><article><h1>T</h1>{f'<p>{LONG}</p>' * 5}</article>{junk}</{wrapper.split()[0]}></body>")
+    assert got.split("\n\n") == ["T"] + [LONG] * 5
+
+
+def test_section_of_an_article_stays_and_links_go():
+    got = html_extract.main_text(f"<body><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><section id='related-work'><p>{LONG} {LONG}</p></section><section class='related'><p>One</p><p>Two</p></section><section class='comments'><p>{LONG}</p></section></article></body>")
+    assert got.split("\n\n") == ["T", LONG, LONG, f"{LONG} {LONG}"]
+
+
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", PAGE, "x"), (3, "u", PAGE, "x"), (4, "u", "<p>" + "a, " * 100_000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: len(r.text) for r in html_extract.extract(df).collect()}
