@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.strings import trimmed
 
 
-def order_by(df: DataFrame, keys: list[str | int], tie: list[str] = ()) -> DataFrame:
-    """Sort by names (a leading - descends) or by 1-based ordinals (negative descends); an unknown key raises."""
-    order = []
+def _order(df: DataFrame, keys: list[str | int]) -> tuple[list[str], list[Column]]:
+    """The names of the keys, and the order by them."""
+    names, order = [], []
     for key in keys:
         down = key < 0 if isinstance(key, int) else key.startswith("-")
         if isinstance(key, int):
@@ -23,8 +23,28 @@ def order_by(df: DataFrame, keys: list[str | int], tie: list[str] = ()) -> DataF
             name = key.removeprefix("-")
             if name not in df.columns:
                 raise ValueError(f"no column {name}")
+        names.append(name)
         order.append(F.col(name).desc() if down else F.col(name).asc())
-    return df.orderBy(*order, *tie)
+    return names, order
+
+
+def order_by(df: DataFrame, keys: list[str | int], tie: list[str] = ()) -> DataFrame:
+    """Sort by names (a leading - descends) or by 1-based ordinals (negative descends); an unknown key raises."""
+    return df.orderBy(*_order(df, keys)[1], *tie)
+
+
+def ranked(df: DataFrame, keys: list[str | int], tie: list[str]) -> DataFrame:
+    """All rows with rank, their place (from 1) in the order of order_by.
+
+    Rows are numbered for each combination of keys, and only the counts of the combinations pass through one task.
+    """
+    names, order = _order(df, keys)
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    starts = df.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    starts = starts.select("_before", *[F.col(c).alias(f"_of_{c}") for c in names])
+    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*names).orderBy(*tie)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names]
+    return local.join(starts, same).select((F.col("_local") + F.col("_before")).alias("rank"), *df.columns)
 
 
 def parse_text(text: Column, kind: str) -> Column:

@@ -324,6 +324,18 @@ def stab_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.stab_join(points, ivl.where("line = 7"), bin_width=64, how="left_semi")
 
 
+@query(f"WITH {INTERVALS} SELECT chrom, pos, lo, hi, line FROM p JOIN i USING (chrom) WHERE pos BETWEEN lo AND hi")
+def stab_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, ivl = _intervals(spark, sf_dir)
+    return intervals.stab_join(points, ivl, bin_width=64).select("chrom", "pos", "lo", "hi", "line")
+
+
+@query(f"WITH {INTERVALS} SELECT chrom, pos FROM p WHERE EXISTS (SELECT 1 FROM i WHERE i.chrom = p.chrom AND pos BETWEEN lo AND hi)")
+def stab_semi_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, ivl = _intervals(spark, sf_dir)
+    return intervals.stab_join(points, ivl, bin_width=64, how="left_semi")
+
+
 MINUTES = "e AS (SELECT user_id, event_type, floor(epoch(ts) / 60)::BIGINT AS start FROM events)"
 ISLANDS = """o AS (SELECT *, max(stop) OVER (PARTITION BY user_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
     n AS (SELECT *, sum((reached IS NULL OR start > reached)::INT) OVER (PARTITION BY user_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM o),
@@ -451,6 +463,12 @@ def genotype_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pos", "sample", F.round("hom", 6).alias("hom"), F.round("het", 6).alias("het"), fs.genotype(F.col("hom"), F.col("het"))[0].alias("gt"))
 
 
+@query()
+def genotype_fit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pileup.divergences(_symbols(spark, sf_dir)).withColumn("hom", fs.homozygous_fit(F.col("shares"))).withColumn("het", fs.heterozygous_fit(F.col("shares")))
+    return rows.select("pos", "sample", F.round("hom", 6).alias("hom"), F.round("het", 6).alias("het"), fs.genotype(F.col("hom"), F.col("het"))[0].alias("gt"))
+
+
 # Tables, strings, matrices
 
 
@@ -470,6 +488,11 @@ def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.order_by(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "-p_size"], ["p_partkey"]).limit(100)
 
 
+@query("SELECT row_number() OVER (ORDER BY p_brand, p_size DESC, p_partkey) AS rank, p_partkey, p_brand, p_size FROM part")
+def sort_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table.ranked(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "-p_size"], ["p_partkey"])
+
+
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def include_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation")

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL, and the driver contract."""
 
 import importlib
+import math
 import re
 import sys
 
@@ -9,6 +10,7 @@ import pytest
 
 import __spark_entry__
 from strandloom import queries as library
+from strandloom.operators import table
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +49,31 @@ def test_whole_texts_give_every_letter_to_a_read(spark, tiny, sql):
     assert library.queries()["kmer_scores_whole"](spark, tiny).count() > 0
 
 
+def test_genotypes_of_any_number_of_alleles(spark, tiny, sql, tmp_path):
+    sql.execute(f"COPY (SELECT * FROM lineitem WHERE l_orderkey < 60) TO '{tmp_path}/lineitem.parquet'")
+    sql.execute(f"COPY (SELECT * FROM orders) TO '{tmp_path}/orders.parquet'")
+    rows = sql.execute(f"SELECT l_suppkey, o_orderpriority, count(*) AS n FROM '{tmp_path}/lineitem.parquet' JOIN orders ON o_orderkey = l_orderkey GROUP BY l_suppkey, o_orderpriority, l_returnflag").fetchall()
+    counts = {}
+    for pos, sample, n in rows:
+        counts.setdefault((pos, sample), []).append(n)
+    cdf = {2: lambda x: math.erf(math.sqrt(x / 2)), 3: lambda x: 1 - math.exp(-x / 2)}
+    want = {}
+    for place, of_place in counts.items():
+        n, shares = len(of_place), sorted((c / sum(of_place) for c in of_place), reverse=True)
+        fit = lambda top: cdf[n](sum((p - e) ** 2 / e for p, e in zip(shares, top + [0.05 / n] * n)))  # noqa: B023, E731
+        hom, het = (fit([0.95]), fit([0.475, 0.475])) if n > 1 else (0.0, 1.0)
+        want[place] = (round(hom, 5), round(het, 5), "het" if het < hom else "hom")
+    assert {len(x) for x in counts.values()} == {1, 2, 3}
+    got = {(r.pos, r["sample"]): (r.hom, r.het, r.gt) for r in library.queries()["genotype_fit_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[x][:2] == pytest.approx(want[x][:2], abs=2e-5) and got[x][2] == want[x][2] for x in want)
+
+
+def test_ranks_of_null_keys(spark):
+    df = spark.createDataFrame([(1, None), (2, "b"), (3, None), (4, "a")], "id int, k string")
+    assert [(r.rank, r.id) for r in table.ranked(df, ["k"], ["id"]).orderBy("rank").collect()] == [(1, 1), (2, 3), (3, 4), (4, 2)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["kmer", "n"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
