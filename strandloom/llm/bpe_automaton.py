@@ -1,16 +1,21 @@
-"""Byte-level BPE as a deterministic automaton over tokens.
-
-The merges are compiled one after the other. The gadget of a merge (a, b) -> c takes the arc b away from the
-state that an a leads to, and puts an arc c wherever an a could be followed by a b; the state behind c is a copy
-of the state behind b. A state is hence named by the token that leads to it, and an arc (s, t) stands when no
-gadget took it away. What a chain of gadgets leaves of an arc is read off with ``MergeAutomaton.arc`` and kept in
-the transition table, so the table holds the arcs that words have used and not the square of the vocabulary.
-
-A byte string has exactly one path through this automaton: its BPE encoding. ``encode`` finds it from left to
-right: the state at a position is the last token of the path up to there, and tokens are found through the byte
-trie of their labels. Decoding emits the labels of the arcs.
-
-Nulls and texts: a null text counts as empty and has no tokens; ids may repeat; other columns are not read.
+"""Byte-level BPE as a deterministic automaton.
+
+**Gadgets.** The merges are compiled one after the other into an automaton over tokens. It starts with one state for
+each byte, and arcs from every state to every byte. The gadget of a merge (a, b) -> c adds a state c that is a copy
+of the state behind b, takes the arc b away from the state behind a, and adds an arc c to every state that still has
+an arc a. The integer tables hold each gadget's change once: the arc it took, the state it copied, the arc whose
+holders got the new one, and when. The full table of arcs would be the square of the vocabulary, so an arc is read
+through these changes when it is first needed (``MergeGadgets.arc``) and kept.
+
+**Bytes.** A byte string has exactly one path through that automaton: its BPE encoding. Subset construction makes it
+deterministic over bytes: a state is the set of live paths, each being the token state where it stands and the node
+of the byte trie that it has reached on its next arc; just one path ends in a whole token at every byte. States and
+transitions get integer numbers when a word first meets them. ``encode_word`` goes over the bytes of a word once, by
+table look-ups, and then reads the arcs of the one path back from its end. The table has a bounded size: a full one
+is emptied between two words and fills again, which changes no result. Decoding emits the labels of the arcs.
+
+Nulls and texts: a null text counts as empty and has no tokens; ids may repeat; other columns are not read. A model
+in which two merges make the same token is refused.
 """
 
 from __future__ import annotations
@@ -31,10 +36,13 @@ from strandloom.llm.common import id_and_text, map_rows, small_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
 #: White space by the pattern or by Python; marks of which a run after letters is one word of the pattern.
-WHITE, MARKS = {c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\p{White_Space}", c)}, "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+WHITE = {c for c in map(chr, range(0x3001)) if c.isspace() or regex.match(r"\p{White_Space}", c)}
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 #: Entries of a worker cache, and the longest string that is kept in one.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Transitions of the byte automaton, and read arcs, that a worker keeps.
+TRANSITIONS, ARCS = 300_000, 1_000_000
 NEVER = 1 << 60
 
 
@@ -59,7 +67,8 @@ class Labels:
         for word, i in self.special.items():
             self.labels[i] = word.encode()
         lengths = np.array([len(x) for x in self.labels], np.int64)
-        self.label_bytes, self.label_len, self.label_start = np.frombuffer(b"".join(self.labels), np.uint8), lengths, np.cumsum(lengths) - lengths
+        self.label_bytes, self.label_len = np.frombuffer(b"".join(self.labels), np.uint8), lengths
+        self.label_start = np.cumsum(lengths) - lengths
 
     def decode(self, ids: bytes) -> str:
         """Labels of the arcs, one after the other; what is no UTF-8 becomes the replacement character."""
@@ -68,98 +77,121 @@ class Labels:
             part = every[at : at + (1 << 18)]
             lengths = self.label_len[part]
             ends = np.cumsum(lengths)
-            out.append(self.label_bytes[np.arange(ends[-1]) + np.repeat(self.label_start[part] - ends + lengths, lengths)].tobytes())
+            at = np.arange(ends[-1]) + np.repeat(self.label_start[part] - ends + lengths, lengths)
+            out.append(self.label_bytes[at].tobytes())
         return b"".join(out).decode("utf-8", "replace")
 
 
+class MergeGadgets:
+    """The automaton over tokens, gadget by gadget: states and arcs are named by tokens."""
+
+    def __init__(self, tokens: int):
+        self.copied = array("i", [-1]) * tokens  # state -> the state that it is a copy of
+        self.holder = array("i", [-1]) * tokens  # arc -> the arc whose holders got it
+        self.made = array("i", [-1]) * tokens  # state and arc -> the gadget that made them; bytes were there before
+        self.taken: dict[int, int] = {}  # (state, arc) -> the gadget that took the arc away
+        self.known: dict[int, bool] = {}
+        self.gadgets = 0
+
+    def add(self, a: int, b: int, c: int) -> None:
+        """The gadget of the next merge (a, b) -> c."""
+        if self.made[c] >= 0:
+            raise ValueError(f"two merges make token {c}")
+        self.taken[a << 20 | b] = self.gadgets
+        self.copied[c], self.holder[c], self.made[c] = b, a, self.gadgets
+        self.gadgets += 1
+
+    def arc(self, state: int, arc: int) -> bool:
+        """Whether the state has the arc after all gadgets."""
+        key = state << 20 | arc
+        if (held := self.known.get(key)) is None:
+            if len(self.known) > ARCS:
+                self.known.clear()
+            held = self.known[key] = self._read(state, arc)
+        return held
+
+    def _read(self, state: int, arc: int) -> bool:
+        made, before = self.made, NEVER  # the question is always about the time before that gadget
+        while self.taken.get(state << 20 | arc, NEVER) >= before:
+            if made[state] < 0 and made[arc] < 0:
+                return True
+            if made[arc] >= made[state]:  # the state was there when the arc came: it got it if it held the other
+                before, arc = made[arc] + 1, self.holder[arc]
+            else:  # the state is a copy of what another one was then
+                before, state = made[state], self.copied[state]
+        return False
+
+
 class MergeAutomaton(Labels):
-    """The compiled merges."""
+    """The automaton over bytes, made deterministic on demand."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        vocab, size = self.vocab, len(self.labels)
-        self.left, self.right, self.step = [-1] * size, [-1] * size, [-1] * size
-        self.merged_at: dict[int, int] = {}
-        self.table: dict[int, bool] = {}
-        for step, merge in enumerate(self.spec["model"]["merges"]):
+        vocab = self.vocab
+        self.gadgets = MergeGadgets(len(self.labels))
+        for merge in self.spec["model"]["merges"]:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self._gadget(step, vocab[a], vocab[b], vocab[a + b])
-        self.trie: dict = {}
+            self.gadgets.add(vocab[a], vocab[b], vocab[a + b])
+        self.trie: list[dict[int, int]] = [{}]  # node -> byte -> node
+        self.whole: list[int] = [-1]  # node -> the token whose label ends there
         for i in vocab.values():
-            node = self.trie
+            node = 0
             for byte in self.labels[i]:
-                node = node.setdefault(byte, {})
-            node[-1] = i
-        self.id_of = {self.labels[i]: i for i in vocab.values()}
-        self.sizes, self.shorter = [len(x) for x in self.labels], [-1] * size
-        for i in vocab.values():
-            self.shorter[i] = next((j for n in range(self.sizes[i] - 1, 0, -1) if (j := self.id_of.get(self.labels[i][:n])) is not None), -1)
+                if (below := self.trie[node].get(byte)) is None:
+                    below = self.trie[node][byte] = len(self.trie)
+                    self.trie.append({})
+                    self.whole.append(-1)
+                node = below
+            self.whole[node] = i
+        self.sizes = [len(x) for x in self.labels]
         self.split = regex.compile(PATTERN).findall
-        self.cut_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
+        special = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
+        self.cut_special = regex.compile(f"({special})").split if special else None
         self.words = Cache(self._word)
         self.chunks = Cache(self._chunk)
         del self.spec
-
-    def _gadget(self, step: int, a: int, b: int, c: int) -> None:
-        if self.step[c] >= 0:
-            raise ValueError(f"two merges make token {c}")
-        self.left[c], self.right[c], self.step[c] = a, b, step
-        self.merged_at[a << 20 | b] = step
-
-    def arc(self, s: int, t: int) -> bool:
-        """Whether the state behind token s still has an arc t after all gadgets."""
-        key = s << 20 | t
-        if (known := self.table.get(key)) is not None:
-            return known
-        left, right, step, merged, before = self.left, self.right, self.step, self.merged_at, NEVER
-        while True:
-            if merged.get(s << 20 | t, NEVER) < before:
-                stands = False
-                break
-            if step[s] < 0 and step[t] < 0:
-                stands = True
-                break
-            if step[t] >= step[s]:  # t's arc was put where its left part had one, after its own gadget
-                before, t = step[t] + 1, left[t]
-            else:  # the state behind s was copied from that behind its right part, before its own gadget
-                before, s = step[s], right[s]
-        if len(self.table) > 1_000_000:
-            self.table.clear()
-        self.table[key] = stands
-        return stands
+        self._empty()
+
+    def _empty(self) -> None:
+        """State 0 alone: one path, which stands before the first token and has read nothing."""
+        self.paths: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.number = {self.paths[0]: 0}
+        self.last = [-1]  # state -> the token that ends the path of all that was read
+        self.moves: dict[int, int] = {}  # state << 8 | byte -> state
+
+    def _move(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte: subset construction, once for each pair."""
+        live, last = [], -1
+        for at, node in self.paths[state]:
+            below = self.trie[node].get(byte)
+            if below is not None:
+                live.append((at, below))
+                token = self.whole[below]
+                if token >= 0 and (at < 0 or self.gadgets.arc(at, token)):
+                    last = token
+        paths = (*live, (last, 0))
+        to = self.number.get(paths)
+        if to is None:
+            to = self.number[paths] = len(self.paths)
+            self.paths.append(paths)
+            self.last.append(last)
+        self.moves[state << 8 | byte] = to
+        return to
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Ids on the path of word. The longest label is tried first, and where a path ends the next shorter one.
-
-        The path to a position is unique, so a position from which none leads on is never tried again.
-        """
-        if (whole := self.id_of.get(word)) is not None:
-            return [whole]
-        n, trie, shorter, size, table = len(word), self.trie, self.shorter, self.sizes, self.table
-        ids: list[int] = []
-        at, dead = 0, set()
-        while at < n:
-            node, t = trie, -1
-            for byte in word[at:]:
-                node = node.get(byte)
-                if node is None:
-                    break
-                t = node.get(-1, t)
-            while True:
-                if at == 0:
-                    stands = True
-                elif (stands := table.get(ids[-1] << 20 | t)) is None:
-                    stands = self.arc(ids[-1], t)
-                if stands and at + size[t] not in dead:
-                    ids.append(t)
-                    at += size[t]
-                    break
-                t = shorter[t]
-                while t < 0:
-                    dead.add(at)
-                    t = ids.pop()
-                    at -= size[t]
-                    t = shorter[t]
+        """Ids on the one path of word: every byte is one transition, then the arcs are read back from the end."""
+        if len(self.moves) > TRANSITIONS:
+            self._empty()
+        moves, last, state, ends = self.moves, self.last, 0, []
+        for byte in word:
+            to = moves.get(state << 8 | byte)
+            state = self._move(state, byte) if to is None else to
+            ends.append(last[state])
+        ids, at = [], len(word)
+        while at:
+            ids.append(token := ends[at - 1])
+            at -= self.sizes[token]
+        ids.reverse()
         return ids
 
     def _word(self, word: str) -> bytes:
@@ -195,7 +227,9 @@ class MergeAutomaton(Labels):
                 return self._plain(first) + b"".join(parts)
         if self.cut_special is None:
             return self._plain(text)
-        return b"".join(struct.pack("<I", self.special[part]) if part in self.special else self._plain(part) for part in self.cut_special(text) if part)
+        special = self.special
+        parts = (p for p in self.cut_special(text) if p)
+        return b"".join(struct.pack("<I", special[p]) if p in special else self._plain(p) for p in parts)
 
 
 class Cache(dict):
@@ -247,11 +281,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     small_batches(encoded.sparkSession)
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "n_tokens": batch.column(1), "ids": batch.column(2), "text": [labels(path).decode(x or b"") for x in batch.column(2).to_pylist()]}
+        text = [labels(path).decode(x or b"") for x in batch.column(2).to_pylist()]
+        return {"doc_id": batch.column(0), "n_tokens": batch.column(1), "ids": batch.column(2), "text": text}
 
     return map_rows(encoded.select("doc_id", "n_tokens", "ids"), kernel, "doc_id long, n_tokens long, ids binary, text string")
 
 
 def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return decode(encode(df, path), path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    text = F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    return decode(encode(df, path), path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), text)

@@ -46,9 +46,61 @@ def test_automaton_equals_library():
 
 def test_arcs_forbid_what_merges():
     own = bpe_automaton.automaton(BPE)
-    a, b = own.id_of[b"t"], own.id_of[b"h"]
-    assert not own.arc(a, b) and own.arc(own.id_of[b"q"], own.id_of[b"z"])
-    assert own.encode_word(b"th") == [own.id_of[b"th"]]
+    arc, vocab = own.gadgets.arc, own.vocab
+    assert not arc(vocab["t"], vocab["h"]) and arc(vocab["q"], vocab["z"])
+    assert own.encode_word(b"th") == [vocab["th"]]
+
+
+def test_arcs_are_what_the_gadgets_leave():
+    """The changes that the gadgets keep, against an automaton that is rebuilt as a whole by every gadget."""
+    for seed in range(40):
+        r = random.Random(seed)
+        labels, gadgets = [bytes([i]) for i in range(3)], bpe_automaton.MergeGadgets(20)
+        arcs = {i: {0, 1, 2} for i in range(3)}
+        for _ in range(12):
+            a, b = (r.randrange(len(labels)) for _ in range(2))
+            if labels[a] + labels[b] in labels:
+                continue
+            c = len(labels)
+            gadgets.add(a, b, c)
+            labels.append(labels[a] + labels[b])
+            if b in arcs[a]:  # else the merge can never happen
+                arcs[c] = set(arcs[b])
+                arcs[a].discard(b)
+                for state in arcs.values():
+                    if a in state:
+                        state.add(c)
+            else:
+                break
+        else:
+            for s, own in arcs.items():
+                assert own == {t for t in range(len(labels)) if gadgets.arc(s, t)}
+
+
+def test_every_byte_is_read_once_and_a_dropped_table_changes_nothing(monkeypatch):
+    class Counted(bytes):
+        read = 0
+
+        def __iter__(self):
+            for byte in bytes.__iter__(self):
+                Counted.read += 1
+                yield byte
+
+    own, library = bpe_automaton.MergeAutomaton(BPE), Tokenizer.from_file(BPE)
+    words = [f" {w}" for w in ("interesting", "abababab" * 30, "ththth", "unbelievablyness", "xqzjk" * 20)]
+    for word in words:
+        want = library.encode(word, add_special_tokens=False).ids
+        Counted.read = 0
+        assert own.encode_word(Counted(word.encode())) == want and Counted.read == len(word)
+    monkeypatch.setattr(bpe_automaton, "TRANSITIONS", 5)
+    for word in words * 2:
+        assert own.encode_word(word.encode()) == library.encode(word, add_special_tokens=False).ids
+        assert len(own.moves) <= 5 + len(word)
+
+
+def test_automaton_knows_the_vocabulary():
+    own = bpe_automaton.automaton(BPE)
+    assert all(own.encode_word(own.labels[i]) == [i] for i in own.vocab.values())
 
 
 def test_round_trip_edges(edges, none):
