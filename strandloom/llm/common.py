@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,35 +27,64 @@ def small_batches(spark: SparkSession) -> None:
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only what an operator reads, so that no other column can clash; a null text is an empty one."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where none is named, as in tests."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where none is named, a local session gets a temporary one; on a cluster that is an error, as every executor
+    would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
         folder = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written, once nothing reads them any more."""
+    for table in tables:
+        remove(table.sparkSession, table.cut_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that the operators have left in the shared folder; results not yet written elsewhere go as well."""
+    remove(spark, f"{shared_folder(spark)}/strandloom")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow over kernel, which returns a column list for every field of schema."""
     names = [part.split()[0] for part in schema.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    types = {
+        "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+        "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
+    }
     kinds = [types[part.split()[1]] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             out = kernel(batch)
-            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip((out[n] for n in names), kinds, strict=True)], names=names)
+            columns = (v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip((out[n] for n in names), kinds, strict=True))
+            yield pa.RecordBatch.from_arrays(list(columns), names=names)
 
     return df.mapInArrow(run, schema)

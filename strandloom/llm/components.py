@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, discard
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """id, component (smallest id reachable) of every end of an edge (a, b).
+    """id, component (smallest id reachable) of every end of an edge (a, b), as a table of the shared folder.
 
     Each round takes the smallest label among neighbours (summed before the shuffle, so a hub costs one row for
     each task) and then the label of that label. Labels only fall, and the loop ends when none does. Edges with a
@@ -17,12 +17,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").where("a <> b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "labels")
+    first = both.groupBy("a").agg(F.min("b").alias("least"))
+    labels = cut(first.select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        lower = F.least("component", "near").alias("component")
+        hooked = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("was"), lower)
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = cut(hooked.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        further = F.least("component", F.coalesce("further", "component")).alias("component")
+        moved = cut(hooked.join(jump, "component", "left").select("id", "was", further), "labels")
+        discard(labels)
         labels = moved.select("id", "component")
+        labels.cut_path = moved.cut_path
         if moved.where("was <> component").isEmpty():
+            discard(both)
             return labels

@@ -10,8 +10,9 @@
    prefix filtering. Shingles are ordered from rare to frequent among these members; two sets that reach the
    threshold share one of their rarest ``n - ceil(threshold * n) + 1`` shingles. Shingles that one member alone
    has need no partner. The members of a list of such a shingle are compared inside tasks, by products of small
-   incidence matrices, and only links come out. Long lists that share members are united to groups first and
-   compared block by block, so no task and no row holds a group, and no pair of it is ever a row.
+   incidence matrices. What comes out is a spanning forest: a link that joins two components that were apart, so a
+   cell of m components gives m - 1 rows at most. Lists that hang together are compared as one group; a group
+   above ``BLOCK`` members is dealt out in blocks, and two blocks that hold one and the same component never meet.
 5. Components of all confirmed links go back to the documents.
 
 Every link that shares a band is found or bridged by a path of confirmed links. A pair at the threshold of 0.8
@@ -32,14 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.bpe_automaton import Cache
-from strandloom.llm.common import cut, id_and_text, map_rows, small_batches
+from strandloom.llm.common import cut, discard, id_and_text, map_rows, small_batches
 from strandloom.llm.components import connected_components
 
 BANDS, BAND_ROWS = 30, 4
-#: Members of a list, and of a block of a longer one, that one task compares at a time; columns of its matrices.
-LIST, COLUMNS = 256, 4096
-#: Members of a group of lists that is compared as a whole.
-MODEST = 8 * LIST
+#: Members of a list that is compared alone, and of a group or a block that one task compares; shingles of a block.
+LIST, BLOCK, BLOCK_ITEMS = 256, 2048, 2_000_000
+#: Members that meet in one matrix product, and columns of the matrices.
+PART, COLUMNS = 256, 4096
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]  # fixed values: mixing multipliers
 
 _WORDS = Cache(xxhash.xxh3_64_intdigest)
@@ -141,110 +142,184 @@ def similar_sizes(percent: int) -> Callable[[str, str], Column]:
     return lambda m, n: F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the smallest id of a component) of every row; linked at percent / 100."""
     small_batches(df.sparkSession)
     fits = similar_sizes(percent)
     rows = id_and_text(df, id_col, text_col)
     docs = cut(sketched(rows, width, bands, band_rows), "sketches")
-    classes = docs.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
-    classes = cut(classes, "classes")
+    classes = docs.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
+    classes = cut(classes.where("doc_id IS NOT NULL"), "classes")
     chosen = docs.join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = chosen.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", F.col("leader.doc_id").alias("b"), F.col("leader.n").alias("n_b"))
+    chosen = cut(chosen.select("doc_id", F.col("n_shingles").alias("n"), "bands"), "chosen")
+    banded = chosen.select("doc_id", "n", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("leader"), F.count("*").alias("size"))
+    buckets = buckets.where("size > 1").select("key", F.col("leader.doc_id").alias("b"), F.col("leader.n").alias("n_b"))
+    buckets = cut(buckets, "buckets")  # as a table, so that the join below can split a hot bucket
     members = cut(banded.join(buckets.hint("merge"), "key"), "members")
+    discard(chosen, buckets)
 
     own = F.max(F.col("doc_id") == F.col("b"))
     sets = cut(full_sets(rows, members.groupBy("doc_id").agg(own.alias("leads")), width), "sets")
-    star = members.where((F.col("doc_id") != F.col("b")) & fits("n", "n_b")).select(F.col("doc_id").alias("a"), "b").distinct()
-    links = cut(confirmed(star, sets, percent), "links")
+    star = members.where((F.col("doc_id") != F.col("b")) & fits("n", "n_b")).select(F.col("doc_id").alias("a"), "b")
+    links = cut(confirmed(star.distinct(), sets, percent), "links")
     labels = connected_components(links)
 
-    labelled = members.select("key", "doc_id", "n").join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = cut(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    named = labels.select(F.col("id").alias("doc_id"), "component")
+    labelled = members.select("key", "doc_id", "n").join(named, "doc_id", "left")
+    labelled = cut(labelled.withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = cut(mixed.where("low < high").select("key"), "mixed")
     rest = cut(labelled.join(mixed.hint("merge"), "key").select("doc_id", "n", "component").distinct(), "rest")
-    links = links.unionByName(links_of_rest(rest, sets, percent))
-    components = connected_components(links)
-
-    found = classes.join(components.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
+    discard(members, labelled, mixed)
+    # Every component of the first links hangs together by a row for each member; the rest adds a forest over them.
+    joined = named.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+    components = connected_components(joined.unionByName(links_of_rest(rest, sets, percent)))
+    discard(labels, links, rest, sets)
+
+    found = classes.join(components.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    found = found.select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
     out = docs.select("doc_id", "n_shingles", "set_hash").join(found.hint("merge"), "set_hash", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def links_between(sets: list[np.ndarray], components: list[int], blocks: list[int], percent: int) -> list[tuple[int, int]]:
-    """Index pairs of sets that reach the threshold, of different components and, if there are two blocks, across them."""
-    sizes = np.array([len(x) for x in sets])
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, shared = np.repeat(np.arange(len(sets)), sizes), counts > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(shared.sum()), COLUMNS):
-        low, high = np.searchsorted(column, (at, at + COLUMNS))
-        has = np.zeros((len(sets), COLUMNS), np.float32)
-        has[owner[low:high], column[low:high] - at] = 1
-        common += has @ has.T
-    common = common.astype(np.int64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    of, block = np.array(components), np.array(blocks)
-    linked &= of[:, None] != of[None, :]
-    if len(set(blocks)) > 1:
-        linked &= block[:, None] != block[None, :]
-    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)]
-
-
-def united(listed: DataFrame) -> DataFrame:
-    """grp, doc_id, size: the members of lists (doc_id, b) that are joined by shared members."""
-    found = connected_components(listed.select(F.col("doc_id").alias("a"), "b").distinct()).select(F.col("component").alias("grp"), F.col("id").alias("doc_id"))
-    return found.join(found.groupBy("grp").agg(F.count("*").alias("size")).hint("merge"), "grp")
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of left reach the threshold with which of right, as a matrix; right may be left itself."""
+    counted = [np.array([len(x) for x in side]) for side in (left, right)]
+    _, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sides = np.split(column, [int(counted[0].sum())])
+    seen = [np.bincount(side, minlength=int(column.max()) + 1) for side in sides]
+    shared = seen[0] > 1 if left is right else (seen[0] > 0) & (seen[1] > 0)
+    number, common = np.cumsum(shared) - 1, np.zeros((len(left), len(right)), np.float32)
+    sparse = []
+    for side, sizes in zip(sides, counted, strict=True):
+        keep = shared[side]
+        owner, at = np.repeat(np.arange(len(sizes)), sizes)[keep], number[side[keep]]
+        order = np.argsort(at, kind="stable")
+        sparse.append((owner[order], at[order], len(sizes)))
+    for first in range(0, int(shared.sum()), COLUMNS):
+        dense = []
+        for owner, at, n in sparse:
+            low, high = np.searchsorted(at, (first, first + COLUMNS))
+            has = np.zeros((n, COLUMNS), np.float32)
+            has[owner[low:high], at[low:high] - first] = 1
+            dense.append(has)
+        common += dense[0] @ dense[1].T
+    both = counted[0][:, None] + counted[1][None, :]
+    return 100 * common.astype(np.int64) >= percent * (both - common.astype(np.int64))
+
+
+def spanning_links(sets: list[np.ndarray], components: list[int], blocks: list[str], percent: int) -> list[tuple[int, int]]:
+    """Index pairs of linked sets that join the given components: a spanning forest, no pair within what hangs together.
+
+    If there are two blocks, only links across them are looked for. Rows are fewer than the components.
+    """
+    label = np.unique(np.array(components), return_inverse=True)[1]
+    block = np.unique(np.array(blocks), return_inverse=True)[1]
+    order = np.lexsort((label, block))
+    parts = [
+        own[at : at + PART] for b in range(int(block.max()) + 1) for own in [order[block[order] == b]] for at in range(0, len(own), PART)
+    ]
+    found = []
+    for i, p in enumerate(parts):
+        for q in parts[i:]:
+            both = np.concatenate([p, q])
+            if block.max() and block[p[0]] == block[q[0]] or (label[both] == label[both[0]]).all():
+                continue
+            left = [sets[k] for k in p]
+            near = linked(left, left if q is p else [sets[k] for k in q], percent)
+            while (apart := near & (label[p][:, None] != label[q][None, :])).any():
+                x, y = np.unravel_index(apart.argmax(), apart.shape)
+                found.append((int(p[x]), int(q[y])))
+                label[label == label[q[y]]] = label[p[x]]
+    return found
+
+
+def united(listed: DataFrame, rest: DataFrame) -> DataFrame:
+    """grp, doc_id, component, n, size, items: the members of lists (doc_id, b) that are joined by shared members."""
+    found = connected_components(listed.select(F.col("doc_id").alias("a"), "b").distinct())
+    found = cut(found.select(F.col("component").alias("grp"), F.col("id").alias("doc_id")).join(rest, "doc_id"), "groups")
+    sizes = cut(found.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("items")), "sizes")
+    return found.join(sizes.hint("merge"), "grp")  # two tables, so that a hot group can be split
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """grp, i, j, block, doc_id: every cell of two blocks of a group (grp, doc_id, component, n) that can hold a link.
+
+    A component above a block's size has blocks of its own, which meet all blocks but those of the same component;
+    the other members of a group are dealt out by a hash.
+    """
+    own = members.groupBy("grp", "component").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
+    full = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("items") / F.lit(BLOCK_ITEMS))).alias("blocks")
+    own = cut(own.withColumn("pure", F.when(F.col("size") > BLOCK, F.col("component"))), "sizes")
+    blocks = own.groupBy("grp", "pure").agg(F.sum("size").alias("size"), F.sum("items").alias("items")).select("grp", "pure", full)
+    blocks = cut(blocks, "blocks")
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("number")
+    name = F.concat_ws(":", F.coalesce(F.col("pure").cast("string"), F.lit("mixed")), "number")
+    every = blocks.select("grp", "pure", number).select("grp", F.struct(F.col("pure"), name.alias("name")).alias("other"))
+    every = cut(every.groupBy("grp").agg(F.collect_list("other").alias("others")), "others")  # a few entries for each BLOCK members
+    placed = members.join(own.select("grp", "component", "pure").hint("merge"), ["grp", "component"])
+    count = blocks.select("grp", F.col("pure").alias("pure_of"), "blocks")
+    placed = placed.join(count.hint("merge"), ["grp"]).where(F.col("pure").eqNullSafe(F.col("pure_of")))
+    placed = placed.withColumn("number", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).select("grp", "doc_id", "pure", name.alias("block"))
+    meets = placed.join(every.hint("merge"), "grp").select("grp", "doc_id", "block", "pure", F.explode("others").alias("other"))
+    meets = meets.where(F.col("pure").isNull() | ~F.col("pure").eqNullSafe(F.col("other.pure")))
+    return meets.select("grp", F.least("block", "other.name").alias("i"), F.greatest("block", "other.name").alias("j"), "block", "doc_id")
 
 
 def links_of_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) between different components of rest, by prefix filtering over its full sets."""
+    """Links (a, b) that join all linked components of rest, by prefix filtering over its full sets."""
     own = sets.select("doc_id", "items").join(rest.select("doc_id", "component"), "doc_id")
 
     def spread(batch: pa.RecordBatch) -> dict:
         ids, items = batch.column(0).to_pylist(), [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
         sizes = [len(x) for x in items]
-        return {"doc_id": pa.array(np.repeat(np.array(ids, np.int64), sizes)), "item": pa.array(np.concatenate(items) if items else np.empty(0, np.int64)), "n": pa.array(np.repeat(np.array(sizes, np.int32), sizes))}
+        return {
+            "doc_id": pa.array(np.repeat(np.array(ids, np.int64), sizes)),
+            "item": pa.array(np.concatenate(items) if items else np.empty(0, np.int64)),
+            "n": pa.array(np.repeat(np.array(sizes, np.int32), sizes)),
+        }
 
     every = map_rows(own.select("doc_id", "items"), spread, "doc_id long, item long, n int")
-    frequency = every.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    frequency = cut(every.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
     shared = every.join(frequency.hint("merge"), "item")
     # The shingles that no other member has come first in a prefix and fill part of it.
     of_doc = Window.partitionBy("doc_id")
     place = F.row_number().over(of_doc.orderBy("df", "item")) + F.col("n") - F.count("*").over(of_doc)
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    posted = shared.withColumn("place", place).where(F.col("place") <= prefix).select("item", "doc_id").join(rest.select("doc_id", "component"), "doc_id")
-    posted = cut(posted, "postings")
+    posted = shared.withColumn("place", place).where(F.col("place") <= prefix).select("item", "doc_id")
+    posted = cut(posted.join(rest.select("doc_id", "component"), "doc_id"), "postings")
     # Lists with the same members are one list: compared by size, smallest member and two 64-bit hashes of them all.
-    members = [F.count("*").alias("size"), F.min("doc_id").alias("b"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")]
-    lists = posted.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), *members).where("low < high")
-    lists = lists.groupBy("size", "b", "x", "y").agg(F.min("item").alias("item")).select("item", "size", "b")
+    members = [
+        F.count("*").alias("size"), F.min("doc_id").alias("b"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
+    ]
+    lists = posted.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), *members)
+    lists = lists.where("low < high").groupBy("size", "b", "x", "y").agg(F.min("item").alias("item")).select("item", "size", "b")
     listed = cut(posted.join(lists.hint("merge"), "item").select("item", "doc_id", "size", "b"), "lists")
-    # Lists that hang together are one group as long as that is of modest size: a member then travels a few times only.
-    groups = united(listed)
-    modest = groups.where(F.col("size") <= MODEST).select(F.lit(2).alias("kind"), "grp", "doc_id", F.ceil(F.col("size") / F.lit(LIST)).alias("blocks"))
-    large = listed.join(groups.where(F.col("size") > MODEST).select("doc_id"), "doc_id", "left_semi")
-    short = large.where(F.col("size") <= LIST).select(F.lit(0).alias("kind"), F.col("item").alias("grp"), "doc_id", F.lit(1).cast("long").alias("blocks"))
-    long = united(large.where(F.col("size") > LIST)).select(F.lit(1).alias("kind"), "grp", "doc_id", F.ceil(F.col("size") / F.lit(LIST)).alias("blocks"))
-    placed = modest.unionByName(short).unionByName(long)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    with_other = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"))))
-    dealt = placed.withColumn("block", block).withColumn("cell", with_other).select("kind", "grp", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", "doc_id")
+    discard(frequency, posted)
+    # Lists that hang together are one group as long as a task can compare that: a member then travels once.
+    groups, fits = united(listed, rest), (F.col("size") <= BLOCK) & (F.col("items") <= 2 * BLOCK_ITEMS)
+    alone = [F.lit("").alias("i"), F.lit("").alias("j"), F.lit("").alias("block"), "doc_id"]
+    modest = groups.where(fits).select(F.lit("group").alias("kind"), "grp", *alone)
+    large = listed.join(groups.where(~fits).select("doc_id"), "doc_id", "left_semi")
+    short = large.where(F.col("size") <= LIST).select(F.lit("list").alias("kind"), F.col("item").alias("grp"), *alone)
+    long = united(large.where(F.col("size") > LIST), rest).drop("size", "items")
+    long = in_blocks(long).select(F.lit("blocks").alias("kind"), "grp", "i", "j", "block", "doc_id")
+    dealt = modest.unionByName(short).unionByName(long)
     key = ["kind", "grp", "i", "j"]
-    cells = dealt.join(own.hint("merge"), "doc_id").select(*key, "block", "doc_id", "component", "items").repartition(*key).sortWithinPartitions(*key)
+    cells = dealt.join(own.hint("merge"), "doc_id").select(*key, "block", "doc_id", "component", "items")
+    cells = cells.repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple]) -> pa.RecordBatch:
-            ids = [row[1] for row in held]
-            found = links_between([np.frombuffer(row[3], np.uint64) for row in held], [row[2] for row in held], [row[0] for row in held], percent) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64()), pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64())], names=["a", "b"])
+            blocks, ids, components, items = zip(*held, strict=True)
+            found = spanning_links([np.frombuffer(x, np.uint64) for x in items], components, blocks, percent)
+            pairs = [sorted((ids[i], ids[j])) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         now, held = None, []
         for batch in batches:
@@ -257,4 +332,4 @@ def links_of_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+    return cells.mapInArrow(compare, "a long, b long")
