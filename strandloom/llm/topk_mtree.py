@@ -2,17 +2,20 @@
 
 Inner products become distances: with M the largest norm, a vector x is seen as (x, sqrt(M^2 - |x|^2)) and a query
 as (q, 0), so that d^2 = |q|^2 + M^2 - 2 q.x and the largest product is the nearest neighbour. Vectors are routed
-to the nearest of a bounded number of pivots, large pivots are dealt out over several trees, and each tree is
-bulk-loaded into pages: an inner entry keeps a routing object, the covering radius of its page and the distance to
-its parent; a leaf entry a vector and the distance to its parent. A query descends the most promising page first;
-|d(q, parent) - d(entry, parent)| - radius bounds an entry from stored distances alone and is tried before any
-distance is computed. A query first searches its home tree; the k-th score found there lets it skip every tree
-whose ball lies too far, and bounds the search in the others. Scores are exact integers; bounds carry a slack
-against rounding, so that nothing that ties is lost.
-
-Vectors that are null or hold null or non-finite components take no part; vectors of different lengths are not
-compared; rows that repeat an id are candidates one by one, except that a query skips all rows with its own id.
-Components must stay below 2**25 in size after scaling, else an error is raised. No vectors, no rows.
+to the nearest of a bounded number of pivots and dealt out over as many trees of a pivot as its rows need, so that a
+tree has a bounded size at any input. Each tree is bulk-loaded into pages: an inner entry keeps a routing object,
+the covering radius of its page and the distance to its parent; a leaf entry a vector and the distance to its
+parent. A query descends the most promising page first; |d(q, parent) - d(entry, parent)| - radius bounds an entry
+from stored distances alone and is tried before any distance is computed. A query first searches its home tree; the
+k-th score found there lets it skip all trees of a pivot whose ball lies too far, and bounds the search in the
+others. A task holds one tree and one block of queries. Scores are exact integers; bounds carry a slack against
+rounding, so that nothing that ties is lost.
+
+Vectors that are null or hold null or non-finite components, and rows without an id, take no part; vectors of
+different lengths are not compared. Rows that repeat an id, even with the same vector, are candidates and queries
+one by one, each with its own ranks from 1, except that a query skips all rows with its own id. Equal scores are
+ranked by id. Components must stay below 2**25 in size after scaling, else an error is raised. No vectors, no rows.
+The driver holds one row for each vector length that occurs and one for each pivot.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,13 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import cut, map_rows, small_batches
+from strandloom.llm.common import cut, discard, map_rows, small_batches
 
-#: Rows of a tree, at least; trees, at most, which bounds the routing table; rows that pivots are chosen from.
-TREE_ROWS, TREES, SAMPLE_ROWS = 512, 4096, 2048
-#: Entries of a page.
-PAGE = 32
-PAGES = "dim int, tree int, page int, leaf boolean, refs array<long>, vectors binary, extra array<double>, radius array<double>, to_parent array<double>"
+#: Rows of a tree, and queries that a task asks it, about; pivots, at most; rows that pivots are chosen from.
+TREE_ROWS, BLOCK, PIVOTS, SAMPLE_ROWS = 4096, 2048, 1024, 2048
+#: Entries of a page; rows of a batch of (query, tree) requests.
+PAGE, REQUESTS = 64, 4096
+#: Products up to this size are exact as doubles.
+EXACT = 2.0**52
+TREE = ["dim", "centre", "part"]
+CELL = [*TREE, "block"]
+PAGES = (
+    "dim int, centre int, part int, page int, leaf boolean, refs array<long>, vectors binary, extra array<double>, "
+    "radius array<double>, to_parent array<double>"
+)
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -54,7 +65,8 @@ def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFr
                 out[name].append(value)
         return out
 
-    return map_rows(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")), kernel, "vec_id long, dim int, v binary, norm long")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return map_rows(rows, kernel, "vec_id long, dim int, v binary, norm long")
 
 
 def farthest_first(vectors: np.ndarray, extra: np.ndarray, count: int) -> list[int]:
@@ -93,8 +105,12 @@ def build(ids: np.ndarray, vectors: np.ndarray, extra: np.ndarray) -> list[tuple
         radius, refs = [0.0] * len(heads), ids[heads].tolist()
         if members is not None:
             refs = [load(m, h) for m, h in zip(members, heads, strict=True)]
-            radius = [float(distances(vectors[m], extra[m], vectors[h], extra[h]).max()) for m, h in zip(members, heads, strict=True)]
-        to_parent = [0.0] * len(heads) if parent is None else distances(vectors[heads], extra[heads], vectors[parent], extra[parent]).tolist()
+            spans = (distances(vectors[m], extra[m], vectors[h], extra[h]) for m, h in zip(members, heads, strict=True))
+            radius = [float(span.max()) for span in spans]
+        if parent is None:
+            to_parent = [0.0] * len(heads)
+        else:
+            to_parent = distances(vectors[heads], extra[heads], vectors[parent], extra[parent]).tolist()
         pages[page] = (page, members is None, refs, vectors[heads].tobytes(), extra[heads].tolist(), radius, to_parent)
         return page
 
@@ -103,152 +119,180 @@ def build(ids: np.ndarray, vectors: np.ndarray, extra: np.ndarray) -> list[tuple
 
 
 class Tree:
-    """Pages of one tree, read for searching."""
+    """Pages of one tree, read for searching by queries that a block holds."""
 
-    def __init__(self, pages: pd.DataFrame, dim: int):
-        self.pages = {}
+    def __init__(self, pages: pd.DataFrame, dim: int, most: float):
+        self.pages, self.most, self.seen = {}, most, 0
         for row in pages.itertuples():
             refs = np.array(row.refs, np.int64)
-            self.pages[row.page] = (row.leaf, refs, np.frombuffer(row.vectors, np.int64).reshape(len(refs), dim), np.array(row.radius, float), np.array(row.to_parent, float))
+            vectors = np.frombuffer(row.vectors, np.int64).reshape(len(refs), dim)
+            own = (refs, vectors, vectors.astype(float), np.array(row.radius, float), np.array(row.to_parent, float))
+            self.pages[row.page] = (row.leaf, *own)
 
-    def search(self, own: int, q: np.ndarray, most: float, k: int, bound: int | None) -> list[tuple[int, int]]:
+    def search(self, own: int, q: np.ndarray, k: int, bound: int | None) -> list[tuple[int, int]]:
         """The k best (score, vec_id) of the tree but the query's own, without what cannot reach the bound."""
-        base = float(q @ q) + most  # d^2 = base - 2 score
+        norm = float(q @ q)
+        base = norm + self.most  # d^2 = base - 2 score
         slack = 1e-6 * math.sqrt(base) + 1e-6
+        whole = math.sqrt(norm * self.most) >= EXACT  # else products of doubles are exact
+        q = q if whole else q.astype(float)
         best: list[tuple[int, int]] = []  # heap of (score, -vec_id), the worst first
-
-        def reach() -> float:
-            worst = best[0][0] if len(best) == k else None
-            at_least = worst if bound is None else bound if worst is None else max(worst, bound)
-            return math.inf if at_least is None else math.sqrt(max(0.0, base - 2 * at_least)) + slack
-
         queue: list[tuple[float, int, float | None]] = [(0.0, 0, None)]
+        least = -math.inf if bound is None else bound
+        far = math.inf if bound is None else math.sqrt(max(0.0, base - 2 * bound)) + slack
         while queue:
             nearest, page, to_q = heapq.heappop(queue)
-            if nearest > (far := reach()):
+            if nearest > far:
                 break
-            leaf, refs, vectors, radius, to_parent = self.pages[page]
-            at = np.arange(len(refs)) if to_q is None else np.flatnonzero(np.abs(to_q - to_parent) - radius <= far)
-            if not len(at):
-                continue
-            scores = vectors[at] @ q
-            if leaf:
-                for score, vec_id in zip(scores.tolist(), refs[at].tolist(), strict=True):
-                    if vec_id == own or bound is not None and score < bound:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -vec_id))
-                    elif (score, -vec_id) > best[0]:
-                        heapq.heapreplace(best, (score, -vec_id))
+            self.seen += 1
+            leaf, refs, integers, doubles, radius, to_parent = self.pages[page]
+            vectors = integers if whole else doubles
+            if to_q is not None:
+                at = np.flatnonzero(np.abs(to_q - to_parent) - radius <= far)
+                if len(at) < len(refs):
+                    refs, vectors, radius = refs[at], vectors[at], radius[at]
+            scores = vectors @ q
+            if not leaf:
+                d = np.sqrt(np.maximum(0.0, base - 2.0 * scores))
+                near = np.maximum(0.0, d - radius)
+                for i in np.flatnonzero(near <= far).tolist():
+                    heapq.heappush(queue, (float(near[i]), int(refs[i]), float(d[i])))
                 continue
-            d = np.sqrt(np.maximum(0.0, base - 2.0 * scores))
-            for i, x in zip(at.tolist(), d.tolist(), strict=True):
-                if (near := max(0.0, x - radius[i])) <= far:
-                    heapq.heappush(queue, (near, int(refs[i]), x))
+            for i in np.flatnonzero(scores >= least).tolist():
+                entry = (int(scores[i]), -int(refs[i]))
+                if -entry[1] == own:
+                    continue
+                if len(best) < k:
+                    heapq.heappush(best, entry)
+                elif entry > best[0]:
+                    heapq.heapreplace(best, entry)
+            if len(best) == k and best[0][0] > least:
+                least = best[0][0]
+                far = math.sqrt(max(0.0, base - 2 * least)) + slack
         return [(score, -vec_id) for score, vec_id in best]
 
 
-def index(vectors: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, DataFrame, dict]:
-    """Pages of the forest, the routed vectors and the routing table {dim: (M^2, centres, extras, parts)}."""
-    totals = {row.dim: (row.most, row.n) for row in vectors.groupBy("dim").agg(F.max("norm").alias("most"), F.count("*").alias("n")).collect()}  # a row for each vector length
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).collect()
-    routing = {}
-    for dim, (most, n) in totals.items():
-        own = [np.frombuffer(row.v, np.int64) for row in sample if row.dim == dim]
-        own = np.array(own, np.int64).reshape(len(own), dim)
-        own = own if len(own) else np.zeros((1, dim), np.int64)
-        extra = np.sqrt(np.maximum(0.0, most - (own * own).sum(1).astype(float)))
-        rows = max(tree_rows, -(-n // TREES))
-        chosen = farthest_first(own, extra, min(TREES // 4, -(-n // (2 * rows))))
-        routing[dim] = (float(most), own[chosen], extra[chosen], rows)
+@dataclass(frozen=True)
+class Routing:
+    """Of one vector length: M^2, and of each pivot its vector, last coordinate, radius of what it holds and trees."""
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        near = []
-        for dim, v, norm in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            most, centres, extras, _ = routing[dim]
-            near.append(int(distances(centres, extras, np.frombuffer(v, np.int64), math.sqrt(max(0.0, most - norm))).argmin()))
-        return dict(zip(("vec_id", "dim", "v", "norm"), batch.columns, strict=True)) | {"centre": near}
-
-    routed = cut(map_rows(vectors, kernel, "vec_id long, dim int, v binary, norm long, centre int"), "routed")
-    sizes = {(row.dim, row.centre): row.n for row in routed.groupBy("dim", "centre").agg(F.count("*").alias("n")).collect()}  # bounded by TREES
-    trees: dict[tuple[int, int], range] = {}
-    for key in sorted(sizes):
-        first = sum(map(len, trees.values()))
-        trees[key] = range(first, first - (-sizes[key] // routing[key[0]][3]))
-    place = F.create_map(*(x for (dim, centre), r in trees.items() for x in (F.lit(f"{dim}:{centre}"), F.array(F.lit(r.start), F.lit(len(r))))), F.lit(""), F.array(F.lit(0), F.lit(1)))
-    own = place[F.concat_ws(":", "dim", "centre")]
-    routed = routed.withColumn("tree", (own[0] + F.pmod(F.xxhash64("vec_id", "v"), own[1])).cast("int"))
+    most: float
+    centres: np.ndarray
+    extras: np.ndarray
+    radii: np.ndarray
+    parts: np.ndarray
 
-    def load(pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, most = int(pdf.dim.iloc[0]), routing[int(pdf.dim.iloc[0])][0]
-        v = np.array([np.frombuffer(x, np.int64) for x in pdf.v], np.int64).reshape(len(pdf), dim)
-        pages = build(pdf.vec_id.to_numpy(np.int64), v, np.sqrt(np.maximum(0.0, most - pdf.norm.to_numpy(float))))
-        return pd.DataFrame([(dim, int(pdf.tree.iloc[0]), *p) for p in pages], columns=["dim", "tree", "page", "leaf", "refs", "vectors", "extra", "radius", "to_parent"])
-
-    pages = cut(routed.groupBy("dim", "tree").applyInPandas(load, PAGES), "mtree")
-    return pages, routed, {"routing": routing, "trees": trees}
-
-
-def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", tree_rows: int = TREE_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each vector whose id is divisible by every, its k largest products with the others."""
-    spark = df.sparkSession
-    small_batches(spark)
-    vectors = cut(quantised(df, scale, id_col, vector_col), "vectors")
-    pages, routed, table = index(vectors, tree_rows)
-    routing, trees = table["routing"], table["trees"]
-
-    centre = {t: key for key, r in trees.items() for t in r}
-    queries = routed.where(F.col("vec_id") % every == 0).select("dim", "tree", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    home = cut(search(pages, queries.withColumn("bound", F.lit(None).cast("long")), routing, k), "home")
-
-    # The routing table has a row for each tree (bounded by TREES): its centre and the radius of what it holds.
-    def reach(pdf_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pdf_rows:
-            dims, at, v, norm = (batch.column(i).to_pylist() for i in range(4))
-            far = []
-            for dim, t, x, n in zip(dims, at, v, norm, strict=True):
-                most, centres, extras, _ = routing[dim]
-                c = centre[t][1]
-                far.append(float(distances(centres[c : c + 1], extras[c : c + 1], np.frombuffer(x, np.int64), math.sqrt(max(0.0, most - n)))[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(far, pa.float64())], names=["tree", "far"])
-
-    radii = {row.tree: row.far for row in routed.select("dim", "tree", "v", "norm").mapInArrow(reach, "tree int, far double").groupBy("tree").agg(F.max("far").alias("far")).collect()}
-
-    def others(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"dim": [], "tree": [], "query_id": [], "q": [], "bound": []}
-        for dim, at, query_id, q, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            most, centres, _, _ = routing[dim]
-            x = np.frombuffer(q, np.int64)
-            base = float(x @ x) + most
-            d = np.sqrt(np.maximum(0.0, base - 2.0 * (centres @ x)))
-            far = math.inf if bound is None else math.sqrt(max(0.0, base - 2 * bound)) * (1 + 1e-6) + 1e-3
-            for (of, c), r in trees.items():
-                if of == dim:
-                    for t in r:
-                        if t != at and d[c] - radii[t] <= far:
-                            for name, value in zip(out, (dim, t, query_id, q, bound), strict=True):
-                                out[name].append(value)
-        return out
 
-    kth = home.groupBy("query_id", "vec_of").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query_id", "vec_of", F.when(F.col("n") >= k, F.col("least")).alias("bound"))
-    asked = queries.withColumn("vec_of", F.xxhash64("q")).join(kth, ["query_id", "vec_of"], "left").select("dim", "tree", "query_id", "q", "bound")
-    rest = search(pages, map_rows(asked, others, "dim int, tree int, query_id long, q binary, bound long"), routing, k)
-    order = Window.partitionBy("query_id", "vec_of").orderBy(F.desc("score"), "vec_id")
-    return home.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def index(vectors: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, DataFrame, dict[int, Routing]]:
+    """Pages of the forest, the vectors (row, vec_id, dim, v, norm) with their trees, and the routing of each length."""
+    totals = vectors.groupBy("dim").agg(F.max("norm").alias("most"), F.count("*").alias("n")).collect()
+    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE_ROWS).collect()
+    pivots = {}
+    for total in totals:
+        own = [np.frombuffer(row.v, np.int64) for row in sample if row.dim == total.dim]
+        own = np.array(own, np.int64).reshape(len(own), total.dim) if own else np.zeros((1, total.dim), np.int64)
+        extra = np.sqrt(np.maximum(0.0, total.most - (own * own).sum(1).astype(float)))
+        chosen = farthest_first(own, extra, min(PIVOTS, -(-total.n // (2 * tree_rows))))
+        pivots[total.dim] = (float(total.most), own[chosen], extra[chosen])
 
+    def kernel(batch: pa.RecordBatch) -> dict:
+        near, far = [], []
+        for dim, v, norm in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            most, centres, extras = pivots[dim]
+            d = distances(centres, extras, np.frombuffer(v, np.int64), math.sqrt(max(0.0, most - norm)))
+            near.append(int(d.argmin()))
+            far.append(float(d.min()))
+        names = ("row", "vec_id", "dim", "v", "norm")
+        return dict(zip(names, batch.columns, strict=True)) | {"centre": near, "far": far}
+
+    schema = "row long, vec_id long, dim int, v binary, norm long, centre int, far double"
+    routed = cut(map_rows(vectors.select("row", "vec_id", "dim", "v", "norm"), kernel, schema), "routed")
+    routing = {}
+    for dim, (most, centres, extras) in pivots.items():
+        routing[dim] = Routing(most, centres, extras, np.zeros(len(centres)), np.zeros(len(centres), np.int64))
+    held = routed.groupBy("dim", "centre").agg(F.count("*").alias("n"), F.max("far").alias("far"))
+    for row in held.collect():  # a row for each pivot
+        routing[row.dim].radii[row.centre], routing[row.dim].parts[row.centre] = row.far, -(-row.n // tree_rows)
+    parts = F.create_map(*(F.lit(x) for dim, r in routing.items() for c, n in enumerate(r.parts.tolist()) if n for x in (f"{dim}:{c}", n)))
+    place = F.pmod(F.xxhash64("row"), parts[F.concat_ws(":", "dim", "centre")] if routing else F.lit(1))
+    routed = routed.withColumn("part", place.cast("int"))
 
-def search(pages: DataFrame, asked: DataFrame, routing: dict, k: int) -> DataFrame:
-    """query_id, vec_of (which vector, should an id repeat), vec_id, score: the best k of every asked tree."""
+    def load(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = [int(pdf[name].iloc[0]) for name in TREE]
+        v = np.array([np.frombuffer(x, np.int64) for x in pdf.v], np.int64).reshape(len(pdf), tree[0])
+        pages = build(pdf.vec_id.to_numpy(np.int64), v, np.sqrt(np.maximum(0.0, routing[tree[0]].most - pdf.norm.to_numpy(float))))
+        names = [*TREE, "page", "leaf", "refs", "vectors", "extra", "radius", "to_parent"]
+        return pd.DataFrame([(*tree, *p) for p in pages], columns=names)
+
+    return cut(routed.groupBy(*TREE).applyInPandas(load, PAGES), "mtree"), routed, routing
+
+
+def top_k(
+    df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding",
+    tree_rows: int = TREE_ROWS, block: int = BLOCK,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k largest products with the others."""
+    small_batches(df.sparkSession)
+    vectors = cut(quantised(df, scale, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    pages, routed, routing = index(vectors, tree_rows)
+    asking = routed.where(F.col("vec_id") % every == 0)
+    blocks = -(-asking.count() // block) or 1
+    # Each query has the number of its row, so that queries with the same id and vector stay apart.
+    block_of = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
+    queries = asking.select(*TREE, block_of, F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    home = cut(search(pages, cut(queries.withColumn("bound", F.lit(None).cast("long")), "asked"), routing, k), "home")
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*held, strict=True)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            found = pa.RecordBatch.from_arrays(arrays, names=[*CELL, "query", "query_id", "q", "bound"])
+            held.clear()
+            return found
+
+        for batch in batches:
+            for dim, centre, part, *same, q, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                of = routing[dim]
+                x = np.frombuffer(q, np.int64)
+                base = float(x @ x) + of.most
+                d = np.sqrt(np.maximum(0.0, base - 2.0 * (of.centres @ x)))
+                far = math.inf if bound is None else math.sqrt(max(0.0, base - 2 * bound)) * (1 + 1e-6) + 1e-3
+                for c in np.flatnonzero(d - of.radii <= far).tolist():
+                    for p in range(int(of.parts[c])):
+                        if (c, p) != (centre, part):
+                            held.append((dim, c, p, *same, q, bound))
+                            if len(held) == REQUESTS:
+                                yield out()
+        if held:
+            yield out()
+
+    kth = home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    kth = kth.select("query", F.when(F.col("n") >= k, F.col("least")).alias("bound"))
+    asked = queries.join(kth, "query", "left").select(*CELL, "query", "query_id", "q", "bound")
+    asked = asked.mapInArrow(others, "dim int, centre int, part int, block int, query long, query_id long, q binary, bound long")
+    found = cut(home.unionByName(search(pages, cut(asked, "asked"), routing, k)), "found")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    discard(vectors, pages, home)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(pages: DataFrame, asked: DataFrame, routing: dict[int, Routing], k: int) -> DataFrame:
+    """query, query_id, vec_id, score: the best k of every asked tree; asked is a table with CELL, query, query_id, q, bound."""
 
     def run(tree_pages: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(tree_pages) and len(wanted):
             dim = int(wanted.dim.iloc[0])
-            tree = Tree(tree_pages, dim)
+            tree = Tree(tree_pages, dim, routing[dim].most)
             for row in wanted.itertuples():
-                found = tree.search(int(row.query_id), np.frombuffer(row.q, np.int64), routing[dim][0], k, None if pd.isna(row.bound) else int(row.bound))
-                out += [(row.query_id, row.vec_of, vec_id, score) for score, vec_id in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_of", "vec_id", "score"]).astype("int64")
-
-    asked = asked.withColumn("vec_of", F.xxhash64("q"))
-    return pages.groupBy("dim", "tree").cogroup(asked.groupBy("dim", "tree")).applyInPandas(run, "query_id long, vec_of long, vec_id long, score long")
+                bound = None if pd.isna(row.bound) else int(row.bound)
+                found = tree.search(int(row.query_id), np.frombuffer(row.q, np.int64), k, bound)
+                out += [(row.query, row.query_id, vec_id, score) for score, vec_id in found]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"]).astype("int64")
+
+    # A tree goes to the blocks of queries that ask it, and to no other.
+    wanted = pages.join(asked.select(*TREE, F.col("block").alias("asks")).distinct(), TREE)
+    return wanted.groupBy(*TREE, "asks").cogroup(asked.groupBy(*CELL)).applyInPandas(run, "query long, query_id long, vec_id long, score long")

@@ -1,6 +1,7 @@
 """Near-duplicates, top-k and chat formatting against brute force, and their edge cases."""
 
 import json
+import math
 import random
 import re
 
@@ -60,19 +61,55 @@ def test_near_duplicates_equal_brute_force(spark, seed, bases, copies, changes):
         assert got == brute_components(rows, width, 80)
 
 
-def test_rest_finds_what_stars_miss(spark, monkeypatch):
-    """All links between documents of different components come back from prefix filtering alone."""
+def joined(pairs):
+    """Smallest reachable member of everything in pairs."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("pre", [0, 30])
+def test_rest_finds_what_stars_miss(spark, monkeypatch, pre):
+    """All linked components come back from prefix filtering alone, by true links, whatever the sizes of the cells.
+
+    The first ``pre`` documents of every text's copies may hang together already.
+    """
     rows = near_texts(4, 3, 25, 5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    s = {i: word_set(t, 4) for i, t in rows}
+    links = {(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
+    known = joined((a, b) for a, b in links if b < pre)
     sets = near_dedup.full_sets(df, df.select("doc_id", F.lit(True).alias("leads")), 4)
-    rest = df.select("doc_id").join(near_dedup.sketched(df, 4, 2, 2).select("doc_id", F.col("n_shingles").alias("n")), "doc_id").withColumn("component", F.col("doc_id"))
-    got = {(r.a, r.b) for r in near_dedup.links_of_rest(rest, sets, 80).collect()}
-    for least, modest in ((3, 1000), (3, 4), (1000, 1)):  # groups in blocks, long lists in blocks, short lists alone
+    rest = spark.createDataFrame([(i, len(s[i]), known.get(i, i)) for i, _ in rows], "doc_id long, n long, component long")
+    for block, least in ((2048, 256), (6, 3), (6, 1000), (1, 3)):  # one cell, blocks of groups, short lists alone, tiny blocks
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         monkeypatch.setattr(near_dedup, "LIST", least)
-        monkeypatch.setattr(near_dedup, "MODEST", modest)
-        assert got == {(r.a, r.b) for r in near_dedup.links_of_rest(rest, sets, 80).collect()}
-    s = {i: word_set(t, 4) for i, t in rows}
-    assert got == {(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
+        monkeypatch.setattr(near_dedup, "PART", 4 if least == 3 else 256)
+        got = {(r.a, r.b) for r in near_dedup.links_of_rest(rest, sets, 80).collect()}
+        assert got <= links
+        assert joined([*got, *known.items()]) == joined(links)
+
+
+def test_a_group_gives_fewer_links_than_members(spark):
+    """Unlinked near copies of one text: no pair of them is a row, linked ones give a forest."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if r.random() < 0.975 else f"x{r.randint(0, 10**6)}" for w in base)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.full_sets(df, df.select("doc_id", F.lit(True).alias("leads")), 4)
+    rest = df.select("doc_id", F.lit(197).cast("long").alias("n"), F.col("doc_id").alias("component"))
+    got = [(r.a, r.b) for r in near_dedup.links_of_rest(rest, sets, 80).collect()]
+    assert 0 < len(got) <= 399
+    want = {i: c for i, (_, c) in brute_components(rows, 4, 80).items()}
+    assert {i: joined(got).get(i, i) for i in want} == want
 
 
 def test_near_duplicates_edges(spark):
@@ -138,11 +175,25 @@ def test_triangle_bounds_save_distances():
     import pandas as pd
 
     pages = topk_mtree.build(np.arange(len(v)), v, np.sqrt(norms.max() - norms))
-    tree = topk_mtree.Tree(pd.DataFrame(pages, columns=["page", "leaf", "refs", "vectors", "extra", "radius", "to_parent"]), 6)
-    seen = []
-    tree.pages = type("Counted", (dict,), {"__getitem__": lambda self, i: seen.append(i) or dict.__getitem__(self, i)})(tree.pages)
-    found = tree.search(-1, v[0], norms.max(), 5, None)
-    assert {s for s, _ in found} == set(np.sort(v @ v[0])[-5:].tolist()) and len(seen) < len(pages) / 2
+    tree = topk_mtree.Tree(pd.DataFrame(pages, columns=["page", "leaf", "refs", "vectors", "extra", "radius", "to_parent"]), 6, norms.max())
+    found = tree.search(-1, v[0], 5, None)
+    assert {s for s, _ in found} == set(np.sort(v @ v[0])[-5:].tolist()) and tree.seen < len(pages) / 2
+
+
+def test_top_k_of_repeated_queries_and_large_products(spark):
+    """Equal query rows have ranks of their own; products beyond the doubles are exact; blocks change nothing."""
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.float32(np.clip(r.normal(size=5) * 20_000, -32_000, 32_000))]) for i in range(300)]
+    rows += [rows[100], rows[100], (100, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(x) for x in topk_mtree.top_k(df, tree_rows=40, block=2).collect())
+    want = []
+    vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for i, q in vectors:
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in vectors if j != i)[:10]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want) and len(got) == 60
 
 
 CALLS = "conv_id long, call_id string, seq long, name string, arguments string, depends_on array<string>"
