@@ -9,10 +9,12 @@ through these changes when it is first needed (``MergeGadgets.arc``) and kept.
 
 **Bytes.** A byte string has exactly one path through that automaton: its BPE encoding. Subset construction makes it
 deterministic over bytes: a state is the set of live paths, each being the token state where it stands and the node
-of the byte trie that it has reached on its next arc; just one path ends in a whole token at every byte. States and
-transitions get integer numbers when a word first meets them. ``encode_word`` goes over the bytes of a word once, by
-table look-ups, and then reads the arcs of the one path back from its end. The table has a bounded size: a full one
-is emptied between two words and fills again, which changes no result. Decoding emits the labels of the arcs.
+of the byte trie that it has reached on its next arc. Deep in the trie a path is told by the arcs that are still open
+to it, so that paths with one future are one and those without any are dropped. Just one path ends in a whole token
+at every byte. States get their rows of the transition table when a word first meets them. ``encode_word`` goes over
+the bytes of a word once, by table look-ups, and then reads the arcs of the one path back from its end. The table has
+a bounded size: a full one is emptied between two words and fills again, which changes no result. Decoding emits the
+labels of the arcs.
 
 Nulls and texts: a null text counts as empty and has no tokens; ids may repeat; other columns are not read. A model
 in which two merges make the same token is refused.
@@ -42,7 +44,11 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Entries of a worker cache, and the longest string that is kept in one.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 #: Transitions of the byte automaton, and read arcs, that a worker keeps.
-TRANSITIONS, ARCS = 300_000, 1_000_000
+TRANSITIONS, ARCS = 300_000, 500_000
+#: Beside the bytes, a row of the table has the number of its state and the token that ends the path of what was read.
+STATE, LAST = 256, 257
+#: Tokens below a node from which on the open arcs of a path are listed.
+FEW = 6
 NEVER = 1 << 60
 
 
@@ -86,9 +92,9 @@ class MergeGadgets:
     """The automaton over tokens, gadget by gadget: states and arcs are named by tokens."""
 
     def __init__(self, tokens: int):
-        self.copied = array("i", [-1]) * tokens  # state -> the state that it is a copy of
-        self.holder = array("i", [-1]) * tokens  # arc -> the arc whose holders got it
-        self.made = array("i", [-1]) * tokens  # state and arc -> the gadget that made them; bytes were there before
+        self.copied = [-1] * tokens  # state -> the state that it is a copy of
+        self.holder = [-1] * tokens  # arc -> the arc whose holders got it
+        self.made = [-1] * tokens  # state and arc -> the gadget that made them; bytes were there before
         self.taken: dict[int, int] = {}  # (state, arc) -> the gadget that took the arc away
         self.known: dict[int, bool] = {}
         self.gadgets = 0
@@ -111,15 +117,20 @@ class MergeGadgets:
         return held
 
     def _read(self, state: int, arc: int) -> bool:
-        made, before = self.made, NEVER  # the question is always about the time before that gadget
-        while self.taken.get(state << 20 | arc, NEVER) >= before:
-            if made[state] < 0 and made[arc] < 0:
-                return True
-            if made[arc] >= made[state]:  # the state was there when the arc came: it got it if it held the other
-                before, arc = made[arc] + 1, self.holder[arc]
-            else:  # the state is a copy of what another one was then
-                before, state = made[state], self.copied[state]
-        return False
+        made, taken = self.made, self.taken
+        state_made, arc_made, before = made[state], made[arc], NEVER  # it is always asked what held before that gadget
+        while True:
+            key = state << 20 | arc
+            if key in taken and taken[key] < before:
+                return False
+            if arc_made >= state_made:
+                if arc_made < 0:
+                    return True
+                before, arc = arc_made + 1, self.holder[arc]  # the state got the arc if it held the other
+                arc_made = made[arc]
+            else:
+                before, state = state_made, self.copied[state]  # the state is a copy of what another one was then
+                state_made = made[state]
 
 
 class MergeAutomaton(Labels):
@@ -132,18 +143,25 @@ class MergeAutomaton(Labels):
         for merge in self.spec["model"]["merges"]:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.gadgets.add(vocab[a], vocab[b], vocab[a + b])
+        # The byte trie of the labels: nodes, and the tokens at or below each as a range of the sorted ones.
+        self.sorted = sorted(vocab.values(), key=self.labels.__getitem__)
         self.trie: list[dict[int, int]] = [{}]  # node -> byte -> node
         self.whole: list[int] = [-1]  # node -> the token whose label ends there
-        for i in vocab.values():
+        self.low, self.high = [0], [len(self.sorted)]
+        for place, token in enumerate(self.sorted):
             node = 0
-            for byte in self.labels[i]:
-                if (below := self.trie[node].get(byte)) is None:
+            for byte in self.labels[token]:
+                below = self.trie[node].get(byte)
+                if below is None:
                     below = self.trie[node][byte] = len(self.trie)
                     self.trie.append({})
                     self.whole.append(-1)
+                    self.low.append(place)
+                    self.high.append(place)
                 node = below
-            self.whole[node] = i
-        self.sizes = [len(x) for x in self.labels]
+                self.high[node] = place + 1
+            self.whole[node] = token
+        self.sizes, self.codes = [len(x) for x in self.labels], [struct.pack("<I", i) for i in range(len(self.labels))]
         self.split = regex.compile(PATTERN).findall
         special = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut_special = regex.compile(f"({special})").split if special else None
@@ -154,49 +172,82 @@ class MergeAutomaton(Labels):
 
     def _empty(self) -> None:
         """State 0 alone: one path, which stands before the first token and has read nothing."""
-        self.paths: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.paths: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
         self.number = {self.paths[0]: 0}
-        self.last = [-1]  # state -> the token that ends the path of all that was read
-        self.moves: dict[int, int] = {}  # state << 8 | byte -> state
-
-    def _move(self, state: int, byte: int) -> int:
-        """The transition of a state by a byte: subset construction, once for each pair."""
-        live, last = [], -1
-        for at, node in self.paths[state]:
+        self.rows: list[dict] = [{STATE: 0, LAST: -1}]  # state -> byte -> row of the next state
+        self.transitions = 0
+        self.open: dict[int, int] = {}  # token << 20 | node -> the arcs that are open there
+
+    def _arcs(self, at: int, node: int) -> int:
+        """The arcs of the state behind a token that go on at or below a node, as bits."""
+        key = at << 20 | node
+        bits = self.open.get(key)
+        if bits is None:
+            arc, bits = self.gadgets.arc, 0
+            for i, token in enumerate(self.sorted[self.low[node] : self.high[node]]):
+                if at < 0 or arc(at, token):
+                    bits |= 1 << i
+            self.open[key] = bits
+        return bits
+
+    def _move(self, row: dict, byte: int) -> dict:
+        """The row of the next state by a byte: subset construction, once for each pair.
+
+        A path is a node with the token it stands behind or, where few tokens are left below the node, with the arcs
+        that are still open (as -2 - bits): paths with the same open arcs are the same, and without any are dead.
+        """
+        low, high, live, last = self.low, self.high, [], -1
+        for node, at in self.paths[row[STATE]]:
             below = self.trie[node].get(byte)
-            if below is not None:
-                live.append((at, below))
-                token = self.whole[below]
+            if below is None:
+                continue
+            token, left = self.whole[below], high[below] - low[below]
+            if left > FEW:
                 if token >= 0 and (at < 0 or self.gadgets.arc(at, token)):
                     last = token
-        paths = (*live, (last, 0))
+                live.append((below, at))
+                continue
+            bits = (-2 - at) >> low[below] - low[node] & (1 << left) - 1 if at < -1 else self._arcs(at, below)
+            if token >= 0 and bits & 1:
+                last = token
+                bits ^= 1
+            if bits:
+                live.append((below, -2 - bits))
+        paths = (*live, (0, last))
         to = self.number.get(paths)
         if to is None:
             to = self.number[paths] = len(self.paths)
             self.paths.append(paths)
-            self.last.append(last)
-        self.moves[state << 8 | byte] = to
-        return to
+            self.rows.append({STATE: to, LAST: last})
+        self.transitions += 1
+        row[byte] = self.rows[to]
+        return row[byte]
 
-    def encode_word(self, word: bytes) -> list[int]:
+    def packed(self, word: bytes) -> bytes:
         """Ids on the one path of word: every byte is one transition, then the arcs are read back from the end."""
-        if len(self.moves) > TRANSITIONS:
+        if self.transitions > TRANSITIONS:
             self._empty()
-        moves, last, state, ends = self.moves, self.last, 0, []
+        row, ends = self.rows[0], []
+        add = ends.append
         for byte in word:
-            to = moves.get(state << 8 | byte)
-            state = self._move(state, byte) if to is None else to
-            ends.append(last[state])
-        ids, at = [], len(word)
+            try:
+                row = row[byte]
+            except KeyError:
+                row = self._move(row, byte)
+            add(row[LAST])
+        codes, sizes, at, ids = self.codes, self.sizes, len(word), []
         while at:
-            ids.append(token := ends[at - 1])
-            at -= self.sizes[token]
+            token = ends[at - 1]
+            ids.append(codes[token])
+            at -= sizes[token]
         ids.reverse()
-        return ids
+        return b"".join(ids)
+
+    def encode_word(self, word: bytes) -> list[int]:
+        return array("I", self.packed(word)).tolist()
 
     def _word(self, word: str) -> bytes:
-        ids = self.encode_word(word.encode())
-        return array("I", ids).tobytes()
+        return self.packed(word.encode())
 
     def _plain(self, text: str) -> bytes:
         word = text.rstrip(MARKS)
@@ -207,7 +258,7 @@ class MergeAutomaton(Labels):
     def _chunk(self, chunk: str) -> bytes | None:
         """Ids of a space and what follows up to the next one; None where the split may not fall before that space."""
         if chunk.isalpha():
-            return self._word(" " + chunk)
+            return self.packed(b" " + chunk.encode())
         if not chunk or chunk[0] in WHITE or any(s in chunk for s in self.special):
             return None
         above, feed, below = chunk.partition("\n")

@@ -95,7 +95,7 @@ def test_every_byte_is_read_once_and_a_dropped_table_changes_nothing(monkeypatch
     monkeypatch.setattr(bpe_automaton, "TRANSITIONS", 5)
     for word in words * 2:
         assert own.encode_word(word.encode()) == library.encode(word, add_special_tokens=False).ids
-        assert len(own.moves) <= 5 + len(word)
+        assert own.transitions <= 5 + len(word)
 
 
 def test_automaton_knows_the_vocabulary():
