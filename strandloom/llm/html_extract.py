@@ -1,15 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text nodes, each with the path of tags from the root to it. For every path of the page the
-text length and the punctuation of its nodes are summed; both ratios are taken to the number of nodes and fused;
-the values are smoothed over neighbouring nodes in page order; paths whose mean reaches the threshold select
-content nodes. The lowest container (article, main, section, div, body) around all selected nodes, or the article,
-main or part with the h1 around that, is the article, and its blocks (short ones too) are the result. Parts that
-say what they are (navigation, forms, adverts, comments) do not take part, unless they hold the article itself.
-
-The operator is one pass over the pages without a shuffle; a page is never split or cut. A null or empty html, or
-one without content, gives an empty text. Rows that repeat an id are extracted one by one; other columns are not
-read.
+A page is read into blocks of text, each with the path of tags and classes from the root to it (formatting tags count
+to the block they are in). For every path of the page the text length, the punctuation and the text of links of its
+blocks are summed; the ratios to the number of blocks are fused, less the share of links; the values are smoothed over
+neighbouring blocks in page order; paths whose mean reaches the threshold are selected, and their blocks are the
+result, in whatever containers they are. Blocks of other paths join them where they belong to the same article: in an
+``article`` or ``main`` that holds selected blocks, between selected blocks of one element, or as headings,
+paragraphs, lists, tables and quotes directly beside them; mostly linked ones do not.
+
+A prior says what takes no part at all: elements whose tag, or one whole name in class, id or role, stands for what
+is no article (menus, footers, sidebars, notices, adverts, forms, reader comments). A name counts only if all of its
+words are of the prior's or plain words of layout: ``related-posts`` does, ``related-work`` does not. The prior is
+overruled where such an element holds the article itself.
+
+The operator is one pass over the pages without a shuffle; a page is never split or cut, and takes time in proportion
+to its length at any depth of nesting. A null or empty html, or one without content, gives an empty text. Rows that
+repeat an id are extracted one by one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +32,13 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import map_rows, small_batches
 
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+MARKUP = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 NAMES = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،।]")
 
@@ -34,237 +46,295 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？،।]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table "
+    "tbody td tfoot th thead tr ul".split()
 )
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+SIBLINGS = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
+}
 LISTS = frozenset("ul ol dl table select menu".split())
-#: Elements and the words of class, id and role that name what is no article.
-ASIDE_TAGS = frozenset("head nav footer aside button select option dialog menu svg canvas object audio video map label input fieldset".split())
+#: The prior: elements that are no article, and the words of names in class, id and role that say so.
+ASIDE_TAGS = frozenset(
+    "head nav footer aside button select option dialog menu svg canvas object audio video map label input fieldset".split()
+)
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promos promoted promotion comment comments commentlist reply replies disqus respond sidebar sidenav rail nav navbar navigation menu menubar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget toolbar footer copyright colophon masthead skip complementary contentinfo search".split()
+    "sidebar sidenav rail nav navbar navigation menu menubar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices "
+    "notification notifications alert alerts popup modal overlay share sharing social follow related recommended "
+    "recommendations recommendation trending popular newsletter subscribe subscription signup login register pagination pager "
+    "widget widgets toolbar tools footer copyright colophon masthead skip complementary contentinfo search legal disclaimer "
+    "disclaimers privacy terms partners links tags feedback survey paywall donate".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond review reviews discussion discussions".split())
+ADVERT_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos "
+    "promoted promotion promotions".split()
+)
+PRIOR = ASIDE_WORDS | COMMENT_WORDS | ADVERT_WORDS
+#: Plain words of layout, which may stand beside a word of the prior in one name.
+LAYOUT = frozenset(
+    "area articles article banner bar block body bottom box btn button buttons card cards col column container content div "
+    "field footer form global group head header heading icon icons info inner item items left list main message middle module "
+    "news outer page panel pane post posts primary reader readers region right row secondary section site slot small stories "
+    "story text thread title top unit user users view visitor wrap wrapper your zone".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond".split())
-ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promos promoted promotion".split())
-#: Class names that say what a page has or lacks, and the share of a page's text by which such words are overruled.
+#: Class names that say what a page has or lacks, and the share of a page's text by which the prior is overruled.
 MODIFIER, MOST = re.compile(r"(?:has|with|without|no)[-_]"), 0.5
 #: A class of these words alone, one of the first two among them, is the head of a site and not of an article.
 HEAD_WORDS = frozenset(["header", "topbar"])
 HEAD_PARTS = HEAD_WORDS | frozenset("site page top main global wrapper container bar inner".split())
-#: What can be the article; the empty tag is the root of a page.
-CONTAINERS = frozenset(["article", "main", "section", "div", "body", ""])
-#: Share of the mean that a path's smoothed value must reach.
-THRESHOLD = 0.5
-
-
-class Element:
-    __slots__ = ("tag", "parent", "path", "aside", "article", "doubt")
+#: Containers that are part of an article only with selected text in them; every other block element is one by itself.
+GENERIC = frozenset("div section article main body html center form header address details figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the page's mean that a path's smoothed value must reach, and of links from which a block is no text.
+THRESHOLD, LINKED = 0.6, 0.5
+
+
+@dataclass
+class Page:
+    """Elements as rows of parallel lists, numbered in page order, so that a parent comes before what is in it."""
+
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    path: list[int] = field(default_factory=lambda: [0])
+    aside: list[bool] = field(default_factory=lambda: [False])
+    doubt: list[str] = field(default_factory=lambda: [""])
+    article: list[bool] = field(default_factory=lambda: [False])  # whether it is or lies in an article or main
+    paths: dict[tuple[int, str, str], int] = field(default_factory=dict)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters of links
+
+    def add(self, tag: str, parent: int, attributes: str) -> int:
+        aside, doubt, names = self.aside[parent], "", ""
+        if not aside:
+            aside, doubt, names = prior(tag, attributes, self.article[parent])
+        # Formatting does not make a path: its text belongs to the block around it.
+        path = self.path[parent] if tag not in BLOCKS else self.paths.setdefault((self.path[parent], tag, names), len(self.paths) + 1)
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(path)
+        self.aside.append(aside)
+        self.doubt.append(doubt)
+        self.article.append(self.article[parent] or tag in ("article", "main"))
+        return len(self.tag) - 1
+
+    def summed(self, own: dict[int, np.ndarray | int], zero) -> list:
+        """What the elements have of their own, summed over all that is in them."""
+        total = [zero] * len(self.tag)
+        for e in range(len(total) - 1, -1, -1):
+            if e in own:
+                total[e] = total[e] + own[e]
+            if e:
+                total[self.parent[e]] = total[self.parent[e]] + total[e]
+        return total
+
+
+def prior(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, str]:
+    """Whether an element is an aside by itself, else why it may be one (form, comment, advert, word), and its class names."""
+    if tag in ASIDE_TAGS or tag == "header" and not in_article:
+        return True, "", ""
+    doubt, names = "form" if tag == "form" else "", ""
+    if not attributes or tag in ("html", "body"):
+        return False, doubt, names
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and INVISIBLE.search(value):
+            return True, "", ""
+        if name not in ("class", "id", "role"):
+            continue
+        for one in value.split():
+            words = set(NAMES.findall(one))
+            if name == "class":
+                names += " " + "-".join(NAMES.findall(one))
+            if not in_article and words & HEAD_WORDS and words <= HEAD_PARTS:
+                return True, "", ""
+            if not words & PRIOR or not words <= PRIOR | LAYOUT or MODIFIER.match(one):
+                continue
+            if words & COMMENT_WORDS:
+                doubt = "comment" if tag not in ("article", "main") or words & {"comment", "comments", "reply", "review"} else doubt
+            elif tag not in ("article", "main") and doubt != "comment":
+                doubt = "advert" if words & ADVERT_WORDS else doubt or "word"
+    return False, doubt, names
 
-    def __init__(self, tag: str, parent: Element | None, aside: bool, doubt: str = ""):
-        self.tag, self.parent, self.aside, self.doubt = tag, parent, aside, doubt
-        self.path = tag if parent is None else f"{parent.path}/{tag}"
-        self.article = tag in ("article", "main") or parent is not None and parent.article
 
+class Stack:
+    """The open elements of a page, with the places of every tag and of the blocks among them."""
 
-def lineage(element: Element | None) -> list[Element]:
-    """The element and those around it, inside out."""
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out
+    def __init__(self, page: Page):
+        self.page, self.open, self.of_tag, self.blocks = page, [0], defaultdict(list), []
 
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((self.of_tag[t][-1] for t in tags if self.of_tag.get(t)), default=0)
 
-def is_aside(tag: str, attributes: str, parent: Element) -> tuple[bool, str]:
-    """Whether an element is an aside by itself, and else why it may be one: form, comment, word or nothing."""
-    if parent.aside or tag in ASIDE_TAGS or tag == "header" and not parent.article:
-        return True, ""
-    doubt = "form" if tag == "form" else ""
-    if not attributes or tag in ("html", "body"):
-        return False, doubt
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, ""
-        if name in ("class", "id", "role"):
-            if not parent.article and any((own := set(NAMES.findall(c))) & HEAD_WORDS and own <= HEAD_PARTS for c in value.split()):
-                return True, ""
-            words = {w for c in value.split() if not MODIFIER.match(c) for w in NAMES.findall(c)}
-            if words & COMMENT_WORDS and (tag not in ("article", "main") or words & {"comment", "comments", "reply"}):
-                doubt = "comment"
-            elif words & ASIDE_WORDS and tag not in ("article", "main"):
-                doubt = "advert" if words & ADVERT_WORDS else doubt or "word"
-    return False, doubt
+    def push(self, element: int) -> None:
+        tag = self.page.tag[element]
+        self.of_tag[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append(element)
+
+    def pop_to(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.open) > place:
+            tag = self.page.tag[self.open.pop()]
+            self.of_tag[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
 
+    def close(self, tag: str) -> None:
+        place = self.last((tag,))
+        if place and (tag in BLOCKS or not self.blocks or self.blocks[-1] < place):  # formatting ends within its block
+            self.pop_to(place)
 
-def set_aside(groups: list[list[tuple[Element, str]]], opened: list[Element]) -> None:
-    """Make asides of the elements in doubt, unless they hold the article or, as sections of it, text like the rest."""
-    if not any(e.doubt for e in opened):
-        return
-    sums = defaultdict(lambda: [0, 0, 0])  # characters, punctuation, blocks
-    for group in groups:
-        touched = set()
-        for node, text in group:
-            chars, marks = len(" ".join(text.split())), len(PUNCTUATION.findall(text))
-            for e in lineage(node):
-                of_e = sums[e]
-                of_e[0] += chars
-                of_e[1] += marks
-                if e not in touched:
-                    touched.add(e)
-                    of_e[2] += 1
-    if not sums:
-        return
-    root = lineage(opened[0])[-1]
-    total = sums[root]
-    within, heads = defaultdict(int), [e for e in opened if e.tag in ("article", "main", "h1") and not e.doubt]
-    for head in heads:
-        for e in lineage(head):
-            within[e] += 1
-    for e in opened:  # outer ones first
-        e.aside = e.parent.aside
-        if e.doubt and not e.aside and e in sums:
-            (chars, marks, n), share = sums[e], sums[e][0] / max(1, total[0])
-            headed = heads and within[e] == len(heads)
-            least = MOST if e.doubt == "comment" or not heads else MOST / 2
-            holds = share >= least and (headed or not heads and e.doubt != "comment")
-            like = e.doubt == "word" and e.tag == "section" and e.parent.article and chars * (1 + marks) / n**2 >= total[0] * (1 + total[1]) / total[2] ** 2
-            e.aside = not (holds or like)
+    def make_room(self, tag: str) -> None:
+        """End what a new element ends: an open paragraph, and list items and cells beside it."""
+        if tag in BLOCKS and self.blocks and self.page.tag[self.open[self.blocks[-1]]] == "p":
+            self.pop_to(self.blocks[-1])
+        if tag in SIBLINGS and (place := self.last(SIBLINGS[tag])) > self.last(LISTS):
+            self.pop_to(place)
+            while self.page.tag[self.open[-1]] in SIBLINGS[tag]:
+                self.pop_to(len(self.open) - 1)
 
 
-def text_blocks(html: str) -> list[tuple[Element, str]]:
-    """(element, text) for every block in page order that is not set aside; white space is one space."""
-    root = Element("", None, False)
-    node, at, groups, pieces, opened = root, 0, [], [], []
+def read(html: str) -> Page:
+    """The elements of a page and its blocks of text that are not set aside; white space is one space."""
+    page, at, groups, pieces = Page(), 0, [], []
+    stack, end = Stack(page), len(html)
+    add_text = lambda text: text and not page.aside[stack.open[-1]] and pieces.append((stack.open[-1], text))
 
     def close_block() -> None:
-        nonlocal pieces
         if pieces:
-            groups.append(pieces)
-            pieces = []
-
-    def add(text: str) -> None:
-        if text and not node.aside:
-            pieces.append((node, text))
+            groups.append(pieces.copy())
+            pieces.clear()
 
-    end = len(html)
     while at < end:
         m = MARKUP.search(html, at)
         if m is None:
-            add(html[at:])
+            add_text(html[at:])
             break
-        add(html[at : m.start()])
+        add_text(html[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if tag in BLOCKS:
+            close_block()
         if closing:
-            if tag in BLOCKS:
-                close_block()
-            up = node
-            while up is not root and up.tag != tag and not (tag not in BLOCKS and up.tag in BLOCKS):
-                up = up.parent
-            if up is not root and up.tag == tag:
-                node = up.parent
-            continue
-        if tag in RAW:
+            stack.close(tag)
+        elif tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             at = stop.end() if stop else end
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                close_block()
-            elif tag == "br":
-                add(" ")
-            continue
-        if tag in BLOCKS:
-            close_block()
-            up = node
-            while up is not root and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":  # an open paragraph ends where a block begins
-                node = up.parent
-        if tag in SIBLINGS:
-            up = node
-            while up is not root and up.tag not in SIBLINGS[tag] and up.tag not in LISTS:
-                up = up.parent
-            while up is not root and up.tag in SIBLINGS[tag]:
-                node = up = up.parent
-        if attributes.rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        node = Element(tag, node, *is_aside(tag, attributes, node))
-        if not node.aside:
-            opened.append(node)
+        elif tag in VOID:
+            if tag == "br":
+                add_text(" ")
+        else:
+            stack.make_room(tag)
+            if not attributes.rstrip().endswith("/") or tag in BLOCKS:
+                stack.push(page.add(tag, stack.open[-1], attributes))
     close_block()
     groups = [group for group in groups if any(not text.isspace() for _, text in group)]
-    set_aside(groups, opened)
-    blocks = []
+    set_aside(page, groups)
+    block_of = [0] * len(page.tag)  # the block element around every element
+    linked = [False] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        block_of[e] = e if page.tag[e] in BLOCKS else block_of[page.parent[e]]
+        linked[e] = page.tag[e] == "a" or linked[page.parent[e]]
     for group in groups:
-        owner, kept = root, []
-        for at_node, text in group:
-            if not at_node.aside:
-                if not kept or not at_node.path.startswith(owner.path):
-                    owner = at_node if not kept or not text.isspace() else owner
-                kept.append(text)
-        text = " ".join(entities.unescape("".join(kept)).split())
+        kept = [(e, text) for e, text in group if not page.aside[e]]
+        text = " ".join(entities.unescape("".join(text for _, text in kept)).split())
         if text:
-            blocks.append((owner, text))
-    return blocks
-
-
-def container(selected: list[Element], every: list[Element]) -> Element:
-    """The article: the lowest container around all selected blocks, or the article, main or headed part around that."""
-    shared, seen = lineage(selected[0]), set()
-    for element in selected:
-        if id(element) not in seen:
-            seen.add(id(element))
-            own = set(map(id, lineage(element)))
-            shared = [e for e in shared if id(e) in own]
-    held = [e for e in shared if e.tag in CONTAINERS]
-    for tag in ("article", "main"):
-        for e in held:
-            if e.tag == tag:
-                return e
-    headed = {id(e) for line in map(lineage, every) if any(x.tag == "h1" for x in line) for e in line}
-    return next((e for e in held if id(e) in headed), held[0])
-
-
-def content(blocks: list[tuple[Element, str]]) -> list[str]:
-    """The blocks of the article, in page order."""
-    if not blocks:
-        return []
+            first = next(e for e, part in kept if not part.isspace())
+            page.blocks.append((block_of[first], text, sum(len(part.strip()) for e, part in kept if linked[e])))
+    return page
+
+
+def set_aside(page: Page, groups: list[list[tuple[int, str]]]) -> None:
+    """Make asides of the elements in doubt, unless they hold the article or, as sections of it, text like the rest."""
+    if not any(page.doubt):
+        return
+    own: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(3, np.int64))  # characters, punctuation, blocks
+    for group in groups:
+        for i, (e, text) in enumerate(group):
+            own[e] += (len(" ".join(text.split())), len(PUNCTUATION.findall(text)), not i)
+    sums = page.summed(own, np.zeros(3, np.int64))
+    heads = {e: 1 for e, tag in enumerate(page.tag) if tag in ("article", "main", "h1") and not page.doubt[e] and not page.aside[e]}
+    within, total = page.summed(heads, 0), sums[0]
+    for e in range(1, len(page.tag)):  # outer ones first
+        page.aside[e] = page.aside[e] or page.aside[page.parent[e]]
+        doubt, (chars, marks, blocks) = page.doubt[e], sums[e]
+        if doubt and not page.aside[e]:
+            headed = heads and within[e] == len(heads)
+            least = MOST if doubt == "comment" or not heads else MOST / 2
+            holds = chars >= least * max(1, total[0]) and (headed or not heads and doubt != "comment")
+            like = doubt == "word" and page.tag[e] == "section" and page.article[page.parent[e]]
+            like = like and chars * (1 + marks) * total[2] ** 2 >= total[0] * (1 + total[1]) * blocks**2
+            page.aside[e] = not (holds or like)
+
+
+def selected_paths(page: Page) -> np.ndarray:
+    """Whether the path of each block is one of content."""
     paths = defaultdict(list)
-    for i, (element, _) in enumerate(blocks):
-        paths[element.path].append(i)
-    ratio = np.empty(len(blocks))
+    for i, (e, _, _) in enumerate(page.blocks):
+        paths[page.path[e]].append(i)
+    size = np.array([len(text) for _, text, _ in page.blocks], float)
+    marks = np.array([len(PUNCTUATION.findall(text)) for _, text, _ in page.blocks], float)
+    links = np.array([min(n, len(text)) for _, text, n in page.blocks], float)
+    ratio = np.empty(len(size))
     for of_path in paths.values():
-        chars, marks = sum(len(blocks[i][1]) for i in of_path), sum(len(PUNCTUATION.findall(blocks[i][1])) for i in of_path)
-        ratio[of_path] = chars / len(of_path) * (1 + marks) / len(of_path)  # length and punctuation to a node, fused
-    ratio = np.log1p(ratio)
+        n, chars = len(of_path), size[of_path].sum()
+        length, punctuation, linked = chars / n, (n + marks[of_path].sum()) / n, links[of_path].sum() / chars
+        ratio[of_path] = np.log1p(length * punctuation * (1 - linked))  # the ratios of a path, fused
     padded = np.pad(ratio, 1, mode="edge")
-    smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
-    weight = np.array([len(text) for _, text in blocks], float)
-    least = THRESHOLD * float((smooth * weight).sum() / weight.sum())
-    selected = [blocks[i][0] for of_path in paths.values() if smooth[of_path].mean() >= least for i in of_path]
-    article = container(selected or [element for element, _ in blocks], [element for element, _ in blocks])
+    smooth = np.minimum(0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:], 2 * ratio)
+    least = THRESHOLD * float((smooth * size).sum() / size.sum())
+    chosen = np.zeros(len(size), bool)
+    for of_path in paths.values():
+        chosen[of_path] = smooth[of_path].mean() >= least
+    return chosen if chosen.any() else ~chosen
+
+
+def content(page: Page) -> list[str]:
+    """The blocks of the article, in page order."""
+    if not page.blocks:
+        return []
+    chosen = selected_paths(page)
+    first, last, heads = {}, {}, {}
+    for i, (e, _, _) in enumerate(page.blocks):
+        if chosen[i]:
+            first.setdefault(e, i)
+            last[e] = i
+        heads[e] = heads.get(e, True) and page.tag[e] in HEADINGS
+    for e in range(len(page.tag) - 1, 0, -1):  # of each element: its first and last selected block, and if it has headings only
+        up = page.parent[e]
+        if e in first:
+            first[up], last[up] = min(first[e], first.get(up, first[e])), max(last[e], last.get(up, last[e]))
+        if e in heads:
+            heads[up] = heads.get(up, True) and heads[e]
+    around, child, whole = [0] * len(page.tag), [0] * len(page.tag), [False] * len(page.tag)
+    for e in range(1, len(page.tag)):  # the lowest element around with selected blocks, what of it holds e, and if that is an article
+        up = page.parent[e]
+        around[e], child[e] = (e, e) if e in first else (around[up], child[up] if child[up] != around[up] else e)
+        whole[e] = whole[up] or page.tag[e] in ("article", "main") and e in first
     out = []
-    for element, text in blocks:
-        up = element
-        while up is not None and up is not article:
-            up = up.parent
-        if up is article:
+    for i, (e, text, links) in enumerate(page.blocks):
+        holder, part = around[e], child[e]
+        joins = whole[e] or first[holder] < i < last[holder] or page.tag[part] not in GENERIC or heads[part]
+        if chosen[i] or joins and links < LINKED * len(text):
             out.append(text)
     return out
 
 
 def main_text(html: str) -> str:
-    return "\n\n".join(content(text_blocks(html)))
+    return "\n\n".join(content(read(html)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text of every page."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html)
 
     def kernel(batch: pa.RecordBatch) -> dict:
         return {"page_id": batch.column(0), "url": batch.column(1), "text": [main_text(x) for x in batch.column(2).to_pylist()]}

@@ -261,6 +261,52 @@ def test_section_of_an_article_stays_and_links_go():
     assert got.split("\n\n") == ["T", LONG, LONG, f"{LONG} {LONG}"]
 
 
+def paragraphs(n):
+    return f"<p>{LONG}</p>" * n
+
+
+@pytest.mark.parametrize("one,two", [("div class='part one'", "div class='part two'"), ("div", "div"), ("section", "section id='s2'"), ("div id='a'", "section")])
+def test_article_in_two_containers_is_whole(one, two):
+    inside = f"<h1>T</h1><{one}>{paragraphs(8)}</{one.split()[0]}><{two}><h2>Sub</h2>{paragraphs(3)}</{two.split()[0]}>"
+    nav, foot = "<nav><a href='/'>Home, sweet home.</a></nav>", "<footer>All rights reserved.</footer>"
+    for page in (f"<body>{nav}{inside}{foot}</body>", f"<body>{nav}<div id='page'>{inside}</div>{foot}</body>"):
+        assert html_extract.main_text(page).split("\n\n") == ["T"] + [LONG] * 8 + ["Sub"] + [LONG] * 3
+
+
+@pytest.mark.parametrize("name", ["links", "tools", "legal", "disclaimer", "user-reviews", "discussion", "partners", "trending", "related-posts", "site-search", "cookie-banner", "reader-comments"])
+def test_boilerplate_goes(name):
+    text = "We are not liable, in any way, for what is said here. Read on, please."
+    for part in (f"<div class='{name}'><p>{text}</p><p>{text}</p></div>", f"<div class='{name}'>{text}</div>", f"<section id='{name}'><ul><li><a href='/x'>{text}</a></li></ul></section>"):
+        for page in (f"<body><div>{paragraphs(4)}</div>{part}</body>", f"<body>{part}<article>{paragraphs(4)}</article></body>"):
+            assert html_extract.main_text(page).split("\n\n") == [LONG] * 4
+
+
+def test_short_or_linked_parts_go_whatever_their_names():
+    parts = ["<div class='xq'><p>Buy it</p></div>", "<div class='qy'>" + f"<p><a href='/'>{LONG}</a></p>" * 3 + "</div>", "<div><span>12 of 30</span></div>"]
+    for part in parts:
+        assert html_extract.main_text(f"<body><div>{paragraphs(6)}</div>{part}</body>").split("\n\n") == [LONG] * 6
+        assert html_extract.main_text(f"<body>{part}<main><h1>T</h1>{paragraphs(6)}</main></body>").split("\n\n") == ["T"] + [LONG] * 6
+
+
+@pytest.mark.parametrize("name", ["social-policy", "related-work", "share-prices", "alert-level", "notice-period", "search-results-explained"])
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_names_of_sections_are_not_taken_for_boilerplate(name, tag):
+    page = f"<body><article><h1>T</h1>{paragraphs(3)}<{tag} class='{name}'><h2>Sub</h2><p>{LONG}</p><p>Short.</p></{tag}>{paragraphs(2)}</article></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["T"] + [LONG] * 3 + ["Sub", LONG, "Short."] + [LONG] * 2
+
+
+@pytest.mark.parametrize("piece", ["<div>x y.", "<b>x", "<p><b>", "<ul><li>a", "<tr><td>a", "</i><b>", "<a '", "<"])
+def test_hostile_pages_take_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extract.main_text("<i><p>" + piece * n)
+        return time.process_time() - began
+
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
+
+
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", PAGE, "x"), (3, "u", PAGE, "x"), (4, "u", "<p>" + "a, " * 100_000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: len(r.text) for r in html_extract.extract(df).collect()}
