@@ -85,15 +85,28 @@ def dense_ranks(df: DataFrame, *columns: str, on: str | None = None) -> DataFram
     return ranked.withColumn("rank", F.row_number().over(order) - 1).withColumn("gapped", (F.col("rank") + F.sum("_gap").over(order)).cast("long")).drop("_gap")
 
 
-def sparse_to_dense(points: DataFrame, ranks: DataFrame, point: str = "pos") -> DataFrame:
-    """points with gapped: that of the coordinate itself, or of the gap cell before the next one above."""
-    last = F.max(F.when(F.col("_is"), F.struct("coordinate", "gapped"))).over(Window.partitionBy(F.lit(0)).orderBy("coordinate", F.desc("_is")).rowsBetween(Window.unboundedPreceding, 0))
-    both = ranks.select("coordinate", "gapped", F.lit(True).alias("_is"), F.lit(None).cast("long").alias("_p")).unionByName(
-        points.select(F.col(point).alias("coordinate"), F.lit(None).cast("long").alias("gapped"), F.lit(False).alias("_is"), F.col(point).alias("_p")).distinct()
-    )
-    found = both.withColumn("_last", last).where(~F.col("_is"))
-    cell = F.when(F.col("_last.coordinate") == F.col("_p"), F.col("_last.gapped")).otherwise(F.coalesce(F.col("_last.gapped") + 1, F.lit(0)))
-    return points.join(found.select(F.col("_p").alias(point), cell.alias("gapped")), point)
+def sparse_to_dense(points: DataFrame, ranks: DataFrame, point: str = "pos", on: str | None = None, bin_width: int = 4096) -> DataFrame:
+    """points with gapped: that of the coordinate itself, or of the gap cell before the next one above.
+
+    ranks is what dense_ranks gives, for each value of on if that is named. Coordinates become intervals up to the
+    next one, which points are joined to by bins, so no task holds all points. Null points give no rows.
+    """
+    keys = [on] if on else []
+    key = F.col(on) if on else F.lit(0)
+    own = ranks.select(key.alias("_on"), "coordinate", "gapped")
+    after = F.lead("coordinate").over(Window.partitionBy("_on").orderBy("coordinate")) - 1
+    inner = own.withColumn("_to", after).where(F.col("_to").isNotNull())
+    ends = own.groupBy("_on").agg(F.min("coordinate").alias("_least"), F.max(F.struct("coordinate", "gapped")).alias("_last"))
+    asked = points.select(*keys, F.col(point).alias("_point")).distinct().where(F.col("_point").isNotNull())
+    asked = asked.withColumn("_on", key).drop(*keys)
+    found = stab_join(asked, inner, on="_on", point="_point", lo="coordinate", hi="_to", bin_width=bin_width)
+    cell = lambda c, g: F.when(c == F.col("_point"), g).otherwise(g + 1)
+    between = found.select("_on", "_point", cell(F.col("coordinate"), F.col("gapped")).alias("gapped"))
+    beyond = asked.join(ends, "_on", "left").where(F.col("_least").isNull() | (F.col("_point") < F.col("_least")) | (F.col("_point") >= F.col("_last.coordinate")))
+    outer = F.when(F.col("_point") >= F.col("_last.coordinate"), cell(F.col("_last.coordinate"), F.col("_last.gapped"))).otherwise(0)
+    cells = between.unionByName(beyond.select("_on", "_point", outer.cast("long").alias("gapped")))
+    joined = points.join(cells, (key == F.col("_on")) & (F.col(point) == F.col("_point")))
+    return joined.select(*points.columns, "gapped")
 
 
 def having_min_hits(hits: DataFrame, by: list[str], least: int) -> DataFrame:

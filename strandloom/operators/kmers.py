@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -17,6 +18,8 @@ for _i, _letter in enumerate(b"ACGT"):
     _CODE[_letter] = _CODE[_letter + 32] = _i
 #: Rows of one Arrow batch that a kernel gives out, about.
 OUT_ROWS = 1 << 16
+#: K-mers of a reference that are broadcast, at most (8 bytes each).
+MOST_MEMBERS = 1_000_000
 
 
 def window_codes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,12 +37,14 @@ def window_codes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, forward[starts], backward[starts]
 
 
-def kmers(df: DataFrame, seq: str, k: int, *, positions: bool = False, both_strands: bool = False, canonical: bool = False) -> DataFrame:
+def kmers(
+    df: DataFrame, seq: str, k: int, *, positions: bool = False, both_strands: bool = False, canonical: bool = False, among: Broadcast | None = None
+) -> DataFrame:
     """One row for each valid window of the column seq, with df's other columns.
 
     Adds kmer (code), with both_strands rc (code of the reverse complement), with positions pos (0-based start) and
     with both also rc_pos (start on the other strand); canonical makes kmer the smaller of both codes. Sequences
-    that are null or shorter than k give no rows.
+    that are null or shorter than k give no rows. among: sorted codes, broadcast; other k-mers give no rows.
     """
     checked(k)
     keys = [c for c in df.columns if c != seq]
@@ -62,6 +67,11 @@ def kmers(df: DataFrame, seq: str, k: int, *, positions: bool = False, both_stra
             for row, text in enumerate(batch.column(len(keys)).to_pylist()):
                 if text:
                     starts, forward, backward = window_codes(text, k)
+                    if among is not None and len(starts):
+                        codes = np.minimum(forward, backward) if canonical else forward
+                        at = np.minimum(np.searchsorted(among.value, codes), len(among.value) - 1)
+                        kept = among.value[at] == codes if len(among.value) else np.zeros(len(codes), bool)
+                        starts, forward, backward = starts[kept], forward[kept], backward[kept]
                     for at in range(0, len(starts), OUT_ROWS):
                         piece = slice(at, at + OUT_ROWS)
                         parts.append((row, starts[piece], forward[piece], backward[piece], len(text) - k - starts[piece]))
@@ -75,6 +85,19 @@ def kmers(df: DataFrame, seq: str, k: int, *, positions: bool = False, both_stra
     return df.select(*keys, seq).mapInArrow(run, schema)
 
 
+def kmers_among(df: DataFrame, seq: str, k: int, members: DataFrame, *, positions: bool = False, most: int = MOST_MEMBERS) -> DataFrame:
+    """The rows of ``kmers`` whose kmer is one of members (distinct kmer).
+
+    Up to ``most`` members are broadcast as a sorted array and looked up where the k-mers are made, so that only hits
+    leave a task. Whether they are that few is found by reading no more than one beyond; more are joined by a shuffle.
+    """
+    some = np.sort(members.select("kmer").limit(most + 1).toArrow().column(0).to_numpy())
+    if len(some) <= most:
+        return kmers(df, seq, k, positions=positions, among=df.sparkSession.sparkContext.broadcast(some))
+    every = kmers(df, seq, k, positions=positions)
+    return every.join(members.select("kmer"), "kmer", "left_semi")
+
+
 def spectrum(df: DataFrame, seq: str, k: int, canonical: bool = True) -> DataFrame:
     """kmer, n: how often each k-mer occurs in all sequences."""
     return kmers(df.select(seq), seq, k, canonical=canonical).groupBy("kmer").agg(F.count("*").alias("n"))

@@ -99,8 +99,8 @@ def include_exclude(df: DataFrame, column: str, include: DataFrame | None = None
 def counted(df: DataFrame, flag: str) -> DataFrame:
     """flag, n, percent of all rows for each value of a flag."""
     n = df.groupBy(flag).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.crossJoin(F.broadcast(total)).select(flag, "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))  # one row
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over one row for each value of the flag
+    return n.withColumn("percent", F.col("n") * 100.0 / total)
 
 
 def digest(text: Column, seed: int = 0) -> Column:

@@ -12,6 +12,23 @@ from strandloom.operators.intervals import stab_join
 from strandloom.operators.stats import bh_threshold
 
 
+#: Headings of the table as a file has them, where they differ from the column names.
+HEADINGS = {
+    "gene_name": "geneName", "gene_id": "geneId", "hetSites": "numHets", "meanCount": "avgCov", "sdCount": "covSd",
+    "highHap": "highHaplo", "lowHap": "lowHaplo",
+}
+
+
+def as_file(table: DataFrame) -> DataFrame:
+    """The gene table with the headings of a file."""
+    return table.withColumnsRenamed(HEADINGS)
+
+
+def few_sites(placed: DataFrame, min_hets: int) -> DataFrame:
+    """low_hets: how many genes with sites have fewer than min_hets of them, as one row."""
+    return placed.groupBy("chrom", "lo", "hi").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") < min_hets).alias("low_hets"))
+
+
 def gene_sites(genes: DataFrame, sites: DataFrame) -> DataFrame:
     """chrom, pos, ord, alleles, lo, hi, gene_id, gene_name: heterozygous sites (chrom, pos, ord, alleles) in genes.
 
@@ -50,16 +67,37 @@ def gene_table(scored: DataFrame, min_hets: int, gene: list[str]) -> DataFrame:
     return kept.withColumn("highFrac", F.col("highCount") / (F.col("highCount") + F.col("lowCount"))).withColumn("pValue", chi2_tail(F.col("g"), F.col("hetSites")))
 
 
-def allele_specific_expression(genes: DataFrame, sites: DataFrame, alignments: DataFrame, *, min_hets: int = 2, min_coverage: int = 10, q: float = 0.05, min_fraction: float = 0.5, mode: str = "zero_based", ranked: bool = True) -> DataFrame:
-    """The gene table, tested, filtered and sorted by p-value, then by falling share of the major allele."""
+GENE = ["chrom", "lo", "hi", "gene_id", "gene_name"]
+
+
+def measured(genes: DataFrame, sites: DataFrame, alignments: DataFrame, *, min_hets: int = 2, min_coverage: int = 10) -> DataFrame:
+    """The gene table over the sites of genes with min_hets of them, from reads at sites with min_coverage of the major allele."""
     placed = gene_sites(genes, sites)
-    eligible = placed.join(placed.groupBy("chrom", "lo", "hi").agg(F.count("*").alias("hets")).where(F.col("hets") >= min_hets).drop("hets"), ["chrom", "lo", "hi"], "left_semi")
+    enough = placed.groupBy("chrom", "lo", "hi").agg(F.count("*").alias("hets")).where(F.col("hets") >= min_hets).drop("hets")
+    eligible = placed.join(enough, ["chrom", "lo", "hi"], "left_semi")
     counts = top_two(allele_counts(alignments, eligible), ["chrom", "pos"]).where(F.col("major") >= min_coverage)
     number = lambda c: (F.array_position("alleles", F.col(c)) - 1).cast("int")
-    scored = eligible.join(counts, ["chrom", "pos"]).withColumn("major_number", number("major_allele")).withColumn("minor_number", number("minor_allele"))
-    table = bh_threshold(gene_table(scored, min_hets, ["chrom", "lo", "hi", "gene_id", "gene_name"]), "pValue", q, mode, "gene_id")
-    out = table.where((F.col("highFrac") >= min_fraction) & (F.col("pValue") < F.col("threshold"))).select(
-        "gene_name", "gene_id", locus(F.col("chrom"), F.col("lo"), F.col("hi")).alias("locus"), "hetSites", "highCount", "lowCount", "meanCount", "sdCount", "highFrac", "pValue", F.col("threshold").alias("qValue"),
-        haplotypes(F.col("highHap")).alias("highHap"), haplotypes(F.col("lowHap")).alias("lowHap"), F.array_join(F.transform("positions", lambda p: p.cast("string")), "/").alias("positions"),
+    scored = eligible.join(counts, ["chrom", "pos"]).withColumn("major_number", number("major_allele"))
+    return gene_table(scored.withColumn("minor_number", number("minor_allele")), min_hets, GENE)
+
+
+def displayed(table: DataFrame) -> DataFrame:
+    """table with locus, and with haplotypes and positions as texts."""
+    positions = F.array_join(F.transform("positions", lambda p: p.cast("string")), "/")
+    texts = {"highHap": haplotypes(F.col("highHap")), "lowHap": haplotypes(F.col("lowHap")), "positions": positions}
+    return table.withColumns({"locus": locus(F.col("chrom"), F.col("lo"), F.col("hi"))} | texts)
+
+
+def allele_specific_expression(
+    genes: DataFrame, sites: DataFrame, alignments: DataFrame, *, min_hets: int = 2, min_coverage: int = 10, q: float = 0.05,
+    min_fraction: float = 0.5, mode: str = "zero_based", ranked: bool = True,
+) -> DataFrame:
+    """The gene table, tested, filtered and sorted by p-value, then by falling share of the major allele."""
+    table = measured(genes, sites, alignments, min_hets=min_hets, min_coverage=min_coverage)
+    tested = bh_threshold(table, "pValue", q, mode, "gene_id")
+    kept = displayed(tested.where((F.col("highFrac") >= min_fraction) & (F.col("pValue") < F.col("threshold"))))
+    out = kept.select(
+        "gene_name", "gene_id", "locus", "hetSites", "highCount", "lowCount", "meanCount", "sdCount", "highFrac", "pValue",
+        F.col("threshold").alias("qValue"), "highHap", "lowHap", "positions",
     )
     return out.orderBy("pValue", F.desc("highFrac"), "gene_id") if ranked else out

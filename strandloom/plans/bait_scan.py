@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.intervals import coalesce_runs
-from strandloom.operators.kmers import kmers
+from strandloom.operators.kmers import kmers, kmers_among
 
 K = 27
 
@@ -19,6 +19,8 @@ def bait_index(baits: DataFrame, name: str = "name", seq: str = "seq", k: int =
 
 def bait_hits(genome: DataFrame, baits: DataFrame, *, name: str = "name", seq: str = "seq", k: int = K) -> DataFrame:
     """chrom, lo, hi, bait: runs of positions whose k-mers belong to a bait, 0-based and closed, hi at the last base."""
-    places = kmers(genome.select(F.col(name).alias("chrom"), F.col(seq).alias("seq")), "seq", k, positions=True)
-    found = places.join(bait_index(baits, name, seq, k), "kmer")
+    index = bait_index(baits, name, seq, k)
+    sequences = genome.select(F.col(name).alias("chrom"), F.col(seq).alias("seq"))
+    places = kmers_among(sequences, "seq", k, index.select("kmer").distinct(), positions=True)
+    found = places.join(index, "kmer")
     return coalesce_runs(found, by=["chrom", "bait"], width=k).select("chrom", "lo", "hi", "bait")

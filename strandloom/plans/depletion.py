@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.kmers import kmers, sampled
+from strandloom.operators.kmers import kmers, kmers_among, sampled
 from strandloom.operators.table import counted
 
 K = 25
@@ -20,20 +20,25 @@ def reference_kmers(reference: DataFrame, seq: str = "seq", k: int = K, seed: in
 
 def hits(pairs: DataFrame, members: DataFrame, k: int = K, seqs: tuple[str, ...] = ("seq_1", "seq_2"), key: str = "read_no") -> DataFrame:
     """Distinct keys of the pairs with a k-mer of either mate among the members."""
-    ends = None
-    for seq in seqs:
-        one = pairs.select(key, F.col(seq).alias("seq"))
-        ends = one if ends is None else ends.unionByName(one)
-    return kmers(ends, "seq", k).distinct().join(members, "kmer", "left_semi").select(key).distinct()
+    ends = F.explode(F.array(*(F.col(seq) for seq in seqs))).alias("seq")
+    return kmers_among(pairs.select(key, ends), "seq", k, members).select(key).distinct()
 
 
-def deplete(pairs: DataFrame, reference: DataFrame, *, k: int = K, seqs: tuple[str, ...] = ("seq_1", "seq_2"), key: str = "read_no", seed: int = 0, probability: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(kept, tossed): pairs without and with a k-mer of the reference."""
+def marked(
+    pairs: DataFrame, reference: DataFrame, *, k: int = K, seqs: tuple[str, ...] = ("seq_1", "seq_2"), key: str = "read_no", seed: int = 0, probability: float = 1.0
+) -> DataFrame:
+    """pairs with hit: whether a mate has a k-mer of the reference."""
     found = hits(pairs, reference_kmers(reference, k=k, seed=seed, probability=probability), k, seqs, key)
-    return pairs.join(found, key, "left_anti"), pairs.join(found, key, "left_semi")
+    found = found.select(F.col(key).alias("_hit"))
+    return pairs.join(found, pairs[key].eqNullSafe(found["_hit"]), "left").withColumn("hit", F.col("_hit").isNotNull()).drop("_hit")
+
+
+def deplete(pairs: DataFrame, reference: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(kept, tossed): pairs without and with a k-mer of the reference; options as of ``marked``."""
+    both = marked(pairs, reference, **options)
+    return both.where(~F.col("hit")).drop("hit"), both.where("hit").drop("hit")
 
 
 def counts(pairs: DataFrame, reference: DataFrame, **options) -> DataFrame:
     """hit, n, percent."""
-    kept, tossed = deplete(pairs, reference, **options)
-    return counted(kept.select(F.lit(False).alias("hit")).unionByName(tossed.select(F.lit(True).alias("hit"))), "hit")
+    return counted(marked(pairs, reference, **options), "hit")

@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.stats import gamma_tail, genotype, heterozygous_fit, homozygous_fit
-from strandloom.functions.strings import locus
+from strandloom.functions.strings import karyotype_rank, locus
 from strandloom.operators.intervals import in_regions
 from strandloom.operators.pileup import divergences
 from strandloom.operators.stats import gamma_fit
 from strandloom.sources.fasta import context
+from strandloom.sources.shared import cut
+
+
+#: Headings of the table as a file has them, where they differ from the column names.
+HEADINGS = {"num_samples": "num.samples", "pseudo_allele_count": "pseudo.allele.count"}
+
+
+def as_file(table: DataFrame) -> DataFrame:
+    """The table of ``significant`` with the headings of a file, sorted by chromosome in karyotype order and position."""
+    chrom, pos = F.substring_index("locus", ":", 1), F.substring_index("locus", ":", -1).cast("long")
+    ordered = table.orderBy(karyotype_rank(chrom), chrom, pos, "sample")
+    return ordered.withColumnsRenamed(HEADINGS)
 
 
 def train(places: DataFrame, coverage: int) -> DataFrame:
@@ -39,9 +51,9 @@ def significant(places: DataFrame, models: DataFrame, coverage: int, most_p: flo
 def divergence(symbols: DataFrame, reference: DataFrame, *, coverage: int = 10, regions: DataFrame | None = None, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(table, models) of a pileup (sample, chrom, pos, symbol, n) and a reference (name, seq).
 
-    Models are trained on the same pileup unless they are given. The divergences are kept between both uses.
+    Models are trained on the same pileup unless they are given. The divergences are written once, to the shared folder.
     """
     used = symbols if regions is None else in_regions(symbols, regions)
-    places = context(divergences(used), reference).persist()
+    places = cut(context(divergences(used), reference), "places")
     models = train(places, coverage) if models is None else models
     return significant(places, models, coverage), models

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from strandloom.functions.stats import gamma_tail
 from strandloom.operators.kmers import kmers
 from strandloom.operators.stats import gamma_fit, kl_divergence, shares
+from strandloom.sources.shared import cut
 
 CELL = ["sample", "read", "strand", "pos"]
 
 
 def kmer_cycle_counts(pairs: DataFrame, k: int, seqs: tuple[str, ...] = ("seq_1", "seq_2")) -> DataFrame:
     """sample, read (read1, read2), strand (fwd, rev), pos, kmer, n; rev counts the reverse complement at the same place."""
-    out = None
-    for i, seq in enumerate(seqs, 1):
-        rows = kmers(pairs.select("sample", F.col(seq).alias("seq")), "seq", k, positions=True, both_strands=True)
-        one = rows.select("sample", F.lit(f"read{i}").alias("read"), "pos", F.explode(F.create_map(F.lit("fwd"), "kmer", F.lit("rev"), "rc")).alias("strand", "kmer"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(*CELL, "kmer").agg(F.count("*").alias("n")).withColumn("K", F.lit(k))
+    ends = F.array(*(F.struct(F.lit(f"read{i}").alias("read"), F.col(seq).alias("seq")) for i, seq in enumerate(seqs, 1)))
+    reads = pairs.select("sample", F.explode(ends).alias("end")).select("sample", "end.read", "end.seq")
+    rows = kmers(reads, "seq", k, positions=True, both_strands=True).groupBy("sample", "read", "pos", "kmer", "rc").agg(F.count("*").alias("n"))
+    # A k-mer has one reverse complement, so the counts of one strand are those of the other.
+    strands = F.explode(F.create_map(F.lit("fwd"), "kmer", F.lit("rev"), "rc")).alias("strand", "kmer")
+    return rows.select("sample", "read", "pos", "n", strands).select(*CELL, "kmer", "n").withColumn("K", F.lit(k))
 
 
 def merge_counts(*parts: DataFrame, sample: str | None = None) -> DataFrame:
@@ -61,12 +62,15 @@ def score_sample(counts: DataFrame) -> DataFrame:
 
 def score_samples(counts: DataFrame) -> DataFrame:
     """sample, read, pos, kldGlobal, pvalGlobal, kldPosition, pvalPosition of several samples against their sum."""
+    counts = cut(counts, "counts")  # a small table, which is read several times
     every = merge_counts(counts, sample="all")
     one = against_global(counts, global_distribution(every)).withColumnRenamed("kld", "kldGlobal")
     forward = distributions(counts).where("strand = 'fwd'")
     pool = distributions(every).where("strand = 'fwd'").select("read", "pos", "kmer", F.col("p").alias("q"))
-    two = kl_divergence(forward.join(pool, ["read", "pos", "kmer"]), "p", "q", ["sample", "read", "pos"]).withColumnRenamed("kld", "kldPosition")
-    both = one.join(two, ["sample", "read", "pos"])
-    fit = lambda df, s: df.select(*[c for c in ("read", "pos") if c in df.columns], F.col("k").alias(f"k{s}"), F.col("theta").alias(f"theta{s}"))
-    tested = both.crossJoin(F.broadcast(fit(gamma_fit(both, "kldGlobal"), "G"))).join(fit(gamma_fit(both, "kldPosition", ["read", "pos"]), "P"), ["read", "pos"])  # one row crossed
-    return tested.select("sample", "read", "pos", "kldGlobal", gamma_tail(F.col("kldGlobal"), F.col("kG"), F.col("thetaG")).alias("pvalGlobal"), "kldPosition", gamma_tail(F.col("kldPosition"), F.col("kP"), F.col("thetaP")).alias("pvalPosition"))
+    two = kl_divergence(forward.join(pool, ["read", "pos", "kmer"]), "p", "q", ["sample", "read", "pos"])
+    both = cut(one.join(two.withColumnRenamed("kld", "kldPosition"), ["sample", "read", "pos"]), "places")
+    overall = gamma_fit(both, "kldGlobal").select(F.col("k").alias("kG"), F.col("theta").alias("thetaG"))  # one row
+    by_place = gamma_fit(both, "kldPosition", ["read", "pos"]).select("read", "pos", F.col("k").alias("kP"), F.col("theta").alias("thetaP"))
+    tested = both.crossJoin(F.broadcast(overall)).join(by_place, ["read", "pos"])
+    tail = lambda place, s: gamma_tail(F.col(f"kld{place}"), F.col(f"k{s}"), F.col(f"theta{s}")).alias(f"pval{place}")
+    return tested.select("sample", "read", "pos", "kldGlobal", tail("Global", "G"), "kldPosition", tail("Position", "P"))

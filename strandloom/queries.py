@@ -16,6 +16,7 @@ from strandloom.functions import stats as fs
 from strandloom.functions import strings as st
 from strandloom.operators import intervals, kmers, matrix, pileup, stats, table
 from strandloom.plans import ase, bait_scan, depletion, kmer_bias
+from strandloom.sources.shared import cut
 
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 MARKED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -178,17 +179,18 @@ def deplete_toss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(DEPLETED + ", m AS (SELECT doc_id IN (SELECT doc_id FROM hit) AS hit FROM documents) SELECT hit, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM m), 6) AS percent FROM m GROUP BY hit")
 def deplete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, tossed = _depleted(spark, sf_dir)
-    hit = kept.select(F.lit(False).alias("hit")).unionByName(tossed.select(F.lit(True).alias("hit")))
-    return table.counted(hit, "hit").withColumn("percent", F.round("percent", 6))
+    reads = read(spark, sf_dir, "documents").select("doc_id", pure("text").alias("seq"))
+    reference = read(spark, sf_dir, "benchmark").select(pure("text").alias("seq"))
+    return depletion.counts(reads, reference, seqs=("seq",), key="doc_id").withColumn("percent", F.round("percent", 6))
 
 
-# K-mer bias: the first and next 50 letters of a document are a pair of reads, its source is the sample
+# K-mer bias: a text is cut into reads of 50 letters, the first is read1, the next read2, and so on; its source is the sample
 
 
 CYCLES = f"""
     s AS (SELECT source AS sample, {PURE} AS seq FROM documents),
-    r AS (SELECT sample, 'read1' AS read, substr(seq, 1, 50) AS seq FROM s UNION ALL SELECT sample, 'read2', substr(seq, 51, 50) FROM s),
+    b AS (SELECT sample, seq, unnest(range(0, (length(seq) + 49) // 50)) AS i FROM s),
+    r AS (SELECT sample, CASE WHEN i % 2 = 0 THEN 'read1' ELSE 'read2' END AS read, substr(seq, i * 50 + 1, 50) AS seq FROM b),
     w AS (SELECT sample, read, seq, unnest(range(0, length(seq) - 2)) AS pos FROM r WHERE length(seq) >= 3),
     k AS (SELECT sample, read, pos, substr(seq, pos + 1, 3) AS kmer FROM w),
     c AS (SELECT sample, read, strand, pos, kmer, count(*) AS n FROM (
@@ -197,30 +199,31 @@ POOL = "g AS (SELECT kmer, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY
 KLD = "d AS (SELECT sample, read, pos, sum(p * ln(p / q)) AS kld FROM (SELECT *, n / sum(n) OVER (PARTITION BY sample, read, strand, pos) AS p FROM c) JOIN g USING (kmer) WHERE strand = 'fwd' GROUP BY ALL)"
 
 
-def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = pure("text")
-    pairs = read(spark, sf_dir, "documents").select(F.col("source").alias("sample"), F.substring(seq, 1, 50).alias("seq_1"), F.substring(seq, 51, 50).alias("seq_2"))
-    return kmer_bias.kmer_cycle_counts(pairs, 3)
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = F.regexp_extract_all(pure("text"), F.lit(".{1,100}"), F.lit(0))  # one pass over a text, however long
+    pairs = read(spark, sf_dir, "documents").select(F.col("source").alias("sample"), F.explode(pieces).alias("piece"))
+    halves = [F.substring("piece", at, 50).alias(name) for at, name in ((1, "seq_1"), (51, "seq_2"))]
+    return kmer_bias.kmer_cycle_counts(pairs.select("sample", *halves), 3)
 
 
 @query(f"WITH {CYCLES} SELECT * FROM c")
 def kmer_cycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cycles(spark, sf_dir).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
+    return cycles(spark, sf_dir).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
 
 
 @query(f"WITH {CYCLES} SELECT sample, read, strand, pos, kmer, round(n / sum(n) OVER (PARTITION BY sample, read, strand, pos), 6) AS p FROM c")
 def kmer_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_bias.distributions(_cycles(spark, sf_dir)).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), F.round("p", 6).alias("p"))
+    return kmer_bias.distributions(cycles(spark, sf_dir)).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {CYCLES} SELECT 'all' AS sample, read, strand, pos, kmer, sum(n)::BIGINT AS n FROM c GROUP BY ALL")
 def kmer_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_bias.merge_counts(_cycles(spark, sf_dir), sample="all").select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
+    return kmer_bias.merge_counts(cycles(spark, sf_dir), sample="all").select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
 
 
 @query(f"WITH {CYCLES}, {POOL}, {KLD} SELECT sample, read, pos, round(kld, 6) AS kld FROM d")
 def kmer_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _cycles(spark, sf_dir)
+    counts = cut(cycles(spark, sf_dir), "counts")
     return kmer_bias.against_global(counts, kmer_bias.global_distribution(counts)).withColumn("kld", F.round("kld", 6))
 
 
@@ -232,67 +235,14 @@ GAMMA_T = "round((n * sxl - sl * sx) / n / n * n / (n - 1), 6) AS theta"
 @query(f"""WITH {CYCLES}, {POOL}, {KLD}, m AS (SELECT read, pos, {GAMMA_SUMS} FROM (SELECT read, pos, kld AS x FROM d WHERE kld > 0) GROUP BY ALL HAVING count(*) > 1),
     f AS (SELECT *, n * sx / (n * sxl - sl * sx) AS k0 FROM m) SELECT read, pos, n AS gamma_n, {GAMMA_K}, {GAMMA_T} FROM f""")
 def kmer_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _cycles(spark, sf_dir)
+    counts = cut(cycles(spark, sf_dir), "counts")
     places = kmer_bias.against_global(counts, kmer_bias.global_distribution(counts))
     return stats.gamma_fit(places, "kld", ["read", "pos"]).where("gamma_n > 1").select("read", "pos", "gamma_n", F.round("k", 6).alias("k"), F.round("theta", 6).alias("theta"))
 
 
 @query()
 def kmer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_bias.score_samples(_cycles(spark, sf_dir))
-
-
-# The same over whole texts: each is cut into reads of 50 letters, the first is read1, the next read2, and so on
-
-
-WHOLE_CYCLES = f"""
-    s AS (SELECT source AS sample, {PURE} AS seq FROM documents),
-    b AS (SELECT sample, seq, unnest(range(0, (length(seq) + 49) // 50)) AS i FROM s),
-    r AS (SELECT sample, CASE WHEN i % 2 = 0 THEN 'read1' ELSE 'read2' END AS read, substr(seq, i * 50 + 1, 50) AS seq FROM b),
-    w AS (SELECT sample, read, seq, unnest(range(0, length(seq) - 2)) AS pos FROM r WHERE length(seq) >= 3),
-    k AS (SELECT sample, read, pos, substr(seq, pos + 1, 3) AS kmer FROM w),
-    c AS (SELECT sample, read, strand, pos, kmer, count(*) AS n FROM (
-        SELECT sample, read, 'fwd' AS strand, pos, kmer FROM k UNION ALL SELECT sample, read, 'rev', pos, {RC} FROM k) GROUP BY ALL)"""
-
-
-def _whole_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = F.regexp_extract_all(pure("text"), F.lit(".{1,100}"), F.lit(0))  # one pass over a text, however long
-    pairs = read(spark, sf_dir, "documents").select(F.col("source").alias("sample"), F.explode(pieces).alias("piece"))
-    return kmer_bias.kmer_cycle_counts(pairs.select("sample", F.substring("piece", 1, 50).alias("seq_1"), F.substring("piece", 51, 50).alias("seq_2")), 3)
-
-
-@query(f"WITH {WHOLE_CYCLES} SELECT * FROM c")
-def kmer_cycle_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_cycles(spark, sf_dir).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
-
-
-@query(f"WITH {WHOLE_CYCLES} SELECT sample, read, strand, pos, kmer, round(n / sum(n) OVER (PARTITION BY sample, read, strand, pos), 6) AS p FROM c")
-def kmer_distribution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_bias.distributions(_whole_cycles(spark, sf_dir)).select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), F.round("p", 6).alias("p"))
-
-
-@query(f"WITH {WHOLE_CYCLES} SELECT 'all' AS sample, read, strand, pos, kmer, sum(n)::BIGINT AS n FROM c GROUP BY ALL")
-def kmer_merge_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_bias.merge_counts(_whole_cycles(spark, sf_dir), sample="all").select("sample", "read", "strand", "pos", km.decode(F.col("kmer"), 3).alias("kmer"), "n")
-
-
-@query(f"WITH {WHOLE_CYCLES}, {POOL}, {KLD} SELECT sample, read, pos, round(kld, 6) AS kld FROM d")
-def kmer_kl_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _whole_cycles(spark, sf_dir)
-    return kmer_bias.against_global(counts, kmer_bias.global_distribution(counts)).withColumn("kld", F.round("kld", 6))
-
-
-@query(f"""WITH {WHOLE_CYCLES}, {POOL}, {KLD}, m AS (SELECT read, pos, {GAMMA_SUMS} FROM (SELECT read, pos, kld AS x FROM d WHERE kld > 0) GROUP BY ALL HAVING count(*) > 1),
-    f AS (SELECT *, n * sx / (n * sxl - sl * sx) AS k0 FROM m) SELECT read, pos, n AS gamma_n, {GAMMA_K}, {GAMMA_T} FROM f""")
-def kmer_gamma_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _whole_cycles(spark, sf_dir)
-    places = kmer_bias.against_global(counts, kmer_bias.global_distribution(counts))
-    return stats.gamma_fit(places, "kld", ["read", "pos"]).where("gamma_n > 1").select("read", "pos", "gamma_n", F.round("k", 6).alias("k"), F.round("theta", 6).alias("theta"))
-
-
-@query()
-def kmer_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_bias.score_samples(_whole_cycles(spark, sf_dir))
+    return kmer_bias.score_samples(cycles(spark, sf_dir))
 
 
 # Intervals
@@ -306,32 +256,20 @@ def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).cast("string").alias("chrom"), F.col("o_orderkey").alias("pos")), ivl
 
 
-@query(f"WITH {INTERVALS} SELECT chrom, pos, lo, hi, line FROM p JOIN i USING (chrom) WHERE pos BETWEEN lo AND hi AND line = 1")
-def stab_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, ivl = _intervals(spark, sf_dir)
-    return intervals.stab_join(points, ivl.where("line = 1"), bin_width=64).select("chrom", "pos", "lo", "hi", "line")
-
-
 @query(f"WITH {INTERVALS} SELECT chrom, pos, count(*) AS hits FROM p JOIN i USING (chrom) WHERE pos BETWEEN lo AND hi GROUP BY ALL HAVING count(*) >= 3")
 def having_min_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, ivl = _intervals(spark, sf_dir)
     return intervals.having_min_hits(intervals.stab_join(points, ivl, bin_width=64), ["chrom", "pos"], 3)
 
 
-@query(f"WITH {INTERVALS} SELECT chrom, pos FROM p WHERE EXISTS (SELECT 1 FROM i WHERE i.chrom = p.chrom AND pos BETWEEN lo AND hi AND line = 7)")
-def stab_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, ivl = _intervals(spark, sf_dir)
-    return intervals.stab_join(points, ivl.where("line = 7"), bin_width=64, how="left_semi")
-
-
 @query(f"WITH {INTERVALS} SELECT chrom, pos, lo, hi, line FROM p JOIN i USING (chrom) WHERE pos BETWEEN lo AND hi")
-def stab_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stab_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, ivl = _intervals(spark, sf_dir)
     return intervals.stab_join(points, ivl, bin_width=64).select("chrom", "pos", "lo", "hi", "line")
 
 
 @query(f"WITH {INTERVALS} SELECT chrom, pos FROM p WHERE EXISTS (SELECT 1 FROM i WHERE i.chrom = p.chrom AND pos BETWEEN lo AND hi)")
-def stab_semi_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stab_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, ivl = _intervals(spark, sf_dir)
     return intervals.stab_join(points, ivl, bin_width=64, how="left_semi")
 
@@ -391,7 +329,10 @@ def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ALLELES} SELECT * FROM a")
 def allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _alleles(spark, sf_dir)
+    one = F.struct(F.lit("M").alias("op"), F.lit(1).alias("len"))  # a line is a read of one base
+    reads = read(spark, sf_dir, "lineitem").select(F.lit("1").alias("chrom"), F.col("l_partkey").alias("pos0"), F.array(one).alias("cigar"), F.col("l_returnflag").alias("seq"), F.lit(2).alias("flag"))
+    places = read(spark, sf_dir, "part").select(F.lit("1").alias("chrom"), (F.col("p_partkey") + 1).alias("pos"))
+    return ase.allele_counts(reads, places).select((F.col("pos") - 1).alias("l_partkey"), "allele", "n")
 
 
 @query(f"WITH {TOP} SELECT * FROM t")
@@ -453,18 +394,17 @@ def pileup_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.divergences(_symbols(spark, sf_dir)).select("pos", "sample", F.round("kld", 6).alias("kld"), "total")
 
 
-@query(f"""WITH {SYMBOLS}, d AS (SELECT pos, sample, n / sum(n) OVER (PARTITION BY pos, sample) AS p FROM s),
-    a AS (SELECT pos, sample, list_reverse_sort(list(p)) AS p, count(*) AS k FROM d GROUP BY ALL HAVING count(*) = 3),
-    x AS (SELECT pos, sample, (p[1] - 0.95) ** 2 / 0.95 + (p[2] - 0.05 / 3) ** 2 / (0.05 / 3) + (p[3] - 0.05 / 3) ** 2 / (0.05 / 3) AS hom,
-        (p[1] - 0.475) ** 2 / 0.475 + (p[2] - 0.475) ** 2 / 0.475 + (p[3] - 0.05 / 3) ** 2 / (0.05 / 3) AS het FROM a)
-    SELECT pos, sample, round(1 - exp(-hom / 2), 6) AS hom, round(1 - exp(-het / 2), 6) AS het, CASE WHEN het < hom THEN 'het' ELSE 'hom' END AS gt FROM x""")
-def genotype_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pileup.divergences(_symbols(spark, sf_dir)).where("alleles = 3").withColumn("hom", fs.homozygous_fit(F.col("shares"))).withColumn("het", fs.heterozygous_fit(F.col("shares")))
-    return rows.select("pos", "sample", F.round("hom", 6).alias("hom"), F.round("het", 6).alias("het"), fs.genotype(F.col("hom"), F.col("het"))[0].alias("gt"))
+#: The error function as its series, which is exact to nine places up to 4; beyond, it is 1 to seven places.
+ERF = "CASE WHEN {z} > 4 THEN 1 ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: (-1) ** i * ({z}) ** (2 * i + 1) / (gamma(i + 1) * (2 * i + 1)))) END"
 
 
-@query()
-def genotype_fit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""WITH {SYMBOLS}, d AS (SELECT pos, sample, n / sum(n) OVER (PARTITION BY pos, sample) AS p FROM s),
+    a AS (SELECT pos, sample, list_reverse_sort(list(p)) AS p, count(*) AS k FROM d GROUP BY ALL),
+    e AS (SELECT *, [0.95, 0.05 / k, 0.05 / k] AS one, [0.475, 0.475, 0.05 / k] AS two FROM a),
+    m AS (SELECT pos, sample, k, list_sum(list_transform(range(1, k + 1), lambda i: (p[i] - one[i]) ** 2 / one[i])) AS x, list_sum(list_transform(range(1, k + 1), lambda i: (p[i] - two[i]) ** 2 / two[i])) AS y FROM e),
+    f AS (SELECT pos, sample, CASE k WHEN 1 THEN 0 WHEN 2 THEN {ERF.format(z="sqrt(x / 2)")} ELSE 1 - exp(-x / 2) END AS hom, CASE k WHEN 1 THEN 1 WHEN 2 THEN {ERF.format(z="sqrt(y / 2)")} ELSE 1 - exp(-y / 2) END AS het FROM m)
+    SELECT pos, sample, round(hom, 6) AS hom, round(het, 6) AS het, CASE WHEN het < hom THEN 'het' ELSE 'hom' END AS gt FROM f""")
+def genotype_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pileup.divergences(_symbols(spark, sf_dir)).withColumn("hom", fs.homozygous_fit(F.col("shares"))).withColumn("het", fs.heterozygous_fit(F.col("shares")))
     return rows.select("pos", "sample", F.round("hom", 6).alias("hom"), F.round("het", 6).alias("het"), fs.genotype(F.col("hom"), F.col("het"))[0].alias("gt"))
 
@@ -483,13 +423,8 @@ def median_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.median(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_suppkey"])
 
 
-@query("SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand, p_size DESC, p_partkey LIMIT 100")
-def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table.order_by(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "-p_size"], ["p_partkey"]).limit(100)
-
-
 @query("SELECT row_number() OVER (ORDER BY p_brand, p_size DESC, p_partkey) AS rank, p_partkey, p_brand, p_size FROM part")
-def sort_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.ranked(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "-p_size"], ["p_partkey"])
 
 
@@ -510,8 +445,8 @@ def factor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     return read(spark, sf_dir, "pages").select(
-        "page_id", F.substring_index(url, "/", 1).alias("scheme"), st.after_last(url).alias("last"), st.sample_label(url).alias("label"),
-        st.locus(F.concat(F.lit("chr"), F.col("page_id").cast("string")), F.length(url), F.length("html")).alias("locus"), F.split(url, r"\.").alias("parts"), url.startswith("https").alias("secure"),
+        "page_id", st.options(F.replace(url, F.lit("/"), F.lit(",")))[0].alias("scheme"), st.after_last(url).alias("last"), st.sample_label(url).alias("label"),
+        st.locus(F.concat(F.lit("chr"), F.col("page_id").cast("string")), F.length(url), F.length("html")).alias("locus"), st.options(F.replace(url, F.lit("."), F.lit(","))).alias("parts"), url.startswith("https").alias("secure"),
     )
 
 
@@ -532,8 +467,11 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from strandloom import format_queries  # noqa: F401  registers its queries
+
     return {name: f for name, (f, _) in MARKED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in MARKED.items() if sql}

@@ -11,26 +11,41 @@ from pyspark.sql import functions as F
 from strandloom.functions.strings import WHITE, first_word, trimmed, words
 
 
-def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name (first word of the header), header (without >), seq (lines joined) of every record.
+def parse_fasta(records: DataFrame, value: str = "value") -> DataFrame:
+    """name (first word of the header), header (without >), seq (lines joined) of texts that each hold one record.
 
-    A file that does not begin with > raises an error when rows are read. One record is one row: sequences of
-    chromosomes are cut with ``chunks`` right after.
+    The mark > at the start of a record may be missing, as a reader that cuts at it takes it away.
     """
-    record = spark.read.option("lineSep", "\n>").text(path).select("value", (F.col("_metadata.file_block_start") == 0).alias("at_start"), F.col("_metadata.file_path").alias("file"))
-    text = F.regexp_replace("value", r"^>", "")
-    lines = F.split(F.regexp_replace(text, "\r", ""), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(value, r"^>", ""), "\r", ""), "\n")
     header = trimmed(F.element_at(lines, 1))
     seq = F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.btrim(x, F.lit(WHITE))), "")
-    return record.where(F.length(F.btrim("value", F.lit(WHITE))) > 0).select(first_word(header).alias("name"), header.alias("header"), seq.alias("seq"))
+    some = records.where(F.length(F.btrim(value, F.lit(WHITE))) > 0)
+    return some.select(first_word(header).alias("name"), header.alias("header"), seq.alias("seq"))
+
+
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every record of FASTA files, as parse_fasta has it; a file that does not begin with > raises ValueError.
+
+    One record is one row: sequences of chromosomes are cut with ``chunks`` right after.
+    """
+    check_fasta(spark, path)
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path))
 
 
 def check_fasta(spark: SparkSession, path: str | list[str]) -> None:
-    """Raise ValueError for a file whose first letter is not >."""
-    first = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
-    head = first.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("value")).where(~F.col("value").startswith(">"))
-    if bad := head.select("file").take(1):
-        raise ValueError(f"{bad[0].file} does not begin with >")
+    """Raise ValueError for a file whose first byte is not >; only that byte of each file is read."""
+    java = spark.sparkContext._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = java.io.compress.CompressionCodecFactory(conf)
+    for file in spark.read.text(path).inputFiles():
+        place = java.fs.Path(spark.sparkContext._jvm.java.net.URI(file))
+        stream = place.getFileSystem(conf).open(place)
+        codec = codecs.getCodec(place)
+        stream = codec.createInputStream(stream) if codec else stream
+        first = stream.read()
+        stream.close()
+        if first not in (-1, ord(">")):
+            raise ValueError(f"{file} does not begin with >")
 
 
 def seek(records: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:

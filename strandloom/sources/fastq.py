@@ -15,32 +15,42 @@ def _must(condition: Column, value: Column, message: str) -> Column:
     return F.when(condition, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.coalesce(value, F.lit("nothing")))).cast("string"))
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, read_no (from 0), id (without @), seq, id2 (without +), qual of every record.
+def parse_fastq(numbered: DataFrame) -> DataFrame:
+    """file, read_no (from 0), id (without @), seq, id2 (without +), qual of every record of lines (file, line_no, value).
 
     Records are framed by line numbers, never by their marks, as @ is a legal quality. Missing marks and records of
     fewer than four lines raise an error when rows are read. An empty line at the end is no record.
     """
-    lines = numbered_lines(spark, path).withColumn("value", trimmed(F.col("value")))
+    lines = numbered.withColumn("value", trimmed(F.col("value")))
     slot = F.pmod("line_no", F.lit(4))
-    field = lambda i: F.max(F.when(slot == i, F.col("value")))
-    records = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("read_no")).agg(*(field(i).alias(name) for i, name in enumerate(FIELDS)), F.count("*").alias("n"), F.max(F.length("value")).alias("longest"))
-    return records.where("NOT (n < 4 AND longest = 0)").select(
-        "file", "read_no",
-        F.substring(_must(F.col("id").startswith("@") & (F.col("n") == 4), F.col("id"), "no record of four lines with @"), F.lit(2), F.length("id")).alias("id"), "seq",
-        F.substring(_must(F.col("id2").startswith("+"), F.col("id2"), "no + in the third line"), F.lit(2), F.length("id2")).alias("id2"), "qual",
-    )
+    field = [F.max(F.when(slot == i, F.col("value"))).alias(name) for i, name in enumerate(FIELDS)]
+    sizes = [F.count("*").alias("n"), F.max(F.length("value")).alias("longest")]
+    records = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("read_no")).agg(*field, *sizes)
+    first = _must(F.col("id").startswith("@") & (F.col("n") == 4), F.col("id"), "no record of four lines with @")
+    third = _must(F.col("id2").startswith("+"), F.col("id2"), "no + in the third line")
+    without = lambda c, name: F.substring(c, F.lit(2), F.length(name)).alias(name)
+    return records.where("NOT (n < 4 AND longest = 0)").select("file", "read_no", without(first, "id"), "seq", without(third, "id2"), "qual")
 
 
-def read_fastq_pairs(spark: SparkSession, path1: str, path2: str, limit: int | None = None) -> DataFrame:
-    """read_no and id1, seq1, id21, qual1, id2, ... of the pairs of two files; unequal numbers of records raise an error."""
-    one, two = (read_fastq(spark, p).select("read_no", *(F.col(f).alias(f"{f}_{i}") for f in FIELDS)) for i, p in ((1, path1), (2, path2)))
-    both = one.join(two, "read_no", "full")
-    whole = F.when(F.col("seq_1").isNotNull() & F.col("seq_2").isNotNull(), F.col("seq_1")).otherwise(F.raise_error(F.lit("the files have unequal numbers of records")).cast("string"))
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every record of FASTQ files, as parse_fastq has it."""
+    return parse_fastq(numbered_lines(spark, path))
+
+
+def pair_reads(one: DataFrame, two: DataFrame, limit: int | None = None) -> DataFrame:
+    """read_no and id_1, seq_1, id2_1, qual_1, id_2, ... of the pairs of two files; unequal numbers of records raise an error."""
+    named = [reads.select("read_no", *(F.col(f).alias(f"{f}_{i}") for f in FIELDS)) for i, reads in ((1, one), (2, two))]
+    both = named[0].join(named[1], "read_no", "full")
+    unequal = F.raise_error(F.lit("the files have unequal numbers of records")).cast("string")
+    whole = F.when(F.col("seq_1").isNotNull() & F.col("seq_2").isNotNull(), F.col("seq_1")).otherwise(unequal)
     both = both.withColumn("seq_1", whole)
     return both if limit is None else both.where(F.col("read_no") < limit)
 
 
+def read_fastq_pairs(spark: SparkSession, path1: str, path2: str, limit: int | None = None) -> DataFrame:
+    return pair_reads(read_fastq(spark, path1), read_fastq(spark, path2), limit)
+
+
 def fastq_text(id: Column, seq: Column, id2: Column, qual: Column) -> Column:
     """A record as four lines."""
     return F.concat_ws("\n", F.concat(F.lit("@"), id), seq, F.concat(F.lit("+"), F.coalesce(id2, F.lit(""))), qual)

@@ -16,10 +16,11 @@ def parse_gtf(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     f = F.split(F.regexp_replace(value, "\r$", ""), "\t")
     good = (F.size(f) == 9) & f[3].rlike(r"^\d+$") & f[4].rlike(r"^\d+$") & f[5].rlike(r"^(\.|\d+(\.\d+)?([eE][-+]?\d+)?)$") & f[6].rlike(r"^[-+.]$") & f[7].rlike(r"^[.012]$") & f[8].rlike(rf"^\s*({_ATTRIBUTE}\s*)*$")
-    checked = F.when(good, f).otherwise(F.raise_error(F.concat(F.lit("no GTF row: "), F.col(value))).cast("array<string>"))
+    comment = F.col(value).startswith("#")  # left out, but a filter above may be tried first
+    checked = F.when(good, f).when(comment, F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("no GTF row: "), F.col(value))).cast("array<string>"))
     pair = F.transform(F.regexp_extract_all(F.col("f")[8], F.lit(_ATTRIBUTE), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, _ATTRIBUTE, 1).alias("key"), F.regexp_replace(F.regexp_extract(x, _ATTRIBUTE, 2), '^"|"$', "").alias("value")))
     part = lambda i: F.col("f")[i]
-    return lines.where(~F.col(value).startswith("#")).select(checked.alias("f")).select(
+    return lines.where(~comment).select(checked.alias("f")).select(
         part(0).alias("seqname"), part(1).alias("source"), part(2).alias("feature"), part(3).cast("bigint").alias("start"), part(4).cast("bigint").alias("end"), part(5).try_cast("double").alias("score"),
         part(6).alias("strand"), part(7).try_cast("int").alias("frame"), pair.alias("attrs"),
     )

@@ -25,13 +25,23 @@ def dense(counts: DataFrame, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), lambda i: F.coalesce(at[i.cast("bigint")], F.lit(0)))
 
 
-def counts_json(counts: DataFrame, k: int) -> DataFrame:
+def counts_json(counts: DataFrame, k: int, kind: str = "bigint") -> DataFrame:
     """sample, value: the JSON of each sample's counts with dense arrays by position."""
     by_pos = counts.groupBy("sample", "read", "strand", "pos").agg(dense(counts, k).alias("row"))
     rows = by_pos.groupBy("sample", "read", "strand").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]).alias("rows"))
-    pick = lambda read, strand: F.coalesce(F.first(F.when((F.col("read") == read) & (F.col("strand") == strand), F.col("rows")), ignorenulls=True), F.array().cast("array<array<bigint>>")).alias(strand)
+    pick = lambda read, strand: F.coalesce(F.first(F.when((F.col("read") == read) & (F.col("strand") == strand), F.col("rows")), ignorenulls=True), F.array().cast(f"array<array<{kind}>>")).alias(strand)
     end = lambda read: F.struct(pick(read, "fwd"), pick(read, "rev")).alias(read)
-    return rows.withColumn("rows", F.col("rows").cast("array<array<bigint>>")).groupBy("sample").agg(F.struct(F.lit(k).alias("K"), F.first("sample").alias("sample"), end("read1"), end("read2")).alias("doc")).select("sample", F.to_json("doc").alias("value"))
+    return rows.withColumn("rows", F.col("rows").cast(f"array<array<{kind}>>")).groupBy("sample").agg(F.struct(F.lit(k).alias("K"), F.first("sample").alias("sample"), end("read1"), end("read2")).alias("doc")).select("sample", F.to_json("doc").alias("value"))
+
+
+def distributions_json(shares: DataFrame, overall: DataFrame, k: int) -> DataFrame:
+    """sample, value: the JSON of each sample's distributions (p by place) with the global one as a dense array."""
+    counts = counts_json(shares.select("sample", "read", "strand", "pos", "kmer", F.col("p").alias("n")), k, "double")
+    every = overall.select("kmer", F.col("p").alias("n")).agg(dense(None, k).alias("global"))
+    kinds = "K long, sample string, " + ", ".join(f"read{i} struct<fwd:array<array<double>>,rev:array<array<double>>>" for i in (1, 2))
+    doc = counts.withColumn("doc", F.from_json("value", kinds)).crossJoin(F.broadcast(every))  # one row crossed
+    parts = [F.col("doc.K"), F.col("doc.sample"), F.col("global"), F.col("doc.read1"), F.col("doc.read2")]
+    return doc.select("sample", F.to_json(F.struct(*parts)).alias("value"))
 
 
 def matrix(values: DataFrame, k: int, value: str, length1: int, length2: int, total: DataFrame | None = None) -> DataFrame:

@@ -41,6 +41,22 @@ def read_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return out.where("n <> 0").withColumn("kmer", F.col("kmer").cast("bigint"))
 
 
+DISTRIBUTIONS = COUNTS.replace("bigint", "double").replace("sample string", "sample string, global array<double>")
+
+
+def read_distributions(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Distributions (K, sample, read, strand, pos, kmer, p) and the global ones (sample, kmer, p) of JSON files, without zeros."""
+    doc = spark.read.schema(DISTRIBUTIONS).option("multiLine", True).json(path)
+    out = None
+    for read in ("read1", "read2"):
+        for strand in ("fwd", "rev"):
+            at = doc.select("K", "sample", F.posexplode(f"{read}.{strand}").alias("pos", "row"))
+            at = at.select("K", "sample", F.lit(read).alias("read"), F.lit(strand).alias("strand"), F.col("pos").cast("bigint"), F.posexplode("row").alias("kmer", "p"))
+            out = at if out is None else out.unionByName(at)
+    overall = doc.select("sample", F.posexplode("global").alias("kmer", "p"))
+    return tuple(df.where("p <> 0").withColumn("kmer", F.col("kmer").cast("bigint")) for df in (out, overall))
+
+
 def read_gamma(spark: SparkSession, path: str) -> DataFrame:
     """context, N, k, theta of a JSON object keyed by context."""
     text = spark.read.text(path, wholetext=True)

@@ -27,7 +27,8 @@ def parse_vcf(lines: DataFrame, samples: list[str], value: str = "value") -> Dat
     with another number of columns raises an error when rows are read.
     """
     f, width = F.split(F.regexp_replace(value, "\r$", ""), "\t"), 9 + len(samples) if samples else 8
-    checked = F.when(F.size(f) == width, f).otherwise(F.raise_error(F.concat(F.lit("no VCF row: "), F.col(value))).cast("array<string>"))
+    left_out = F.col(value).startswith("#") | (F.length(value) == 0)  # said here too, as a filter above may be tried first
+    checked = F.when(F.size(f) == width, f).when(left_out, F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("no VCF row: "), F.col(value))).cast("array<string>"))
     part = lambda i: F.col("f")[i]
     known = lambda c: F.nullif(c, F.lit("."))
     many = lambda c, mark: F.when(c == ".", F.array().cast("array<string>")).otherwise(F.split(c, mark))
@@ -36,7 +37,7 @@ def parse_vcf(lines: DataFrame, samples: list[str], value: str = "value") -> Dat
     keys = many(part(8), ":") if samples else F.array().cast("array<string>")
     fields = lambda c: F.map_from_arrays(keys, F.transform(keys, lambda k, i: known(F.try_element_at(F.split(c, ":"), (i + 1).cast("int")))))
     called = F.array(*(F.struct(F.lit(name).alias("name"), fields(part(9 + i)).alias("fields")) for i, name in enumerate(samples)))
-    return lines.where(~F.col(value).startswith("#") & (F.length(value) > 0)).select(checked.alias("f")).select(
+    return lines.where(~left_out).select(checked.alias("f")).select(
         part(0).alias("chrom"), part(1).cast("bigint").alias("pos"), known(part(2)).alias("id"), part(3).alias("ref"), many(part(4), ",").alias("alts"), known(part(5)).try_cast("float").alias("qual"), many(part(6), ";").alias("filters"),
         last.alias("info"), keys.alias("format"), (called if samples else F.array().cast("array<struct<name:string,fields:map<string,string>>>")).alias("samples"),
     )

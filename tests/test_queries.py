@@ -45,8 +45,8 @@ def test_scores_have_rows(spark, tiny):
 def test_whole_texts_give_every_letter_to_a_read(spark, tiny, sql):
     letters = [len(re.sub("[^a-z]+", "", text.lower())) for (text,) in sql.execute("SELECT text FROM documents").fetchall()]
     want = 2 * sum(max(0, min(50, n - at) - 2) for n in letters for at in range(0, n, 50))
-    assert library.queries()["kmer_cycle_counts_whole"](spark, tiny).agg({"n": "sum"}).first()[0] == want
-    assert library.queries()["kmer_scores_whole"](spark, tiny).count() > 0
+    assert library.queries()["kmer_cycle_counts"](spark, tiny).agg({"n": "sum"}).first()[0] == want
+    assert library.queries()["kmer_scores"](spark, tiny).count() > 0
 
 
 def test_genotypes_of_any_number_of_alleles(spark, tiny, sql, tmp_path):
@@ -64,7 +64,7 @@ def test_genotypes_of_any_number_of_alleles(spark, tiny, sql, tmp_path):
         hom, het = (fit([0.95]), fit([0.475, 0.475])) if n > 1 else (0.0, 1.0)
         want[place] = (round(hom, 5), round(het, 5), "het" if het < hom else "hom")
     assert {len(x) for x in counts.values()} == {1, 2, 3}
-    got = {(r.pos, r["sample"]): (r.hom, r.het, r.gt) for r in library.queries()["genotype_fit_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.pos, r["sample"]): (r.hom, r.het, r.gt) for r in library.queries()["genotype_fit"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys()
     assert all(got[x][:2] == pytest.approx(want[x][:2], abs=2e-5) and got[x][2] == want[x][2] for x in want)
 
