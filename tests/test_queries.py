@@ -2,8 +2,13 @@
 
 import importlib
 import math
+import os
+import pathlib
 import re
+import shutil
+import subprocess
 import sys
+import zipfile
 
 import duckdb
 import pytest
@@ -79,11 +84,33 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_entry_without_the_subpackage(monkeypatch):
-    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "strandloom.llm"])
+def test_entry_without_the_subpackage(monkeypatch, tmp_path, gone):
+    """A copy of the library without what may be missing is imported and offers all other queries."""
+    root = pathlib.Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "strandloom", tmp_path / "strandloom", ignore=shutil.ignore_patterns("llm", "__pycache__") if gone == "strandloom.llm" else None)
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * (gone == "strandloom.llm"):
+        shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert said.stdout.split() == sorted(library.queries()), said.stderr
+
+
+def test_entry_hides_no_missing_library(monkeypatch):
+    if not __spark_entry__.llm_queries:
+        pytest.skip("the subpackage is not there")
+    for name in [m for m in sys.modules if m.startswith("strandloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tokenizers", None)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
     try:
-        bare = importlib.reload(__spark_entry__)
-        assert set(bare.queries()) == set(library.queries())
+        with pytest.raises(ImportError):
+            importlib.reload(__spark_entry__)
     finally:
         monkeypatch.undo()
         importlib.reload(__spark_entry__)
+
+
+def test_archive_holds_the_library():
+    with zipfile.ZipFile(__spark_entry__.archive()) as held:
+        assert {"strandloom/__init__.py", "strandloom/operators/kmers.py"} <= set(held.namelist())
