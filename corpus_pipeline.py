@@ -38,7 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence."""
     found = language_id.identify(docs, language_id.fit(docs))
-    return without(docs, found.where((F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LANGUAGE_SCORE)))
+    unsure = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LANGUAGE_SCORE)
+    return without(docs, found.where(unsure))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +54,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces in sequences of at most 2048 tokens."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048), capacity=2048)
+    pieces = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return packing.pack(pieces, capacity=2048)
 
 
-STAGES = [("quality classifier", quality), ("language ID", language), ("exact dedup", exact), ("MinHash near-dedup", near), ("best-fit packing", packed)]
+STAGES = [
+    ("quality classifier", quality),
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
