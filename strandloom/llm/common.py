@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.sources.shared import clean, cut, discard, shared_folder
+
+__all__ = ["clean", "cut", "discard", "id_and_text", "map_rows", "shared_folder", "small_batches", "table"]
+
 #: Rows of one Arrow batch. Texts can be long, so a batch is kept far below Spark's default of 10,000.
 BATCH_ROWS = 1_000
 
@@ -20,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: fewer rows to a batch, as texts may be long."""
+    """Bound the memory of Python workers: fewer rows to a batch, as texts may be long.
+
+    The setting stays with the session, as results are made later than operators are called; a smaller one is kept.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -31,47 +35,6 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Where none is named, a local session gets a temporary one; on a cluster that is an error, as every executor
-    would write to a disk of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
-        folder = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.cut_path = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that cut() has written, once nothing reads them any more."""
-    for table in tables:
-        remove(table.sparkSession, table.cut_path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Delete all that the operators have left in the shared folder; results not yet written elsewhere go as well."""
-    remove(spark, f"{shared_folder(spark)}/strandloom")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def map_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow over kernel, which returns a column list for every field of schema."""
     names = [part.split()[0] for part in schema.split(", ")]

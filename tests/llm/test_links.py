@@ -221,6 +221,72 @@ def test_link_calls(spark):
     assert chat_format.link_calls(calls.where("false"), results, SCHEMAS).count() == 0
 
 
+VALUES = ['5', '12', '2.5', '-1', '"ab"', '"abcdef"', 'true', 'null', '[1, 2]', '[]', '["x"]', '[1, "x", 2.5]', '{"a": 1}', '{"a": "x"}', '{}', '{"b": [1]}', '"5"']
+RULES = [
+    {"type": "integer", "minimum": 10}, {"type": ["integer", "null"]}, {"type": "number", "maximum": 5}, {"exclusiveMinimum": 5}, {"exclusiveMaximum": 5}, {"type": "string", "maxLength": 2}, {"minLength": 3}, {"pattern": "^a"},
+    {"type": "array", "items": {"type": "integer"}}, {"minItems": 1}, {"maxItems": 1}, {"items": {"type": ["number", "string"]}}, {"type": "object", "properties": {"a": {"type": "integer"}}}, {"required": ["a"]}, {"properties": {"b": {"items": {"minimum": 2}}}},
+    {"enum": [5, "ab", None]}, {"const": [1, 2]}, {"type": "object", "additionalProperties": False}, {"properties": {"a": {}}, "additionalProperties": False}, {"type": "boolean", "description": "said"}, {}, {"properties": {"a": False}},
+]
+
+
+def obeys(x, rule):
+    """What a schema means, by hand."""
+    if isinstance(rule, bool):
+        return rule
+    number = isinstance(x, (int, float)) and not isinstance(x, bool)
+    kinds = {"integer": number and isinstance(x, int), "number": number, "string": isinstance(x, str), "boolean": isinstance(x, bool), "null": x is None, "array": isinstance(x, list), "object": isinstance(x, dict)}
+    names = rule.get("type", list(kinds))
+    ok = any(kinds[k] for k in ([names] if isinstance(names, str) else names))
+    same = lambda a, b: type(a) is type(b) and a == b
+    ok &= "enum" not in rule or any(same(x, e) for e in rule["enum"])
+    ok &= "const" not in rule or same(x, rule["const"])
+    if number:
+        ok &= rule.get("minimum", x) <= x <= rule.get("maximum", x) and x > rule.get("exclusiveMinimum", x - 1) and x < rule.get("exclusiveMaximum", x + 1)
+    if isinstance(x, str):
+        ok &= rule.get("minLength", 0) <= len(x) <= rule.get("maxLength", 99) and bool(re.search(rule.get("pattern", ""), x))
+    if isinstance(x, list):
+        ok &= rule.get("minItems", 0) <= len(x) <= rule.get("maxItems", 99) and all(obeys(i, rule.get("items", {})) for i in x)
+    if isinstance(x, dict):
+        own = rule.get("properties", {})
+        ok &= all(k in x for k in rule.get("required", [])) and (rule.get("additionalProperties", True) or set(x) <= set(own)) and all(obeys(x[k], r) for k, r in own.items() if k in x)
+    return ok
+
+
+def test_schemas_equal_what_they_mean(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(VALUES)], "i long, v string").withColumn("x", F.parse_json("v"))
+    got = df.select("i", *(chat_format.conforms(F.col("x"), rule).alias(f"r{n}") for n, rule in enumerate(RULES))).collect()
+    for row in got:
+        for n, rule in enumerate(RULES):
+            assert row[f"r{n}"] == obeys(json.loads(VALUES[row.i]), rule), (VALUES[row.i], rule)
+
+
+def test_schemas_that_cannot_be_checked_raise():
+    for schema in ({"multipleOf": 2}, {"properties": {"a": {"oneOf": []}}}, {"properties": {"a'b\"c": {}}}, {"additionalProperties": {"type": "string"}}):
+        with pytest.raises(ValueError):
+            chat_format.conforms(F.lit(None), schema)
+
+
+def test_names_with_quotes(spark):
+    calls = spark.createDataFrame([(1, "a", 0, "q", json.dumps({"it's": 1}), []), (1, "b", 1, "q", json.dumps({"it's": "x"}), [])], CALLS)
+    results = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    got = {r.call_id: r.valid for r in chat_format.link_calls(calls, results, {"q": {"properties": {"it's": {"type": "integer"}}}}).collect()}
+    assert got == {"a": True, "b": False}
+
+
+@pytest.mark.parametrize("group", [20_000, 0])
+def test_orders_by_passes_and_by_rounds_agree(spark, monkeypatch, group):
+    """A long chain against the order of its calls, a cycle, repeated dependencies; both ways to place them."""
+    monkeypatch.setattr(chat_format, "GROUP", group)
+    n = 200 if group else 6
+    rows = [(1, f"c{i}", n - i, "say", "{}", [f"c{i - 1}"] * 2 if i else None) for i in range(n)]
+    rows += [(2, "x", 0, "say", "{}", ["y"]), (2, "y", 1, "say", "{}", ["x"]), (2, "z", 2, "say", "{}", ["x"]), (2, "w", 3, "say", "{}", [])]
+    calls = spark.createDataFrame([(*r, "s", 7) for r in rows], CALLS + ", json string, position int")
+    results = spark.createDataFrame([(1, "c0", "r", 1)], "conv_id long, call_id string, content string, linked int")
+    got = {(r.conv_id, r.call_id): r for r in chat_format.link_calls(calls, results, SCHEMAS).collect()}
+    assert [got[1, f"c{i}"].position for i in range(n)] == list(range(n)) and got[1, "c0"].linked
+    assert got[2, "w"].position == 0 and sorted(got[2, c].position for c in "xyz") == [1, 2, 3] and not got[2, "z"].valid and got[2, "w"].valid
+
+
 def test_conversation_calls(spark):
     df = spark.createDataFrame([(1, 0, "system", "s", 1), (1, 1, "user", "q1", 1), (1, 2, "assistant", "a1", 1), (1, 3, "user", None, 1), (1, 4, "assistant", None, 1), (2, 0, "user", "x", 1), (2, 0, "user", "x", 1), (None, 0, "user", "x", 1), (3, 0, None, "x", 1)], "conv_id long, turn long, role string, text string, position int")
     got = sorted((r.conv_id, r.call_id, r.position, r.linked, r.valid) for r in chat_format.link_calls(*chat_format.conversation_calls(df), chat_format.ASK).collect())
