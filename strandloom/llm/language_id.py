@@ -7,7 +7,9 @@ calibrates the probabilities. Training sees a bounded sample: about ``per_langua
 hashes of their ids. Prediction sees every row and whole texts.
 
 A null text or one without letters is predicted ``und`` with score 0; so is every text where nothing could be
-learnt. Rows that repeat an id are predicted one by one; other columns are not read.
+learnt. Languages that tie go to the first by name. The model has a weight for each feature and language, and the
+sample rows for each language, so both are bounded by the number of languages, which is taken to be some hundreds at
+most. Rows that repeat an id are predicted one by one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ def counts(text: str) -> np.ndarray | None:
     if not is_letter.any():
         return None
     code = np.where(is_letter, code, 32)
-    code = np.concatenate(([32], code[is_letter | np.append(True, is_letter[:-1])], [32])).astype(np.uint64)
+    code = code[is_letter | np.append(False, is_letter[:-1])]  # of what is no letter, the first after a letter stays
+    code = np.concatenate(([32], code, [32] if code[-1] != 32 else [])).astype(np.uint64)
     h, out = np.zeros(len(code), np.uint64), np.zeros(1 << BITS, np.int64)
     with np.errstate(over="ignore"):
         for order in range(min(ORDERS, len(code))):
