@@ -44,11 +44,17 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Entries of a worker cache, and the longest string that is kept in one.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 #: Transitions of the byte automaton, and read arcs, that a worker keeps.
-TRANSITIONS, ARCS = 300_000, 500_000
-#: Beside the bytes, a row of the table has the number of its state and the token that ends the path of what was read.
-STATE, LAST = 256, 257
+TRANSITIONS, ARCS = 300_000, 200_000
+#: Beside the bytes, a row of the table has its state's paths and the token that ends the path of what was read.
+PATHS, LAST = 256, 257
 #: Tokens below a node from which on the open arcs of a path are listed.
 FEW = 6
+SHIFT = 1 << FEW + 1  # so that what a path stands on is no negative number
+
+
+def packed_path(node: int, at: int) -> int:
+    """A path as one integer: its node, and the token it stands behind or the arcs that are open (as -2 - bits)."""
+    return node << 20 | at + SHIFT
 NEVER = 1 << 60
 
 
@@ -113,10 +119,11 @@ class MergeGadgets:
         if (held := self.known.get(key)) is None:
             if len(self.known) > ARCS:
                 self.known.clear()
-            held = self.known[key] = self._read(state, arc)
+            held = self.known[key] = self.read(state, arc)
         return held
 
-    def _read(self, state: int, arc: int) -> bool:
+    def read(self, state: int, arc: int) -> bool:
+        """The same, without keeping the answer."""
         made, taken = self.made, self.taken
         state_made, arc_made, before = made[state], made[arc], NEVER  # it is always asked what held before that gadget
         while True:
@@ -172,9 +179,8 @@ class MergeAutomaton(Labels):
 
     def _empty(self) -> None:
         """State 0 alone: one path, which stands before the first token and has read nothing."""
-        self.paths: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
-        self.number = {self.paths[0]: 0}
-        self.rows: list[dict] = [{STATE: 0, LAST: -1}]  # state -> byte -> row of the next state
+        self.start = {PATHS: (packed_path(0, -1),), LAST: -1}
+        self.rows = {self.start[PATHS]: self.start}  # paths of a state -> its row: byte -> row of the next state
         self.transitions = 0
         self.open: dict[int, int] = {}  # token << 20 | node -> the arcs that are open there
 
@@ -183,7 +189,7 @@ class MergeAutomaton(Labels):
         key = at << 20 | node
         bits = self.open.get(key)
         if bits is None:
-            arc, bits = self.gadgets.arc, 0
+            arc, bits = self.gadgets.read, 0
             for i, token in enumerate(self.sorted[self.low[node] : self.high[node]]):
                 if at < 0 or arc(at, token):
                     bits |= 1 << i
@@ -193,11 +199,12 @@ class MergeAutomaton(Labels):
     def _move(self, row: dict, byte: int) -> dict:
         """The row of the next state by a byte: subset construction, once for each pair.
 
-        A path is a node with the token it stands behind or, where few tokens are left below the node, with the arcs
-        that are still open (as -2 - bits): paths with the same open arcs are the same, and without any are dead.
+        Where few tokens are left below a node, a path has the arcs that are still open instead of the token it stands
+        behind: paths with the same open arcs are the same, and without any are dead.
         """
         low, high, live, last = self.low, self.high, [], -1
-        for node, at in self.paths[row[STATE]]:
+        for path in row[PATHS]:
+            node, at = path >> 20, (path & 0xFFFFF) - SHIFT
             below = self.trie[node].get(byte)
             if below is None:
                 continue
@@ -205,29 +212,27 @@ class MergeAutomaton(Labels):
             if left > FEW:
                 if token >= 0 and (at < 0 or self.gadgets.arc(at, token)):
                     last = token
-                live.append((below, at))
+                live.append(packed_path(below, at))
                 continue
             bits = (-2 - at) >> low[below] - low[node] & (1 << left) - 1 if at < -1 else self._arcs(at, below)
             if token >= 0 and bits & 1:
                 last = token
                 bits ^= 1
             if bits:
-                live.append((below, -2 - bits))
-        paths = (*live, (0, last))
-        to = self.number.get(paths)
+                live.append(packed_path(below, -2 - bits))
+        paths = (*live, packed_path(0, last))
+        to = self.rows.get(paths)
         if to is None:
-            to = self.number[paths] = len(self.paths)
-            self.paths.append(paths)
-            self.rows.append({STATE: to, LAST: last})
+            to = self.rows[paths] = {PATHS: paths, LAST: last}
         self.transitions += 1
-        row[byte] = self.rows[to]
-        return row[byte]
+        row[byte] = to
+        return to
 
     def packed(self, word: bytes) -> bytes:
         """Ids on the one path of word: every byte is one transition, then the arcs are read back from the end."""
         if self.transitions > TRANSITIONS:
             self._empty()
-        row, ends = self.rows[0], []
+        row, ends = self.start, []
         add = ends.append
         for byte in word:
             try:
