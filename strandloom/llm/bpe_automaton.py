@@ -22,6 +22,7 @@ in which two merges make the same token is refused.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from array import array
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strandloom.llm.common import id_and_text, map_rows, small_batches
 
@@ -343,7 +343,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_rows(encoded.select("doc_id", "n_tokens", "ids"), kernel, "doc_id long, n_tokens long, ids binary, text string")
 
 
-def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    text = F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
-    return decode(encode(df, path), path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), text)
+def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: what encode and then decode give, digested in one pass."""
+    small_batches(df.sparkSession)
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        own = automaton(path)
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        for text in batch.column(1).to_pylist():
+            ids = own.encode(text)
+            out["n_tokens"].append(len(ids) // 4)
+            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+        return {"doc_id": batch.column(0)} | out
+
+    return map_rows(id_and_text(df, id_col, text_col), kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -112,6 +112,10 @@ def test_round_trip_edges(edges, none):
         want.append((i or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe_automaton.round_trip_digests(none, BPE).count() == 0
+    back = bpe_automaton.decode(bpe_automaton.encode(edges, BPE), BPE).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t in ROWS)
+    assert all(len(r.ids) == 4 * r.n_tokens for r in back)
+    assert bpe_automaton.decode(bpe_automaton.encode(none, BPE), BPE).count() == 0
 
 
 def test_piece_counts_equal_library():
