@@ -44,7 +44,7 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Entries of a worker cache, and the longest string that is kept in one.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 #: Transitions of the byte automaton, and read arcs, that a worker keeps.
-TRANSITIONS, ARCS = 300_000, 200_000
+TRANSITIONS, ARCS = 500_000, 200_000
 #: Beside the bytes, a row of the table has its state's paths and the token that ends the path of what was read.
 PATHS, LAST = 256, 257
 #: Tokens below a node from which on the open arcs of a path are listed.
