@@ -13,10 +13,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours (summed before the shuffle, so a hub costs one row for
     each task) and then the label of that label. Labels only fall, and the loop ends when none does. Edges with a
-    null end are left out; loops and repeated edges change nothing; no edges give no rows.
+    null end are left out; loops and repeated edges change nothing; no edges give no rows. The edges are computed
+    once, for both directions, so edges that come out differently each time are still those of one undirected graph.
     """
-    both = edges.select("a", "b").where("a <> b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.where("a <> b").select(F.explode(ways).alias("edge")).select("edge.*").distinct(), "edges")
     first = both.groupBy("a").agg(F.min("b").alias("least"))
     labels = cut(first.select(F.col("a").alias("id"), F.least("a", "least").alias("component")), "labels")
     while True:

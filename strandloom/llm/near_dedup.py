@@ -312,7 +312,8 @@ def links_of_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = modest.unionByName(short).unionByName(long)
     key = ["kind", "grp", "i", "j"]
     cells = dealt.join(own.hint("merge"), "doc_id").select(*key, "block", "doc_id", "component", "items")
-    cells = cells.repartition(*key).sortWithinPartitions(*key)
+    # By id too: which forest is found depends on the order, and a task that runs again must find the same one.
+    cells = cells.repartition(*key).sortWithinPartitions(*key, "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple]) -> pa.RecordBatch:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,18 @@ def test_components(spark):
     assert connected_components(edges.where("false")).count() == 0
 
 
+def test_components_of_edges_that_differ_each_time(spark):
+    def star(batches):  # another spanning tree of the same ids whenever it is computed
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            center = random.SystemRandom().choice(ids)
+            yield pa.RecordBatch.from_pydict({"a": [center] * len(ids), "b": ids})
+
+    edges = spark.range(50, numPartitions=1).mapInArrow(star, "a long, b long")
+    for _ in range(3):
+        assert [tuple(r) for r in connected_components(edges).orderBy("id").collect()] == [(i, 0) for i in range(50)]
+
+
 def brute_top(rows, k, every):
     vectors = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
     out = set()
