@@ -13,9 +13,13 @@ of the byte trie that it has reached on its next arc. Deep in the trie a path is
 to it, so that paths with one future are one and those without any are dropped. Just one path ends in a whole token
 at every byte. States get their rows of the transition table when a word first meets them. ``encode_word`` goes over
 the bytes of a word once, by table look-ups, and then reads the arcs of the one path back from its end. The table has
-a bounded size: a full one is emptied between two words and fills again, which changes no result. Decoding emits the
+a bounded size: a full one is emptied, within a word too, and fills again, which changes no result. Decoding emits the
 labels of the arcs.
 
+**Words.** Texts are split by the published pattern. Its classes of characters are those of the library's own Unicode
+tables, which are asked for each character when it is first met: a text with one that the library takes for another
+class than ``regex`` or Python do is cut into words by the library.
+
 Nulls and texts: a null text counts as empty and has no tokens; ids may repeat; other columns are not read. A model
 in which two merges make the same token is refused.
 """
@@ -30,6 +34,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from strandloom.llm.common import id_and_text, map_rows, small_batches
@@ -52,10 +57,24 @@ FEW = 6
 SHIFT = 1 << FEW + 1  # so that what a path stands on is no negative number
 
 
+NEVER = 1 << 60
+
+
 def packed_path(node: int, at: int) -> int:
     """A path as one integer: its node, and the token it stands behind or the arcs that are open (as -2 - bits)."""
     return node << 20 | at + SHIFT
-NEVER = 1 << 60
+
+
+def disputed(char: str, pieces: tokenizers.pre_tokenizers.PreTokenizer) -> bool:
+    """Whether the library's tables say another class of a character than those that split texts here.
+
+    Unicode grows, and the library, ``regex`` and Python each have tables of their own. The library shows what it takes
+    a character for by where it cuts around it: a letter goes with the letter before it, a number with the number, and
+    other marks, but white space, with the mark behind it.
+    """
+    probe = f"a{char}!1{char}!"
+    theirs = {span[0] for _, span in pieces.pre_tokenize_str(probe)}
+    return theirs != {m.start() for m in regex.finditer(PATTERN, probe)} or char.isalpha() and 1 in theirs
 
 
 def byte_symbols() -> dict[str, int]:
@@ -71,11 +90,11 @@ class Labels:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        symbols, self.vocab = byte_symbols(), self.spec["model"]["vocab"]
+        self.symbols, self.vocab = byte_symbols(), self.spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.labels: list[bytes] = [b""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for word, i in self.vocab.items():
-            self.labels[i] = bytes(symbols[c] for c in word)
+            self.labels[i] = bytes(self.symbols[c] for c in word)
         for word, i in self.special.items():
             self.labels[i] = word.encode()
         lengths = np.array([len(x) for x in self.labels], np.int64)
@@ -170,6 +189,8 @@ class MergeAutomaton(Labels):
             self.whole[node] = token
         self.sizes, self.codes = [len(x) for x in self.labels], [struct.pack("<I", i) for i in range(len(self.labels))]
         self.split = regex.compile(PATTERN).findall
+        self.pieces = tokenizers.Tokenizer.from_file(path).pre_tokenizer
+        self.agreed, self.odd = set(map(chr, range(128))), set()  # characters that have been met
         special = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut_special = regex.compile(f"({special})").split if special else None
         self.words = Cache(self._word)
@@ -239,6 +260,9 @@ class MergeAutomaton(Labels):
                 row = row[byte]
             except KeyError:
                 row = self._move(row, byte)
+                if self.transitions > TRANSITIONS:  # the table begins anew with the state that is reached
+                    self._empty()
+                    row = self.rows.setdefault(row[PATHS], {PATHS: row[PATHS], LAST: row[LAST]})
             add(row[LAST])
         codes, sizes, at, ids = self.codes, self.sizes, len(word), []
         while at:
@@ -274,8 +298,32 @@ class MergeAutomaton(Labels):
             return self.chunks[word] + self.words[chunk[len(word) :]]
         return self._plain(" " + chunk)
 
+    def _disputed(self, text: str) -> bytes:
+        """Ids of a text in which the tables of characters differ: the library cuts it into words."""
+        return b"".join(self.words[bytes(map(self.symbols.__getitem__, p)).decode()] for p, _ in self.pieces.pre_tokenize_str(text))
+
+    def encode_plain(self, text: str) -> bytes:
+        """The same as encode, but special strings are taken as text."""
+        if not any(s in text for s in self.special):
+            return self.encode(text)
+        return self._disputed(text) if self._odd(text) else self._plain(text)
+
+    def _odd(self, text: str) -> bool:
+        """Whether a text has a character whose class is disputed; each is asked for once."""
+        if text.isascii():
+            return False
+        new = set(text) - self.agreed
+        odd = {c for c in new if c in self.odd or disputed(c, self.pieces)}
+        self.odd |= odd
+        self.agreed |= new - odd
+        return bool(odd)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; special strings become their own ids."""
+        if self._odd(text):
+            special = self.special
+            parts = (p for p in (self.cut_special(text) if self.cut_special else [text]) if p)
+            return b"".join(struct.pack("<I", special[p]) if p in special else self._disputed(p) for p in parts)
         first, *chunks = text.split(" ")
         if chunks:
             parts = list(map(self.chunks.__getitem__, chunks))

@@ -44,6 +44,33 @@ def test_automaton_equals_library():
         assert own.decode(packed) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_characters_have_the_classes_of_the_library():
+    """Every code point beside a letter, a digit, a mark, a space and a letter of another plane; texts over all planes."""
+    own, library = bpe_automaton.MergeAutomaton(BPE), Tokenizer.from_file(BPE)
+    r = random.Random(3)
+    points = [*range(128, 0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200), *r.sample(range(0x34000, 0xE0000), 2_000), *r.sample(range(0xF0000, 0x110000), 2_000)]
+    near = ["a{0}1{0}! {0}中{0}".format(chr(p)) for p in points]
+    disputed = [chr(p) for p in points if bpe_automaton.disputed(chr(p), own.pieces)]
+    assert {"\U00018e08", "\U00018f88", "\U000191c8", "\U00010948"} <= set(disputed)
+    some = [*"aZ 1!\n中é'", "  ", "<|endoftext|>"]
+    pick = lambda: r.choice(some) if r.random() < 0.5 else r.choice(disputed) if r.random() < 0.3 else chr(r.choice(points))
+    mixed = ["".join(pick() for _ in range(r.randint(1, 12))) for _ in range(50_000)]
+    for texts in (near, mixed):
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert [t for t, w in zip(texts, want, strict=True) if np.frombuffer(own.encode(t), "<u4").tolist() != w.ids] == []
+    library.encode_special_tokens = True
+    want = library.encode_batch(mixed, add_special_tokens=False)
+    assert [t for t, w in zip(mixed, want, strict=True) if np.frombuffer(own.encode_plain(t), "<u4").tolist() != w.ids] == []
+
+
+def test_the_table_stays_bounded_within_one_word(monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "TRANSITIONS", 1_000)
+    own, library, r = bpe_automaton.MergeAutomaton(BPE), Tokenizer.from_file(BPE), random.Random(4)
+    word = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    assert np.frombuffer(own.encode(word), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+    assert own.transitions <= 1_001 and len(own.rows) <= 1_002
+
+
 def test_arcs_forbid_what_merges():
     own = bpe_automaton.automaton(BPE)
     arc, vocab = own.gadgets.arc, own.vocab
