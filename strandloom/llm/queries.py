@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe_automaton, chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, token_counts, topk_mtree
+from strandloom.llm import (
+    bpe_automaton, chat_format, exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, token_alignment,
+    token_counts, topk_mtree, whitening,
+)
 from strandloom.llm.common import table
 
 
@@ -54,7 +57,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048), capacity=2048)
 
 
-OPERATORS = (op1_topk_mtree, op2_token_counts, op3_bpe_round_trip, op4_exact_dedup, op5_html_extract, op6_language_id, op7_chat_format, op8_near_dedup, op9_quality_rules, op10_best_fit_packing)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), *paths, links="ends")
+
+
+OPERATORS = (
+    op1_topk_mtree, op2_token_counts, op3_bpe_round_trip, op4_exact_dedup, op5_html_extract, op6_language_id, op7_chat_format, op8_near_dedup,
+    op9_quality_rules, op10_best_fit_packing, op11_whitening, op12_secret_scan, op13_token_alignment,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
