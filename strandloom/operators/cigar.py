@@ -1,35 +1,162 @@
-"""What alignments say of the reference, base by base. Alignments: chrom, pos0, cigar array<struct<op, len>>, seq."""
+"""What alignments say of the reference, base by base. Alignments: chrom, pos0, cigar array<struct<op, len>>, seq.
+
+A batch of reads is walked as a whole: the run lengths of all CIGARs are expanded by repetition, their offsets are
+running sums, and the bases are one gather from the bytes of all sequences. ``counted`` sums what a batch shows before
+anything is shuffled. Slices of a batch are bounded by the bases that they show, so long reads need no more memory.
+
+Reads without a place or a CIGAR show nothing. Bases beyond the end of a sequence are empty texts, those of a null
+sequence are null; sequences are ASCII, and other letters count as ``?``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from strandloom.functions.strings import symbol
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Flag bits of an alignment.
 PROPER_PAIR, UNMAPPED, DUPLICATE = 0x2, 0x4, 0x400
 MATCHES, ADVANCE_READ, ADVANCE_REFERENCE = ("M", "=", "X"), ("M", "=", "X", "I", "S"), ("M", "=", "X", "D", "N")
-_STEPS = "array<struct<op:string,len:bigint,ref:bigint,read:bigint>>"
+EMITS = ("alleles", "pileup", "depth")
+#: Bases that a slice of a batch shows, about; a read that shows more is a slice of its own.
+SHOWN = 1 << 20
+#: Names of what is shown: single bytes, then an absent one; texts of insertions and deletions follow.
+ABSENT = 256
 
 
 def parse_cigar(text: Column) -> Column:
     """A CIGAR string as an array of (op, len); a star is an empty one."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+[MIDNSHP=X])")), lambda x: F.struct(F.substring(x, F.length(x), F.lit(1)).alias("op"), F.regexp_extract(x, r"(\d+)", 1).cast("int").alias("len")))
-
-
-def steps(cigar: Column) -> Column:
-    """The operations of a CIGAR with the offsets in reference and read at which they begin."""
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("ref"), zero.alias("read"), F.array().cast(_STEPS).alias("steps"))
+    parts = F.filter(F.split(text, "(?<=[MIDNSHP=X])"), lambda x: x.rlike("^[0-9]+[MIDNSHP=X]$"))
+    return F.transform(parts, lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), F.substring(x, F.lit(1), F.length(x) - 1).cast("int").alias("len")))
+
+
+def _table(ops: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in ops]] = True
+    return out
+
+
+_MATCHED, _IN_READ, _IN_REFERENCE = map(_table, (MATCHES, ADVANCE_READ, ADVANCE_REFERENCE))
+_SYMBOL = np.full(257, ord("N"), np.int64)
+for _letter, _as in zip("ACGTUacgtu", "ACGTTACGTT", strict=True):
+    _SYMBOL[ord(_letter)] = ord(_as)
+
+
+def _letters(seq: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all sequences, and where each begins and how long it is; a null one is as long as none."""
+    seq = seq.cast(pa.string())
+    if seq.null_count or not _ascii(seq):
+        seq = pa.array([(s or "").encode("ascii", "replace").decode() for s in seq.to_pylist()], pa.string())
+    buffers = seq.buffers()
+    cuts = np.frombuffer(buffers[1], np.int32)[seq.offset : seq.offset + len(seq) + 1].astype(np.int64)
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
+    return data, cuts[:-1], np.diff(cuts)
+
+
+def _ascii(seq: pa.Array) -> bool:
+    data = seq.buffers()[2]
+    return data is None or not (np.frombuffer(data, np.uint8) > 127).any()
+
+
+class Walk:
+    """The operations of a batch of reads, with the places in reference and read at which they begin."""
+
+    def __init__(self, pos0: pa.Array, cigar: pa.Array, seq: pa.Array):
+        lengths = cigar.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = cigar.flatten()
+        names = flat.field(0).dictionary_encode()
+        known = np.array([ord(x[0]) if x else 0 for x in names.dictionary.to_pylist()] or [0], np.int64)
+        self.op = known[names.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+        self.len = flat.field(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.read = np.repeat(np.arange(len(lengths)), lengths)
+        self.first = np.cumsum(lengths) - lengths  # operations before each read
+        self.placed = pos0.is_valid().to_numpy(zero_copy_only=False)
+        self.pos0 = pos0.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ref = self.pos0[self.read] + self._offsets(_IN_REFERENCE)
+        self.at = self._offsets(_IN_READ)
+        self.data, self.starts, self.sizes = _letters(seq)
+        self.known = seq.is_valid().to_numpy(zero_copy_only=False)
+
+    def _offsets(self, moves: np.ndarray) -> np.ndarray:
+        steps = np.where(moves[self.op], self.len, 0)
+        before = np.cumsum(steps) - steps
+        return before - before[np.minimum(self.first, max(len(before) - 1, 0))][self.read] if len(before) else before
+
+    def slices(self, emit: str) -> Iterator[np.ndarray]:
+        """Runs of operations that show about SHOWN bases, each with whole reads."""
+        base = _MATCHED[self.op] | (self.op == ord("D")) & (emit == "depth")
+        per_read = np.bincount(self.read, np.where(base, self.len, 1), len(self.first)).astype(np.int64)
+        number = (np.cumsum(per_read) - per_read) // SHOWN
+        of_op = number[self.read]
+        cuts = np.flatnonzero(np.diff(of_op)) + 1
+        for run in np.split(np.arange(len(self.op)), cuts):
+            if len(run):
+                yield run
+
+    def inserted(self, op: int) -> str | None:
+        read = self.read[op]
+        if not self.known[read]:
+            return None
+        start, size = self.starts[read], self.sizes[read]
+        return self.data[start + min(self.at[op], size) : start + min(self.at[op] + self.len[op], size)].tobytes().decode()
+
+    def shown(self, run: np.ndarray, emit: str, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Reads, places and names of what a run of operations shows, and the texts of names from ABSENT + 1 on."""
+        run = run[(self.len[run] > 0) & self.placed[self.read[run]]]
+        op = self.op[run]
+        based = run[_MATCHED[op] | (op == ord("D")) & (emit == "depth")]
+        many = self.len[based]
+        rows = np.repeat(based, many)
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+        reads, places = self.read[rows], self.ref[rows] + nth
+        if emit == "depth":
+            return reads, places, np.full(len(rows), ABSENT), []
+        at = self.at[rows] + nth
+        there = at < self.sizes[reads]
+        names = np.zeros(len(rows), np.int64)
+        names[there] = self.data[(self.starts[reads] + at)[there]]
+        names[~self.known[reads]] = ABSENT
+        if emit == "pileup":
+            names = _SYMBOL[names]
+        plus, minus = run[op == ord("I")], run[op == ord("D")] if emit == "pileup" else run[:0]
+        mark = "+" if emit == "pileup" else ""
+        texts = [None if (s := self.inserted(i)) is None else mark + s for i in plus.tolist()] + [f"-{n}" for n in self.len[minus].tolist()]
+        numbers: dict[str, int] = {}
+        own = [ABSENT if t is None else numbers.setdefault(t, ABSENT + 1 + len(numbers)) for t in texts]
+        odd = np.concatenate((plus, minus))
+        reads, places, names = (np.concatenate(x) for x in ((reads, self.read[odd]), (places, self.ref[odd]), (names, np.array(own, np.int64))))
+        if ordered:  # as the operations follow one another
+            order = np.argsort(np.concatenate((rows, odd)), kind="stable")
+            reads, places, names = reads[order], places[order], names[order]
+        return reads, places, names, list(numbers)
+
+
+def _texts(names: np.ndarray, more: list[str]) -> pa.Array:
+    words = ["", *map(chr, range(1, 128)), *["?"] * 128, None, *more]
+    return pa.DictionaryArray.from_arrays(pa.array(names, pa.int32()), pa.array(words, pa.string())).cast(pa.string())
+
+
+def _walks(df: DataFrame, emit: str, keys: list[str], kernel, more: list[StructField]) -> DataFrame:
+    if emit not in EMITS:
+        raise ValueError(f"emit {emit}")
+    fields = [StructField("pos", LongType()), StructField("allele", StringType()), *more]
+    schema = StructType([df.schema[c] for c in keys] + fields)
+    names = [*keys, *(f.name for f in fields)]
 
-    def step(done: Column, c: Column) -> Column:
-        n = c["len"].cast("bigint")
-        here = F.struct(c["op"].alias("op"), n.alias("len"), done["ref"].alias("ref"), done["read"].alias("read"))
-        move = lambda ops: F.when(c["op"].isin(*ops), n).otherwise(F.lit(0).cast("bigint"))
-        return F.struct((done["ref"] + move(ADVANCE_REFERENCE)).alias("ref"), (done["read"] + move(ADVANCE_READ)).alias("read"), F.concat(done["steps"], F.array(here)).alias("steps"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                walk = Walk(*batch.columns[len(keys) :])
+                for part in walk.slices(emit):
+                    columns = kernel(batch, *walk.shown(part, emit, not more))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return F.aggregate(cigar, start, step, lambda done: done["steps"])
+    seq = F.col("seq") if emit != "depth" else F.lit("").alias("seq")
+    return df.select(*keys, F.col("pos0").cast("long"), "cigar", seq).mapInArrow(run, schema)
 
 
 def explode_cigar(df: DataFrame, emit: str) -> DataFrame:
@@ -37,31 +164,40 @@ def explode_cigar(df: DataFrame, emit: str) -> DataFrame:
 
     emit ``alleles``: every matched base, and inserted sequence at the next reference position. ``pileup``: matched
     bases by symbol, insertions as +SEQ at the next position, deletions as -LENGTH at their first base. ``depth``:
-    every matched or deleted base, without a name. Skips and clips show nothing. Null cigars give no rows.
+    every matched or deleted base, without a name. Skips and clips show nothing.
     """
-    one = lambda pos, allele: F.array(F.struct(pos.cast("bigint").alias("pos"), allele.cast("string").alias("allele")))
-    start, seq = F.col("pos0").cast("bigint"), F.col("seq")
+    keys = [c for c in df.columns if c not in ("cigar", "seq", "pos0")]
 
-    def each(s: Column, allele) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), s["len"] - 1), lambda i: F.struct((start + s["ref"] + i).alias("pos"), allele(s, i).cast("string").alias("allele")))
+    def kernel(batch: pa.RecordBatch, reads: np.ndarray, places: np.ndarray, names: np.ndarray, more: list[str]) -> list[pa.Array]:
+        at = pa.array(reads)
+        return [*(batch.column(i).take(at) for i in range(len(keys))), pa.array(places), _texts(names, more)]
 
-    base = lambda s, i: F.substring(seq, (s["read"] + i + 1).cast("int"), F.lit(1))
-    inserted = lambda s: F.substring(seq, (s["read"] + 1).cast("int"), s["len"].cast("int"))
-    nothing = F.array().cast("array<struct<pos:bigint,allele:string>>")
+    return _walks(df, emit, keys, kernel, [])
 
-    def rows(s: Column) -> Column:
-        op, some = s["op"], s["len"] > 0
-        if emit == "alleles":
-            return F.when(op.isin(*MATCHES) & some, each(s, base)).when((op == "I") & some, one(start + s["ref"], inserted(s))).otherwise(nothing)
-        if emit == "pileup":
-            named = F.when(op.isin(*MATCHES) & some, each(s, lambda s, i: symbol(base(s, i)))).when((op == "I") & some, one(start + s["ref"], F.concat(F.lit("+"), inserted(s))))
-            return named.when((op == "D") & some, one(start + s["ref"], F.concat(F.lit("-"), s["len"].cast("string")))).otherwise(nothing)
-        if emit == "depth":
-            return F.when(op.isin(*MATCHES, "D") & some, each(s, lambda s, i: F.lit(None))).otherwise(nothing)
-        raise ValueError(f"emit {emit}")
 
-    shown = df.withColumn("_shown", F.explode(F.flatten(F.transform(steps(F.col("cigar")), rows))))
-    return shown.select(*[c for c in df.columns if c not in ("cigar", "seq", "pos0")], F.col("_shown.pos").alias("pos"), F.col("_shown.allele").alias("allele"))
+def counted(df: DataFrame, emit: str, by: list[str]) -> DataFrame:
+    """by, pos, allele, n: how often alignments show each thing, summed in each batch and then over all."""
+
+    def kernel(batch: pa.RecordBatch, reads: np.ndarray, places: np.ndarray, names: np.ndarray, more: list[str]) -> list[pa.Array]:
+        group, sample = np.zeros(batch.num_rows, np.int64), [0]
+        for i in range(len(by)):
+            codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            _, sample, group = np.unique(group * (int(codes.max()) + 1) + codes, return_index=True, return_inverse=True)
+        low = int(places.min()) if len(places) else 0
+        width, kinds = int(places.max()) - low + 1 if len(places) else 1, ABSENT + 1 + len(more)
+        where, found = places - low, None
+        if width * kinds * (len(sample) + 1) >= 1 << 62:
+            found, where = np.unique(places, return_inverse=True)
+            width = len(found)
+        keys, n = np.unique((group[reads] * width + where) * kinds + names, return_counts=True)
+        keys, named = np.divmod(keys, kinds)
+        groups, where = np.divmod(keys, width)
+        at = pa.array(np.asarray(sample)[groups])
+        pos = where + low if found is None else found[where]
+        return [*(batch.column(i).take(at) for i in range(len(by))), pa.array(pos), _texts(named, more), pa.array(n.astype(np.int64))]
+
+    parts = _walks(df, emit, by, kernel, [StructField("n", LongType())])
+    return parts.groupBy(*by, "pos", "allele").agg(F.sum("n").alias("n"))
 
 
 def properly_paired(df: DataFrame) -> DataFrame:
@@ -72,4 +208,4 @@ def properly_paired(df: DataFrame) -> DataFrame:
 
 def depth(df: DataFrame) -> DataFrame:
     """chrom, pos, depth: properly paired reads that match or delete each position."""
-    return explode_cigar(properly_paired(df).select("chrom", "pos0", "cigar", "seq"), "depth").groupBy("chrom", "pos").agg(F.count("*").alias("depth"))
+    return counted(properly_paired(df), "depth", ["chrom"]).select("chrom", "pos", F.col("n").alias("depth"))

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.strings import indels
-from strandloom.operators.cigar import UNMAPPED, explode_cigar
-
-KEY = ("sample", "chrom", "pos", "symbol")
+from strandloom.operators.cigar import UNMAPPED, counted
 
 
 def pileup(alignments: DataFrame, mapq_of_unmapped: int = 55) -> DataFrame:
     """Symbols of all reads but those that are unmapped and of low mapping quality too."""
     kept = alignments.where(~((F.col("flag").bitwiseAND(F.lit(UNMAPPED)) != 0) & (F.col("mapq") < mapq_of_unmapped)))
-    shown = explode_cigar(kept.select("sample", "chrom", "pos0", "cigar", "seq"), "pileup").withColumnRenamed("allele", "symbol")
-    return shown.groupBy(*KEY).agg(F.count("*").alias("n"))
+    return counted(kept, "pileup", ["sample", "chrom"]).withColumnRenamed("allele", "symbol")
 
 
 def pooled(symbols: DataFrame) -> DataFrame:

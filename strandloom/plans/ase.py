@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.stats import chi2_tail, g_statistic
 from strandloom.functions.strings import haplotypes, locus
-from strandloom.operators.cigar import explode_cigar, properly_paired
+from strandloom.operators.cigar import counted, properly_paired
 from strandloom.operators.intervals import stab_join
 from strandloom.operators.stats import bh_threshold
 
@@ -43,8 +43,8 @@ def gene_sites(genes: DataFrame, sites: DataFrame) -> DataFrame:
 
 def allele_counts(alignments: DataFrame, positions: DataFrame) -> DataFrame:
     """chrom, pos (1-based), allele, n over properly paired reads at the given positions only."""
-    shown = explode_cigar(properly_paired(alignments).select("chrom", "pos0", "cigar", "seq"), "alleles").withColumn("pos", F.col("pos") + 1)
-    return shown.join(positions.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi").groupBy("chrom", "pos", "allele").agg(F.count("*").alias("n"))
+    shown = counted(properly_paired(alignments), "alleles", ["chrom"]).withColumn("pos", F.col("pos") + 1)
+    return shown.join(positions.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
 
 
 def top_two(counts: DataFrame, by: list[str]) -> DataFrame:

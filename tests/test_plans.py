@@ -1,6 +1,8 @@
 """Pipelines end to end on small inputs with results worked out by hand."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,49 @@ def test_strings(spark):
     names = ["chr10", "2", "chrX", "Y", "chrM", "GL1", "chr1"]
     assert [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(st.karyotype_rank(F.col("n")), "n").collect()] == ["chr1", "2", "chr10", "chrX", "Y", "chrM", "GL1"]
     assert one(chi2_tail(lit(2.0), lit(2)))[0] == pytest.approx(math.exp(-1))
+
+
+def plain_walk(pos0, ops, seq, emit):
+    """What one read shows, one base after the other."""
+    if pos0 is None or ops is None:
+        return
+    ref, at = pos0, 0
+    base = lambda i: None if seq is None else seq[i : i + 1]
+    named = lambda b: {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T"}.get((b or "").upper(), "N") if emit == "pileup" else b
+    for op, n in ops:
+        for i in range(n):
+            if op in "M=X" or op == "D" and emit == "depth":
+                yield ref + i, None if emit == "depth" else named(base(at + i))
+        if n and op == "I" and emit != "depth":
+            yield ref, None if seq is None else ("+" if emit == "pileup" else "") + seq[at : at + n]
+        if n and op == "D" and emit == "pileup":
+            yield ref, f"-{n}"
+        ref, at = ref + n * (op in "M=XDN"), at + n * (op in "M=XIS")
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_cigar_kernel_equals_plain_walk(spark, monkeypatch, most):
+    """Reads of every kind, whatever the slices: null and short sequences, null places and CIGARs, empty operations, odd letters."""
+    monkeypatch.setattr(cigar, "SHOWN", most)
+    r = random.Random(most)
+    rows = []
+    for i in range(300):
+        ops = [(r.choice("MIDNSHP=X"), r.choice([0, 1, 2, 5, 9])) for _ in range(r.randint(0, 6))]
+        seq = r.choice([None, "", "".join(r.choice("ACGTUNacgtn*é") for _ in range(r.randint(1, 30)))])
+        rows.append((r.choice([None, "s1", "s2"]), r.choice(["c1", "c2", None]), r.choice([None, 0, 3, 10**12]) if i % 9 == 0 else r.randint(0, 20), None if i % 31 == 0 else ops, seq))
+    rows.append(("s1", "c1", 5, [("M", 5_000), ("N", 10**8), ("D", 3), ("M", 1)], "ACGT" * 1_300))
+    df = spark.createDataFrame(rows, "sample string, chrom string, pos0 long, cigar array<struct<op:string,len:int>>, seq string").repartition(3)
+    for emit in cigar.EMITS:
+        shown = [(s, c, *x) for s, c, p, ops, seq in rows for x in plain_walk(p, ops, seq and seq.replace("é", "?"), emit)]
+        assert Counter(map(tuple, cigar.explode_cigar(df, emit).collect())) == Counter(shown)
+        got = cigar.counted(df, emit, ["sample", "chrom"]).collect()
+        assert {tuple(x[:4]): x.n for x in got} == Counter(shown) and len(got) == len(set(shown))
+    with pytest.raises(ValueError):
+        cigar.counted(df, "bases", [])
+    assert cigar.counted(df.limit(0), "pileup", ["chrom"]).count() == 0
+
+
+def test_cigar_texts(spark):
+    texts = ["1S3M2I", "*", "", "12M", None, "3M2Q", "M3"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select(cigar.parse_cigar(F.col("c")).alias("x"))
+    assert [None if r.x is None else [tuple(o) for o in r.x] for r in df.collect()] == [[("S", 1), ("M", 3), ("I", 2)], [], [], [("M", 12)], None, [("M", 3)], []]
