@@ -6,6 +6,8 @@ again, and the SQL says from the tables alone what must come out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from strandloom.operators import cigar, intervals, kmers, pileup, table
 from strandloom.plans import ase, depletion
 from strandloom.queries import BASES, PURE, RC, WINDOWS, bases, both_strands, cycles, CYCLES, pure, query, read, sql_kmers, sql_pure
 from strandloom.sources import bam, fasta, fastq, gtf, sinks, vcf
+from strandloom.sources.shared import shared_folder
 
 text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
@@ -61,6 +64,17 @@ def sam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qname", "flag", "chrom", "pos0", "mapq", *sizes)
 
 
+@query(f"""WITH {READS} SELECT qname, flag, chrom, pos0, mapq, cigar, seq, 'x' AS sample FROM (SELECT sample AS qname, flag, chrom, pos0, mapq::INT AS mapq,
+    a || 'M' || b || 'I' || c || 'D2=1N1X2S1H' AS cigar, translate(substr(repeat('ACGUn', 20), (s + 1)::INT, (a + b + 5)::INT), 'Un', 'NN') AS seq FROM r)""")
+def bam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads written as BAM files and read again in splits."""
+    path = f"{shared_folder(spark)}/strandloom/bam-{uuid.uuid4().hex}"
+    bam.write_bam(_reads(spark, sf_dir), path, {f"chr{i}": 1 << 28 for i in range(5)}, sample="x")
+    rows = bam.with_sample(bam.read_bam(spark, path, ["file", "qname", "flag", "chrom", "pos0", "mapq", "cigar", "seq", "rg_sm"]))
+    written = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), c["op"])), "")
+    return rows.select("qname", "flag", "chrom", "pos0", "mapq", written.alias("cigar"), "seq", "sample")
+
+
 @query(f"""WITH {READS}, every AS (SELECT chrom, flag, pos FROM matched UNION ALL SELECT chrom, flag, pos + i FROM (SELECT *, unnest(range(0, c)) AS i FROM deleted))
     SELECT chrom, pos, count(*) AS depth FROM every WHERE flag = 2 GROUP BY ALL""")
 def sam_depth(spark: SparkSession, sf_dir: str) -> DataFrame:

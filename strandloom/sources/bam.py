@@ -3,60 +3,65 @@
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.cigar import parse_cigar
-
-#: Fixed values of the format: operations, letters of bases, rows of one batch.
-OPERATIONS, LETTERS, BATCH = "MIDNSHP=X", "=ACMGRSVTWYHKDBN", 4096
-SCHEMA = "file string, read_no long, qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>, seq string, qual binary, rg_sm string"
-_ARROW = pa.schema(
-    [("file", pa.string()), ("read_no", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos0", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("seq", pa.string()), ("qual", pa.binary()), ("rg_sm", pa.string())]
-)
-
-
-def inflated(data: bytes) -> Iterator[bytes]:
-    """The blocks of a BGZF file: gzip members, one after the other."""
-    at = 0
-    while at < len(data):
-        member = zlib.decompressobj(31)
-        out = member.decompress(data[at:] if len(data) - at < 1 << 17 else data[at : at + (1 << 17)])
-        while not member.eof:
-            at += 1 << 17
-            if at >= len(data):
-                raise ValueError("a BGZF block is cut off")
-            out += member.decompress(data[at : at + (1 << 17)])
-        at = min(len(data), at + (1 << 17)) - len(member.unused_data)
-        if out:
-            yield out
-
-
-class Bytes:
-    """Takes fixed numbers of bytes from a stream of blocks."""
-
-    def __init__(self, blocks: Iterator[bytes]):
-        self.blocks, self.held, self.at = blocks, b"", 0
-
-    def take(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            block = next(self.blocks, None)
-            if block is None:
-                break
-            self.held, self.at = self.held[self.at :] + block, 0
-        out = self.held[self.at : self.at + n]
-        self.at += len(out)
-        return out
-
-    def exactly(self, n: int) -> bytes:
-        out = self.take(n)
-        if len(out) < n:
-            raise ValueError("the file ends within a record")
-        return out
+from strandloom.sources import bgzf
+from strandloom.sources.shared import cut
+
+#: Fixed values of the format: operations, letters of bases, the fields that every record begins with.
+OPERATIONS, LETTERS = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+FIELDS = np.dtype([
+    ("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"),
+    ("bases", "<i4"), ("next_ref", "<i4"), ("next_pos", "<i4"), ("template", "<i4"),
+])
+#: Records of one batch, and bytes of it, about.
+BATCH, BATCH_BYTES = 4096, 1 << 24
+COLUMNS = {
+    "file": "string", "read_no": "long", "qname": "string", "flag": "int", "chrom": "string", "pos0": "long", "mapq": "int",
+    "cigar": "array<struct<op:string,len:int>>", "seq": "string", "qual": "binary", "rg_sm": "string",
+}
+_CIGAR = pa.struct([("op", pa.string()), ("len", pa.int32())])
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), COLUMNS["cigar"]: pa.list_(_CIGAR)}
+
+
+def header_end(data: bytes) -> int | None:
+    if len(data) >= 4 and bytes(data[:4]) != b"BAM\1":
+        raise ValueError("this is no BAM file")
+    if len(data) < 8 or len(data) < (at := 12 + struct.unpack_from("<i", data, 4)[0]):
+        return None
+    for _ in range(struct.unpack_from("<i", data, at - 4)[0]):
+        if len(data) < at + 4:
+            return None
+        at += 8 + struct.unpack_from("<i", data, at)[0]
+    return at if len(data) >= at else None
+
+
+def record_size(data: bytes, at: int) -> int | None:
+    return 4 + struct.unpack_from("<i", data, at)[0] if len(data) - at >= 4 else None
+
+
+def plausible(data: bytes, at: int) -> bool | None:
+    """Whether the fields at a place are those of a record: all within their ranges, the name ended, the sizes in agreement."""
+    if len(data) - at < FIELDS.itemsize:
+        return None
+    size, ref, pos, name, _, _, ops, flag, bases, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (-1 <= ref < 1 << 24 and -1 <= next_ref < 1 << 24 and pos >= -1 and next_pos >= -1 and name and flag < 1 << 12 and bases >= 0):
+        return False
+    if not 32 + name + 4 * ops + (bases + 1) // 2 + bases <= size < 1 << 30:
+        return False
+    at += FIELDS.itemsize
+    if len(data) < at + name:
+        return None
+    return data[at + name - 1] == 0 and all(33 <= c < 127 for c in data[at : at + name - 1])
+
+
+BAM = bgzf.Format(header_end, record_size, plausible)
 
 
 def sample_of(header: str) -> str:
@@ -67,57 +72,172 @@ def sample_of(header: str) -> str:
     return ""
 
 
-def records(data: bytes, file: str) -> Iterator[tuple]:
-    """Rows of SCHEMA of one file."""
-    stream = Bytes(inflated(data))
-    if stream.take(4) != b"BAM\1":
-        raise ValueError(f"{file} is no BAM file")
-    header = stream.exactly(struct.unpack("<i", stream.exactly(4))[0]).rstrip(b"\0").decode()
-    names = []
-    for _ in range(struct.unpack("<i", stream.exactly(4))[0]):
-        names.append(stream.exactly(struct.unpack("<i", stream.exactly(4))[0])[:-1].decode())
-        stream.exactly(4)
-    sample, number = sample_of(header), 0
-    while size := stream.take(4):
-        if len(size) < 4:
-            raise ValueError("the file ends within a record")
-        r = stream.exactly(struct.unpack("<i", size)[0])
-        ref, pos, name_len, mapq, _, ops, flag, bases = struct.unpack_from("<iiBBHHHi", r)
-        at = 32 + name_len
-        qname = r[32 : at - 1].decode()
-        cigar = [{"op": OPERATIONS[x & 15], "len": x >> 4} for x in struct.unpack_from(f"<{ops}I", r, at)]
-        at += 4 * ops
-        packed = r[at : at + (bases + 1) // 2]
-        at += len(packed)
-        seq = "".join(LETTERS[x >> 4] + LETTERS[x & 15] for x in packed)[:bases]
-        yield file, number, qname, flag, names[ref] if ref >= 0 else None, pos, mapq, cigar, seq, r[at : at + bases], sample
-        number += 1
-
-
-def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of BAM files, one task a file; rg_sm is the sample of the first read group, empty if there is none.
-
-    A file is taken as one value of at most 2 GB: larger ones are to be split before. What is no BAM file, or ends
-    within a record, raises an error when rows are read.
+def references(header: bytes) -> tuple[str, list[str]]:
+    """The sample and the names of the reference sequences."""
+    at = 8 + struct.unpack_from("<i", header, 4)[0]
+    sample, names = sample_of(header[8:at].rstrip(b"\0").decode()), []
+    for _ in range(struct.unpack_from("<i", header, at)[0]):
+        n = struct.unpack_from("<i", header, at + 4)[0]
+        names.append(header[at + 8 : at + 7 + n].decode())
+        at += 8 + n
+    return sample, names
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def _runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Runs of bytes as texts or binary values."""
+    cuts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[_gather(starts, lengths)]))])
+
+
+_NIBBLES = np.array([[ord(LETTERS[i >> 4]), ord(LETTERS[i & 15])] for i in range(256)], np.uint8)
+
+
+def decode(records: list[bytes], wanted: set[str]) -> dict[str, pa.Array]:
+    """The wanted columns of records, whole columns at a time; of the others nothing is decoded."""
+    sizes = np.array([len(r) for r in records], np.int64)
+    data = np.frombuffer(b"".join(records), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    fixed = data[starts[:, None] + np.arange(FIELDS.itemsize)].reshape(-1).view(FIELDS)
+    name, ops, bases = (fixed[c].astype(np.int64) for c in ("name", "ops", "bases"))
+    at_ops = starts + FIELDS.itemsize + name
+    at_seq = at_ops + 4 * ops
+    packed = (bases + 1) // 2
+    out = {"flag": pa.array(fixed["flag"].astype(np.int32)), "pos0": pa.array(fixed["pos"].astype(np.int64)), "mapq": pa.array(fixed["mapq"].astype(np.int32)), "ref": pa.array(fixed["ref"].astype(np.int32))}
+    if "qname" in wanted:
+        out["qname"] = _runs(data, starts + FIELDS.itemsize, name - 1, pa.string())
+    if "cigar" in wanted:
+        codes = np.ascontiguousarray(data[_gather(at_ops, 4 * ops)]).view("<u4")
+        kinds = pa.DictionaryArray.from_arrays(pa.array((codes & 15).astype(np.int32)), pa.array([*OPERATIONS, *"???????"])).cast(pa.string())
+        each = pa.StructArray.from_arrays([kinds, pa.array((codes >> 4).astype(np.int32))], fields=list(_CIGAR))
+        out["cigar"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(ops))), pa.int32()), each)
+    if "seq" in wanted:
+        letters = _NIBBLES[data[_gather(at_seq, packed)]].reshape(-1)
+        out["seq"] = _runs(letters, 2 * (np.cumsum(packed) - packed), bases, pa.string())
+    if "qual" in wanted:
+        out["qual"] = _runs(data, at_seq + packed, bases, pa.binary())
+    return out
+
+
+def read_bam(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """Alignments of BAM files of any size, in many tasks a file; rg_sm is the sample of the first read group, empty if there is none.
+
+    columns: which of COLUMNS are wanted; of the others nothing is decoded, and without read_no, the number of a record
+    in its file, no record is numbered. What crosses two splits is found by one more pass over the input, which keeps a
+    small row for each split. What is no BAM file, or ends within a record, raises an error when rows are read.
+    """
+    wanted = list(COLUMNS) if columns is None else list(columns)
+    if unknown := set(wanted) - set(COLUMNS):
+        raise ValueError(f"no columns {sorted(unknown)}")
+    raw = bgzf.raw_blocks(spark, path)
+    pieces = cut(bgzf.fragments(raw, BAM), "fragments")
+    strung = bgzf.joined(pieces).join(pieces.select("file", "start", "records"), ["file", "start"])
+    made = [c for c in wanted if c not in ("file", "read_no", "chrom", "rg_sm")]
+    kinds = {"file": "string", "start": "long", "nth": "long", "ref": "int"} | {c: COLUMNS[c] for c in made}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+
+    def batches_of(records: Iterator[bytes], file: str, start: int, nth: int) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            n = len(held)
+            own = {"file": pa.array([file] * n), "start": pa.array(np.full(n, start)), "nth": pa.array(np.arange(nth, nth + n))} | decode(held, set(made))
+            return pa.RecordBatch.from_arrays([own[c].cast(_ARROW[k]) for c, k in kinds.items()], names=list(kinds))
+
+        for record in records:
+            held.append(record)
+            size += len(record)
+            if len(held) == BATCH or size > BATCH_BYTES:
+                yield out()
+                nth, held, size = nth + len(held), [], 0
+        if held:
+            yield out()
+
+    def inside(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for split in bgzf.splits(batches):
+            stream = bgzf.Stream(split, BAM)
+            if stream.found:
+                yield from batches_of(stream.records(), split.file, split.start, 0)
+
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, start, data, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from batches_of(bgzf.whole_records(data, BAM, file), file, start, before)
+
+    rows = raw.mapInArrow(inside, schema).unionByName(strung.select("file", "start", "data", "records").mapInArrow(across, schema))
+    if "read_no" in wanted:
+        rows = rows.join(_before(pieces, strung), ["file", "start"]).withColumn("read_no", F.col("nth") + F.col("before"))
+    if "chrom" in wanted or "rg_sm" in wanted:
+        rows = rows.join(_references(pieces), ["file", "ref"])
+    return rows.select(*wanted)
+
+
+def _before(pieces: DataFrame, strung: DataFrame) -> DataFrame:
+    """file, start, before: how many records of the file come before those of each split."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [sum(1 for _ in bgzf.whole_records(d, BAM, f)) for f, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, pa.int64())], names=["file", "start", "more"])
+
+    crossing = strung.select("file", "start", "data").mapInArrow(count, "file string, start long, more long")
+    own = pieces.select("file", "start", "records").join(crossing, ["file", "start"], "left")
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    total = F.sum(F.col("records") + F.coalesce("more", F.lit(0))).over(earlier)
+    return own.select("file", "start", F.coalesce(total, F.lit(0)).alias("before"))
+
+
+def _references(pieces: DataFrame) -> DataFrame:
+    """file, ref, chrom, rg_sm: the names of the reference sequences of each file, and null for reads without one."""
+
+    def names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, header in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sample, every = references(header)
+                n = len(every) + 1
+                columns = [[file] * n, list(range(-1, n - 1)), [None, *every], [sample] * n]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["file", "ref", "chrom", "rg_sm"])
+
+    headers = pieces.where(F.col("header").isNotNull()).select("file", "header")
+    return headers.mapInArrow(names, "file string, ref int, chrom string, rg_sm string")
+
+
+def write_bam(alignments: DataFrame, path: str, contigs: dict[str, int], sample: str = "", mode: str = "errorifexists") -> None:
+    """A BAM file for each partition of alignments (qname, flag, chrom, pos0, mapq, cigar, seq, qual), in order.
+
+    contigs: name -> length of the reference sequences. A null chrom or place is written as none, a null qual as absent.
     """
+    text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs.items()) + (f"@RG\tID:1\tSM:{sample}\n" if sample else "")
+    listed = b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs.items())
+    header = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs)) + listed
+    number, code = {c: i for i, c in enumerate(contigs)}, {c: i for i, c in enumerate(LETTERS)}
+
+    def record(qname: str, flag: int, chrom: str | None, pos: int | None, mapq: int, cigar: list[dict] | None, seq: str | None, qual: bytes | None) -> bytes:
+        name, seq, cigar = (qname or "*").encode() + b"\0", seq or "", cigar or []
+        nibbles = [code.get(c, 15) for c in seq.upper()] + [0]
+        packed = bytes(nibbles[i] << 4 | nibbles[i + 1] for i in range(0, len(seq), 2))
+        ref = -1 if chrom is None else number[chrom]
+        fixed = struct.pack("<iiBBHHHiiii", ref, -1 if pos is None else pos, len(name), mapq, 0, len(cigar), flag, len(seq), -1, -1, 0)
+        ops = b"".join(struct.pack("<I", c["len"] << 4 | OPERATIONS.index(c["op"])) for c in cigar)
+        body = fixed + name + ops + packed + (qual if qual is not None else b"\xff" * len(seq))
+        return struct.pack("<i", len(body)) + body
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = header
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = []
-                for row in records(data, file):
-                    held.append(row)
-                    if len(held) == BATCH:
-                        yield out(held)
-                        held = []
-                if held:
-                    yield out(held)
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
-
-    paths = [path] if isinstance(path, str) else path
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, SCHEMA)
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([start + b"".join(record(*r) for r in rows)], pa.binary())], names=["data"])
+            start = b""
+
+    fields = ["qname", "flag", "chrom", "pos0", "mapq", "cigar", "seq"]
+    qual = F.col("qual").cast("binary") if "qual" in alignments.columns else F.lit(None).cast("binary").alias("qual")
+    bgzf.write_blocks(alignments.select(*fields, qual).mapInArrow(run, "data binary"), path, mode)
 
 
 def with_sample(alignments: DataFrame) -> DataFrame:

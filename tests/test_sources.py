@@ -2,14 +2,17 @@
 
 import gzip
 import json
+import random
 import struct
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import cigar
 from strandloom.sources import bam, fasta, fastq, gtf, sinks, text_tables, vcf
+from strandloom.sources import bgzf as bgzf_source
 
 
 def put(path, text):
@@ -171,6 +174,88 @@ def test_bam(spark, tmp_path):
         bam.read_bam(spark, str(tmp_path / "c.bam")).collect()
 
 
+BAM_SCHEMA = "qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>, seq string, qual binary"
+
+
+def bam_reads(seed, n):
+    r = random.Random(seed)
+    for i in range(n):
+        bases = 30_000 if i % 400 == 7 else r.choice([0, 1, 50, 151])
+        ops = [(o, r.randint(0, 9)) for o in r.choices("MIDNSHP=X", k=r.randint(0, 5))]
+        yield f"r{i}", r.choice([0, 2, 99]), r.choice(["c1", "c2", None]), r.choice([None, r.randint(0, 10**6)]), r.randint(0, 60), ops, "".join(r.choices("ACGTN", k=bases)), bytes(r.choices(range(60), k=bases))
+
+
+@pytest.fixture
+def cuts(spark):
+    """Sets how large a split is."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    yield lambda size: (spark.conf.set(names[0], size), spark.conf.set(names[1], 1))
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_bam_is_the_same_in_any_splits(spark, tmp_path, cuts):
+    """Two files with records longer than a split; every cut gives the same rows, numbers included, in as many tasks as there are splits."""
+    rows = list(bam_reads(1, 1_200))
+    path = str(tmp_path / "bam")
+    bam.write_bam(spark.createDataFrame(rows, BAM_SCHEMA).repartition(2), path, {"c1": 10**6, "c2": 5}, "tumour")
+    want = sorted((q, f, c, -1 if p is None else p, m, o, s, b) for q, f, c, p, m, o, s, b in rows)
+    numbers = None
+    for size in (10**9, 1 << 16, 9_973, 2_500):
+        cuts(size)
+        df = bam.read_bam(spark, path)
+        got = df.collect()
+        assert sorted((r.qname, r.flag, r.chrom, r.pos0, r.mapq, [tuple(c) for c in r.cigar], r.seq, bytes(r.qual)) for r in got) == want
+        assert {r.rg_sm for r in got} == {"tumour"}
+        own = {(r.file, r.read_no, r.qname) for r in got}
+        assert numbers in (None, own) and len(own) == len(rows)
+        numbers = own
+    assert bam.bgzf.raw_blocks(spark, path).rdd.getNumPartitions() > 40
+    few = bam.read_bam(spark, path, ["flag"])
+    assert few.columns == ["flag"] and sorted(r.flag for r in few.collect()) == sorted(r[1] for r in rows)
+    for file in (tmp_path / "bam").glob("part-*"):  # any reader of gzip members reads what was written
+        assert gzip.open(file).read(4) == b"BAM\1" and file.read_bytes().endswith(bam.bgzf.END)
+    with pytest.raises(ValueError):
+        bam.read_bam(spark, path, ["nothing"])
+
+
+def test_bam_that_is_broken(spark, tmp_path):
+    whole = bam_bytes(READS)
+    half = len(whole) // 2
+    (tmp_path / "cut.bam").write_bytes(whole[:-40])
+    (tmp_path / "bad.bam").write_bytes(whole[:half] + bytes([whole[half] ^ 1]) + whole[half + 1 :])
+    (tmp_path / "none.bam").write_bytes(b"")
+    for name in ("cut", "bad"):
+        with pytest.raises(Exception, match="BGZF|broken|record|invalid|Error"):
+            bam.read_bam(spark, str(tmp_path / f"{name}.bam"), ["qname"]).collect()
+    assert bam.read_bam(spark, str(tmp_path / "none.bam"), ["qname"]).count() == 0
+
+
+def test_separators_inside_blocks():
+    """A separator that occurs in the data of a block is no cut."""
+    inner = bgzf_source.SEPARATOR.encode()
+    data = b"ab" + inner + b"cd" + inner * 2
+    body = zlib.compressobj(0, zlib.DEFLATED, -15)
+    body = body.compress(data) + body.flush()  # stored, so that the separators are seen
+    block = bgzf_source.HEADER + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+    values = (block + bgzf_source.compressed(b"more") + bgzf_source.END).split(inner)
+    assert len(values) > 5 and list(bgzf_source.inflated(iter(values), "f", 0)) == [data, b"more"]
+
+
+def test_failed_writer_leaves_no_file(spark, tmp_path):
+    rows = list(bam_reads(2, 50)) + [("x", 0, "unknown", 1, 0, [], "A", b"1")]
+    with pytest.raises(Exception, match="unknown"):
+        bam.write_bam(spark.createDataFrame(rows, BAM_SCHEMA).repartition(3), str(tmp_path / "w"), {"c1": 9, "c2": 9})
+    assert not list((tmp_path / "w").glob("part-*")) and not (tmp_path / "w" / "_SUCCESS").exists()
+
+
+def test_sample_of_reads(spark, tmp_path):
+    for name, header in (("a.bam", "@RG\tID:x\tSM:tumour\n"), ("b.bam", "@HD\tVN:1\n")):
+        (tmp_path / name).write_bytes(bam_bytes(READS[:3], header))
+    df = bam.with_sample(bam.read_bam(spark, str(tmp_path / "*.bam"), ["file", "rg_sm", "qname"]))
+    assert Counter(r["sample"] for r in df.collect()) == {"tumour": 3, "b.bam": 3}
+
+
 def test_cigar_walks(spark):
     sam = spark.createDataFrame([("a\t3\tchr1\t11\t60\t1S3M2I1M2D1=5N1X\t*\t0\t0\tNACGTTACG\t*",), ("@HD\tx",)], "value string")
     df = bam.parse_sam(sam).select("qname", "chrom", "pos0", "cigar", "seq")
