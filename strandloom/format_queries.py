@@ -326,13 +326,13 @@ def string_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH d AS (SELECT DISTINCT l_suppkey % 5 AS chrom, l_orderkey * 3 AS coordinate FROM lineitem WHERE l_orderkey % 4 <> 1),
+@query("""WITH d AS (SELECT DISTINCT l_suppkey % 5 AS chrom, l_orderkey * 3 AS coordinate FROM lineitem),
     g AS (SELECT *, coalesce((lag(coordinate) OVER w + 1 < coordinate)::INT, 1) AS gap FROM d WINDOW w AS (PARTITION BY chrom ORDER BY coordinate)),
     r AS (SELECT chrom, coordinate, (row_number() OVER w - 1 + sum(gap) OVER w)::BIGINT AS gapped FROM g WINDOW w AS (PARTITION BY chrom ORDER BY coordinate)),
     p AS (SELECT o_custkey % 5 AS chrom, o_orderkey AS pos FROM orders)
     SELECT p.chrom, pos, CASE WHEN coordinate = pos THEN gapped ELSE coalesce(gapped + 1, 0) END AS gapped FROM p ASOF LEFT JOIN r ON p.chrom = r.chrom AND pos >= coordinate""")
 def sparse_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 1").select((F.col("l_suppkey") % 5).alias("chrom"), (F.col("l_orderkey") * 3).alias("c"))
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("chrom"), (F.col("l_orderkey") * 3).alias("c"))
     points = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("chrom"), F.col("o_orderkey").alias("pos"))
     return intervals.sparse_to_dense(points, intervals.dense_ranks(rows, "c", on="chrom"), on="chrom")
 

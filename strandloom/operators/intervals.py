@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordered import carry, ranged, within
+
 #: Bins that one interval may cover before it takes a wider kind of bin.
 MOST_BINS = 8
 
@@ -45,22 +47,40 @@ def in_regions(points: DataFrame, regions: DataFrame, *, on: str = "chrom", poin
     return stab_join(points, closed, on=on, point=point, lo="_from", hi="_to", bin_width=bin_width, how="left_semi")
 
 
+def _islands(rows: DataFrame, keys: list[str], first: str, opens: Column, *order: str) -> DataFrame:
+    """rows with _first, the value of a column in the row that opened the island they belong to, in any range."""
+    opened = F.max(F.when(F.col("_opens"), F.col(first)))
+    marked = rows.withColumn("_opens", opens)
+    local = marked.withColumn("_own", opened.over(within(keys, *order)))
+    carried = carry(local, keys, _earlier_first=(opened, "max"))
+    return carried.withColumn("_first", F.coalesce("_own", "_earlier_first")).drop("_opens", "_own", "_earlier_first")
+
+
 def merge_regions(df: DataFrame, *, on: str | list[str] = "chrom", start: str = "start", stop: str = "stop") -> DataFrame:
-    """The union of regions: what overlaps or touches becomes one row of on, start, stop."""
+    """The union of regions: what overlaps or touches becomes one row of on, start, stop.
+
+    A scan over ranges: how far earlier regions reach is carried from one range to the next.
+    """
     keys = [on] if isinstance(on, str) else on
-    order = Window.partitionBy(*keys).orderBy(start, stop)
-    reached = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (F.col(start) > F.coalesce(reached, F.col(start) - 1)).cast("int")
     distinct = df.select(*keys, start, stop).where(F.col(start).isNotNull() & F.col(stop).isNotNull()).distinct()
-    islands = distinct.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order))
-    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_island")
+    rows = ranged(distinct, *keys, start, stop)
+    before = within(keys, start, stop).rowsBetween(Window.unboundedPreceding, -1)
+    reached = carry(rows.withColumn("_reached", F.max(stop).over(before)), keys, _carried=(F.max(stop), "max"))
+    most = F.greatest("_reached", "_carried")
+    islands = _islands(reached, keys, start, most.isNull() | (F.col(start) > most), start, stop)
+    return islands.groupBy(*keys, "_first").agg(F.max(stop).alias(stop)).select(*keys, F.col("_first").alias(start), stop)
 
 
 def coalesce_runs(df: DataFrame, *, by: list[str], pos: str = "pos", width: int = 1) -> DataFrame:
-    """Runs of consecutive positions: by, lo, hi, where hi is the last position + width - 1 (0-based and closed)."""
-    distinct = df.select(*by, pos).distinct()
-    island = F.col(pos) - F.row_number().over(Window.partitionBy(*by).orderBy(pos))
-    return distinct.withColumn("_island", island).groupBy(*by, "_island").agg(F.min(pos).alias("lo"), (F.max(pos) + width - 1).alias("hi")).drop("_island")
+    """Runs of consecutive positions: by, lo, hi, where hi is the last position + width - 1 (0-based and closed).
+
+    A scan over ranges: the last position and the open run are carried from one range to the next.
+    """
+    rows = ranged(df.select(*by, pos).distinct(), *by, pos)
+    before = carry(rows.withColumn("_last", F.lag(pos).over(within(by, pos))), by, _carried=(F.max(pos), "max"))
+    last = F.coalesce("_last", "_carried")
+    runs = _islands(before, by, pos, last.isNull() | (F.col(pos) != last + 1), pos)
+    return runs.groupBy(*by, "_first").agg((F.max(pos) + width - 1).alias("hi")).select(*by, F.col("_first").alias("lo"), "hi")
 
 
 def half_open(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -79,10 +99,16 @@ def dense_ranks(df: DataFrame, *columns: str, on: str | None = None) -> DataFram
     for c in columns:
         one = df.select(*keys, F.col(c).alias("coordinate"))
         coordinates = one if coordinates is None else coordinates.unionByName(one)
-    order = Window.partitionBy(*keys).orderBy("coordinate") if on else Window.partitionBy(F.lit(0)).orderBy("coordinate")
-    before = F.lag("coordinate").over(order)
-    ranked = coordinates.where(F.col("coordinate").isNotNull()).distinct().withColumn("_gap", F.when(before.isNull() | (before + 1 < F.col("coordinate")), 1).otherwise(0))
-    return ranked.withColumn("rank", F.row_number().over(order) - 1).withColumn("gapped", (F.col("rank") + F.sum("_gap").over(order)).cast("long")).drop("_gap")
+    rows = ranged(coordinates.where(F.col("coordinate").isNotNull()).distinct(), *keys, "coordinate")
+    order = within(keys, "coordinate")
+    before = carry(rows.withColumn("_last", F.lag("coordinate").over(order)), keys, _carried=(F.max("coordinate"), "max"))
+    last = F.coalesce("_last", "_carried")
+    gaps = before.withColumn("_gap", F.when(last.isNull() | (last + 1 < F.col("coordinate")), 1).otherwise(0))
+    local = gaps.withColumns({"_place": F.row_number().over(order), "_gaps": F.sum("_gap").over(order)})
+    whole = carry(local, keys, _rows=(F.count("*"), "sum"), _holes=(F.sum("_gap"), "sum"))
+    rank = F.col("_place") - 1 + F.coalesce("_rows", F.lit(0))
+    gapped = rank + F.col("_gaps") + F.coalesce("_holes", F.lit(0))
+    return whole.select(*keys, "coordinate", rank.cast("long").alias("rank"), gapped.cast("long").alias("gapped"))
 
 
 def sparse_to_dense(points: DataFrame, ranks: DataFrame, point: str = "pos", on: str | None = None, bin_width: int = 4096) -> DataFrame:
@@ -93,9 +119,9 @@ def sparse_to_dense(points: DataFrame, ranks: DataFrame, point: str = "pos", on:
     """
     keys = [on] if on else []
     key = F.col(on) if on else F.lit(0)
-    own = ranks.select(key.alias("_on"), "coordinate", "gapped")
-    after = F.lead("coordinate").over(Window.partitionBy("_on").orderBy("coordinate")) - 1
-    inner = own.withColumn("_to", after).where(F.col("_to").isNotNull())
+    own = ranks.select(key.alias("_on"), "coordinate", "gapped", "rank")
+    following = own.select(F.col("_on").alias("_of"), (F.col("rank") - 1).alias("_rank"), (F.col("coordinate") - 1).alias("_to"))
+    inner = own.join(following, F.col("_on").eqNullSafe(F.col("_of")) & (F.col("rank") == F.col("_rank"))).select("_on", "coordinate", "gapped", "_to")
     ends = own.groupBy("_on").agg(F.min("coordinate").alias("_least"), F.max(F.struct("coordinate", "gapped")).alias("_last"))
     asked = points.select(*keys, F.col(point).alias("_point")).distinct().where(F.col("_point").isNotNull())
     asked = asked.withColumn("_on", key).drop(*keys)

@@ -7,11 +7,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from strandloom.functions.kmers import checked
+from strandloom.operators.ordered import numbered
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _letter in enumerate(b"ACGT"):
@@ -108,19 +109,14 @@ def annotate(df: DataFrame, kmer: str = "kmer", mask: str = "mask") -> DataFrame
     return df.groupBy(F.col(kmer).alias("kmer")).agg(F.bit_or(mask).alias("annot"))
 
 
-def ranked(members: DataFrame, column: str = "kmer", parts: int = 1024) -> DataFrame:
-    """Distinct members with rank (0-based, in ascending order of a long column).
+def ranked(members: DataFrame, column: str = "kmer", parts: int | None = None) -> DataFrame:
+    """Distinct members with rank (0-based, in ascending order of a column).
 
-    Members are counted by range first, so that no task holds all of them.
+    Members are ranked range by range, in ranges that hold about as many each, however their values lie.
     """
     distinct = members.select(column).where(F.col(column).isNotNull()).distinct()
-    bounds = distinct.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("high").cast("double") - F.col("low") + 1) / parts).cast("long"))
-    placed = distinct.crossJoin(F.broadcast(bounds.withColumn("width", width))).withColumn("part", F.floor((F.col(column) - F.col("low")) / F.col("width")))  # one row of bounds
-    before = F.sum("n").over(Window.partitionBy("all").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each part
-    starts = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("all", F.lit(0)).select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return placed.withColumn("local", local).join(F.broadcast(starts), "part").select(column, (F.col("local") + F.col("before")).alias("rank"))
+    places = numbered(distinct, column, out="_nth", parts=parts)
+    return places.select(column, (F.col("_nth") - 1).cast("long").alias("rank"))
 
 
 def select_rank(members: DataFrame, rank: int, column: str = "kmer") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.stats import gamma_scale, gamma_shape
+from strandloom.operators.ordered import numbered
 
 
 def shares(df: DataFrame, n: str, by: list[str], out: str = "p") -> DataFrame:
@@ -35,18 +36,18 @@ def bh_threshold(df: DataFrame, p: str, q: float, mode: str = "zero_based", tie:
     """df with threshold for each p-value.
 
     ``zero_based``: rank / N * q with ranks from 0, compared value by value. ``standard``: the step-up procedure:
-    the largest (rank + 1) / N * q that its p-value stays below is the threshold of all. Meant for one row a gene: the
-    ranks need one order over all rows.
+    the largest (rank + 1) / N * q that its p-value stays below is the threshold of all. Rows are ranked range by range
+    (``ordered.numbered``), so no task holds more of them than another; equal p-values are told apart by tie, or anyhow.
     """
-    everything = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(everything.orderBy(*[F.col(c) for c in (p, tie) if c]))
-    n = F.count("*").over(everything)
-    if mode == "zero_based":
-        return df.withColumn("threshold", (rank - 1) / n * F.lit(q))
+    if mode not in ("zero_based", "standard"):
+        raise ValueError(f"mode {mode}")
+    ranks = numbered(df, p, tie if tie else F.xxhash64(*df.columns), out="_rank")
+    n = df.agg(F.count("*").alias("_n"))  # one row
+    own = ranks.crossJoin(F.broadcast(n)).withColumn("threshold", (F.col("_rank") - (1 if mode == "zero_based" else 0)) / F.col("_n") * F.lit(q))
     if mode == "standard":
-        passing = F.when(F.col(p) <= F.col("_own"), F.col("_own"))
-        return df.withColumn("_own", rank / n * F.lit(q)).withColumn("threshold", F.max(passing).over(everything)).drop("_own")
-    raise ValueError(f"mode {mode}")
+        most = own.agg(F.max(F.when(F.col(p) <= F.col("threshold"), F.col("threshold"))).alias("_most"))  # one row
+        own = own.crossJoin(F.broadcast(most)).withColumn("threshold", F.col("_most"))
+    return own.select(*df.columns, "threshold")
 
 
 def summary(df: DataFrame, x: str, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.strings import trimmed
+from strandloom.operators.ordered import numbered
 
 
 def _order(df: DataFrame, keys: list[str | int]) -> tuple[list[str], list[Column]]:
@@ -34,17 +35,9 @@ def order_by(df: DataFrame, keys: list[str | int], tie: list[str] = ()) -> DataF
 
 
 def ranked(df: DataFrame, keys: list[str | int], tie: list[str]) -> DataFrame:
-    """All rows with rank, their place (from 1) in the order of order_by.
-
-    Rows are numbered for each combination of keys, and only the counts of the combinations pass through one task.
-    """
+    """All rows with rank, their place (from 1) in the order of order_by; no task numbers more than its range of that order."""
     names, order = _order(df, keys)
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    starts = df.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
-    starts = starts.select("_before", *[F.col(c).alias(f"_of_{c}") for c in names])
-    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*names).orderBy(*tie)))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names]
-    return local.join(starts, same).select((F.col("_local") + F.col("_before")).alias("rank"), *df.columns)
+    return numbered(df, *order, *(F.col(c) for c in tie if c not in names)).select("rank", *df.columns)
 
 
 def parse_text(text: Column, kind: str) -> Column:
