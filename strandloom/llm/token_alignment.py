@@ -22,6 +22,7 @@ be null or repeat: every row is counted and answered by itself. Other columns ar
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.bpe_automaton import Cache, automaton
+from strandloom.llm.bpe_automaton import CACHE_CHARS, CACHE_ENTRIES, automaton
 from strandloom.llm.common import cut, discard, id_and_text, small_batches
 from strandloom.llm.token_counts import MARK, PRE_TOKEN, PieceCounter
 
@@ -48,22 +49,51 @@ class PieceEncoder(PieceCounter):
         super().__init__(path)
         model: sentencepiece.SentencePieceProcessor = self.model
         self.labels = [self._label(i) for i in range(model.get_piece_size())]
-        self.lone_mark = np.array([model.piece_to_id(MARK)], "<u4").tobytes()
+        self.lone_mark = array("I", [model.piece_to_id(MARK)]).tobytes()
         self.before = len(model.encode("\n"))
-        self.ids = Cache(self._ids)
+        self.ids: dict[str, bytes] = {}
 
     def _label(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    def _ids(self, word: str) -> bytes:
-        if word[0] in (" ", MARK):  # the library puts one space mark before every text
-            return np.array(self.model.encode(word[1:]), "<u4").tobytes() if len(word) > 1 else self.lone_mark
-        return np.array(self.model.encode("\n" + word)[self.before :], "<u4").tobytes()
+    def _learn(self, words: set[str]) -> None:
+        """Keep the ids of pre-tokens, which the library encodes all at once."""
+        spaced = [w for w in words if w[0] in (" ", MARK)]  # the library puts one space mark before every text
+        for word, ids in zip(spaced, self.model.encode([w[1:] for w in spaced], num_threads=1), strict=True):
+            self.ids[word] = array("I", ids).tobytes() if len(word) > 1 else self.lone_mark
+        inner = [w for w in words if w[0] not in (" ", MARK)]
+        for word, ids in zip(inner, self.model.encode(["\n" + w for w in inner], num_threads=1), strict=True):
+            self.ids[word] = array("I", ids[self.before :] if word != "\n" else ids[1 : self.before]).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; pre-tokens are kept in a cache of bounded size."""
+        words = [PRE_TOKEN(" " + t) if t else [] for t in texts]
+        if len(self.ids) > CACHE_ENTRIES:
+            self.ids.clear()
+        new = set().union(*words).difference(self.ids)
+        self._learn(new)
+        out = [b"".join(map(self.ids.__getitem__, w)) for w in words]
+        for word in new:
+            if len(word) > CACHE_CHARS:
+                del self.ids[word]
+        return out
+
+
+def united(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What union1d gives for two ascending arrays; a stable sort merges them in linear time."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    return both[new]
+
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.ids.__getitem__, PRE_TOKEN(" " + text))) if text else b""
+def joined_labels(ids: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The bytes of tokens, one after the other."""
+    n = sizes[ids]
+    ends = np.cumsum(n)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[ids] - ends + n, n)].tobytes()
 
 
 class Aligner:
@@ -71,34 +101,40 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = automaton(path_a), PieceEncoder(path_b)
-        self.sizes_a = np.array([len(x) for x in self.a.labels], np.int64)
-        self.sizes_b = np.array([len(x) for x in self.b.labels], np.int64)
+        self.labels_a, self.labels_b = map(self._table, (self.a.labels, self.b.labels))
+        self.sizes_a, self.sizes_b = self.labels_a[2], self.labels_b[2]
         self.n_b = len(self.b.labels)
+        self.digits_a, self.digits_b = (np.array([len(str(i)) + 1 for i in range(len(x))]) for x in (self.sizes_a, self.sizes_b))  # with a mark
         self.written = {(side, mark): np.array([f"{i}{mark}" for i in range(n)], "S") for side, n, mark in
                         (("a", len(self.sizes_a), ","), ("a", len(self.sizes_a), "|"), ("b", self.n_b, ","), ("b", self.n_b, ";"))}
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of A and of B, both empty where they do not cover the same bytes."""
-        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-        if not text:
-            return nothing
-        whole = " " + text
-        a = np.frombuffer(self.a.encode_plain(whole), "<u4").astype(np.int64)
-        b = np.frombuffer(self.b.encode(text), "<u4").astype(np.int64)
-        data = whole.encode()
-        for ids, labels in ((a, self.a.labels), (b, self.b.labels)):
-            if b"".join(map(labels.__getitem__, ids.tolist())) != data:
-                return nothing
-        return a, b
+    @staticmethod
+    def _table(labels: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all labels, where each begins and how long it is."""
+        sizes = np.array([len(x) for x in labels], np.int64)
+        return np.frombuffer(b"".join(labels), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B of each text, both empty where they do not cover the same bytes."""
+        whole = [" " + t if t else "" for t in texts]
+        data = [t.encode() for t in whole]
+        ids_a = [np.frombuffer(self.a.encode_plain(t), "<u4").astype(np.int64) for t in whole]
+        ids_b = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.b.encode(texts)]
+        wrong: set[int] = set()
+        for ids, labels in ((ids_a, self.labels_a), (ids_b, self.labels_b)):
+            if joined_labels(np.concatenate(ids), *labels) != b"".join(data):
+                wrong |= {i for i, (x, d) in enumerate(zip(ids, data, strict=True)) if joined_labels(x, *labels) != d}
+        nothing = np.empty(0, np.int64)
+        return [(nothing, nothing) if i in wrong else pair for i, pair in enumerate(zip(ids_a, ids_b, strict=True))]
 
     def align(self, texts: list[str], links: str) -> dict:
         """Columns of the texts of one block, which are aligned as if they were one."""
-        tokens = [self.tokens(t) for t in texts]
+        tokens = self.tokens(texts)
         n_a, n_b = (np.array([len(t[i]) for t in tokens], np.int64) for i in (0, 1))
         a, b = (np.concatenate([t[i] for t in tokens]) for i in (0, 1))
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
         # Elementary intervals, told by their ends; every text ends both, so none crosses from one text to the next.
-        ends = np.union1d(ends_a, ends_b)
+        ends = united(ends_a, ends_b)
         owner_a, owner_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         shared = (ends_a[owner_a] == ends) & (ends_b[owner_b] == ends)
         last_a, last_b = owner_a[shared], owner_b[shared]
@@ -115,9 +151,8 @@ class Aligner:
         n_groups = np.bincount(text_a[last_a], minlength=len(texts)).astype(np.int64)
         n_links = np.bincount(link_text, minlength=len(texts)).astype(np.int64)
         written = self._written(a, b, group_a, group_b, last_a, last_b)
-        lengths = np.char.str_len(written).astype(np.int64)
-        cuts = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(n_a + n_b)))]
-        data = written.tobytes().replace(b"\0", b"")
+        per_a, per_b = (np.concatenate(([0], np.cumsum(size[ids])))[np.concatenate(([0], np.cumsum(n)))] for size, ids, n in ((self.digits_a, a, n_a), (self.digits_b, b, n_b)))
+        data, cuts = written.tobytes().replace(b"\0", b""), per_a + per_b
         digests = [hashlib.sha256(data[f : t - 1]).hexdigest() if t > f else "" for f, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         pairs, starts, times = distinct_pairs(link_text, a[link_a] * self.n_b + b[link_b], len(texts))
         return {
