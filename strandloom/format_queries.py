@@ -29,18 +29,22 @@ def lines(df: DataFrame, *parts: Column, sep: str = "\t") -> DataFrame:
 # SAM: an order line is a read of the chromosome of its supplier at the place of its order
 
 
-def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample and what parse_sam reads; matches, insertions, deletions, skips and clips in every read."""
+def _reads(spark: SparkSession, sf_dir: str, cigars: bool = False) -> DataFrame:
+    """sample and what parse_sam reads; matches, insertions, deletions, skips and clips in every read.
+
+    The table may be one file, and so one task: its rows are dealt out before they are read as alignments.
+    """
+    dealt = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").repartition(spark.sparkContext.defaultParallelism)
     a, b, c, s = F.col("l_linenumber") + 3, F.col("l_suppkey") % 3, F.col("l_partkey") % 4, F.col("l_partkey") % 5
     flag = F.expr("CASE l_linenumber WHEN 5 THEN 0 WHEN 6 THEN 6 WHEN 7 THEN 1026 ELSE 2 END")
     operations = F.concat(text(a), F.lit("M"), text(b), F.lit("I"), text(c), F.lit("D2=1N1X2S1H"))
     seq = F.substring(F.repeat(F.lit("ACGUn"), F.lit(20)), (s + 1).cast("int"), (a + b + 5).cast("int"))
     row = lines(
-        read(spark, sf_dir, "lineitem"), text("l_returnflag"), text(flag), F.concat(F.lit("chr"), text(F.col("l_suppkey") % 5)),
+        dealt, text("l_returnflag"), text(flag), F.concat(F.lit("chr"), text(F.col("l_suppkey") % 5)),
         text(F.col("l_orderkey") + 1), text(F.col("l_suppkey") % 60), operations, F.lit("*"), F.lit("0"), F.lit("0"), seq, F.lit("*"),
     )
     header = spark.createDataFrame([("@HD\tVN:1.6",), ("@RG\tID:1\tSM:x",)], "value string")
-    return bam.parse_sam(header.unionByName(row)).withColumn("sample", F.col("qname"))
+    return bam.parse_sam(header.unionByName(row), cigars=cigars).withColumn("sample", F.col("qname"))
 
 
 READS = """
@@ -59,7 +63,7 @@ READS = """
     (a + b + 5)::BIGINT AS read_bases, (a + c + 4)::BIGINT AS reference_bases FROM r""")
 def sam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     advance = lambda ops: F.aggregate(F.filter("cigar", lambda c: c["op"].isin(*ops)), F.lit(0).cast("bigint"), lambda n, c: n + c["len"])
-    rows = _reads(spark, sf_dir).where(F.length("seq") == advance(cigar.ADVANCE_READ))
+    rows = _reads(spark, sf_dir, cigars=True).where(F.length("seq") == advance(cigar.ADVANCE_READ))
     sizes = [F.size("cigar").alias("operations"), advance(cigar.ADVANCE_READ).alias("read_bases"), advance(cigar.ADVANCE_REFERENCE).alias("reference_bases")]
     return rows.select("qname", "flag", "chrom", "pos0", "mapq", *sizes)
 
@@ -69,7 +73,7 @@ def sam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads written as BAM files and read again in splits."""
     path = f"{shared_folder(spark)}/strandloom/bam-{uuid.uuid4().hex}"
-    bam.write_bam(_reads(spark, sf_dir), path, {f"chr{i}": 1 << 28 for i in range(5)}, sample="x")
+    bam.write_bam(_reads(spark, sf_dir, cigars=True), path, {f"chr{i}": 1 << 28 for i in range(5)}, sample="x")
     rows = bam.with_sample(bam.read_bam(spark, path, ["file", "qname", "flag", "chrom", "pos0", "mapq", "cigar", "seq", "rg_sm"]))
     written = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), c["op"])), "")
     return rows.select("qname", "flag", "chrom", "pos0", "mapq", written.alias("cigar"), "seq", "sample")

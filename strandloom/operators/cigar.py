@@ -1,4 +1,4 @@
-"""What alignments say of the reference, base by base. Alignments: chrom, pos0, cigar array<struct<op, len>>, seq.
+"""What alignments say of the reference, base by base. Alignments: chrom, pos0, cigar array<struct<op, len>> or text, seq.
 
 A batch of reads is walked as a whole: the run lengths of all CIGARs are expanded by repetition, their offsets are
 running sums, and the bases are one gather from the bytes of all sequences. ``counted`` sums what a batch shows before
@@ -40,7 +40,7 @@ def _table(ops: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-_MATCHED, _IN_READ, _IN_REFERENCE = map(_table, (MATCHES, ADVANCE_READ, ADVANCE_REFERENCE))
+_MATCHED, _IN_READ, _IN_REFERENCE, _LISTED = map(_table, (MATCHES, ADVANCE_READ, ADVANCE_REFERENCE, tuple("MIDNSHP=X")))
 _SYMBOL = np.full(257, ord("N"), np.int64)
 for _letter, _as in zip("ACGTUacgtu", "ACGTTACGTT", strict=True):
     _SYMBOL[ord(_letter)] = ord(_as)
@@ -62,16 +62,37 @@ def _ascii(seq: pa.Array) -> bool:
     return data is None or not (np.frombuffer(data, np.uint8) > 127).any()
 
 
+def _operations(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many operations each CIGAR text has, their letters and their lengths; what is no number and letter is left out."""
+    data, starts, sizes = _letters(text)
+    data = data[starts[0] : starts[-1] + sizes[-1]] if len(starts) else data[:0]
+    of_text = np.repeat(np.arange(len(sizes)), sizes)
+    digit = (data >= 48) & (data <= 57)
+    marks, digits = np.flatnonzero(~digit), np.flatnonzero(digit)
+    mark = np.searchsorted(marks, digits)  # the mark behind each digit
+    inside = mark < len(marks)
+    digits, mark = digits[inside], mark[inside]
+    same = of_text[digits] == of_text[marks[mark]]
+    digits, mark = digits[same], mark[same]
+    value = (data[digits] - 48.0) * 10.0 ** (marks[mark] - digits - 1)
+    known = (np.bincount(mark, minlength=len(marks)) > 0) & _LISTED[data[marks]]
+    lengths = np.bincount(mark, value, len(marks)).astype(np.int64)
+    return np.bincount(of_text[marks[known]], minlength=len(sizes)).astype(np.int64), data[marks[known]].astype(np.int64), lengths[known]
+
+
 class Walk:
     """The operations of a batch of reads, with the places in reference and read at which they begin."""
 
     def __init__(self, pos0: pa.Array, cigar: pa.Array, seq: pa.Array):
-        lengths = cigar.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = cigar.flatten()
-        names = flat.field(0).dictionary_encode()
-        known = np.array([ord(x[0]) if x else 0 for x in names.dictionary.to_pylist()] or [0], np.int64)
-        self.op = known[names.indices.fill_null(0).to_numpy(zero_copy_only=False)]
-        self.len = flat.field(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if pa.types.is_list(cigar.type):
+            lengths = cigar.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = cigar.flatten()
+            names = flat.field(0).dictionary_encode()
+            known = np.array([ord(x[0]) if x else 0 for x in names.dictionary.to_pylist()] or [0], np.int64)
+            self.op = known[names.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+            self.len = flat.field(1).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        else:
+            lengths, self.op, self.len = _operations(cigar)
         self.read = np.repeat(np.arange(len(lengths)), lengths)
         self.first = np.cumsum(lengths) - lengths  # operations before each read
         self.placed = pos0.is_valid().to_numpy(zero_copy_only=False)

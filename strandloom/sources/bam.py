@@ -216,15 +216,15 @@ def write_bam(alignments: DataFrame, path: str, contigs: dict[str, int], sample:
     text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs.items()) + (f"@RG\tID:1\tSM:{sample}\n" if sample else "")
     listed = b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs.items())
     header = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs)) + listed
-    number, code = {c: i for i, c in enumerate(contigs)}, {c: i for i, c in enumerate(LETTERS)}
+    number, code = {c: i for i, c in enumerate(contigs)}, {c: i for i, c in enumerate(OPERATIONS)}
+    digits = bytes(ord("0123456789abcdef"[LETTERS.index(c) if (c := chr(i).upper()) in LETTERS else 15]) for i in range(256))
 
     def record(qname: str, flag: int, chrom: str | None, pos: int | None, mapq: int, cigar: list[dict] | None, seq: str | None, qual: bytes | None) -> bytes:
         name, seq, cigar = (qname or "*").encode() + b"\0", seq or "", cigar or []
-        nibbles = [code.get(c, 15) for c in seq.upper()] + [0]
-        packed = bytes(nibbles[i] << 4 | nibbles[i + 1] for i in range(0, len(seq), 2))
+        packed = bytes.fromhex((seq.encode("ascii", "replace").translate(digits) + b"0" * (len(seq) % 2)).decode())
         ref = -1 if chrom is None else number[chrom]
         fixed = struct.pack("<iiBBHHHiiii", ref, -1 if pos is None else pos, len(name), mapq, 0, len(cigar), flag, len(seq), -1, -1, 0)
-        ops = b"".join(struct.pack("<I", c["len"] << 4 | OPERATIONS.index(c["op"])) for c in cigar)
+        ops = b"".join(struct.pack("<I", c["len"] << 4 | code[c["op"]]) for c in cigar)
         body = fixed + name + ops + packed + (qual if qual is not None else b"\xff" * len(seq))
         return struct.pack("<i", len(body)) + body
 
@@ -245,10 +245,13 @@ def with_sample(alignments: DataFrame) -> DataFrame:
     return alignments.withColumn("sample", F.coalesce(F.nullif("rg_sm", F.lit("")), F.substring_index("file", "/", -1)))
 
 
-def parse_sam(lines: DataFrame, value: str = "value") -> DataFrame:
-    """qname, flag, chrom, pos0, mapq, cigar, seq, qual of SAM lines; header lines are left out."""
+def parse_sam(lines: DataFrame, value: str = "value", cigars: bool = True) -> DataFrame:
+    """qname, flag, chrom, pos0, mapq, cigar, seq, qual of SAM lines; header lines are left out.
+
+    Without cigars, these stay texts, which the walks of ``operators.cigar`` take as they are.
+    """
     f = F.split(value, "\t")
     part = lambda i: F.col("f")[i]
     return lines.where(~F.col(value).startswith("@")).select(f.alias("f")).select(
-        part(0).alias("qname"), part(1).cast("int").alias("flag"), F.nullif(part(2), F.lit("*")).alias("chrom"), (part(3).cast("bigint") - 1).alias("pos0"), part(4).cast("int").alias("mapq"), parse_cigar(part(5)).alias("cigar"), part(9).alias("seq"), part(10).alias("qual")
+        part(0).alias("qname"), part(1).cast("int").alias("flag"), F.nullif(part(2), F.lit("*")).alias("chrom"), (part(3).cast("bigint") - 1).alias("pos0"), part(4).cast("int").alias("mapq"), (parse_cigar(part(5)) if cigars else part(5)).alias("cigar"), part(9).alias("seq"), part(10).alias("qual")
     )

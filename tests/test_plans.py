@@ -161,6 +161,11 @@ def test_cigar_kernel_equals_plain_walk(spark, monkeypatch, most):
         assert Counter(map(tuple, cigar.explode_cigar(df, emit).collect())) == Counter(shown)
         got = cigar.counted(df, emit, ["sample", "chrom"]).collect()
         assert {tuple(x[:4]): x.n for x in got} == Counter(shown) and len(got) == len(set(shown))
+        texts = df.withColumn("cigar", F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), c["op"])), ""))
+        assert Counter(map(tuple, cigar.explode_cigar(texts, emit).collect())) == Counter(shown)
+    odd = [("c", 0, t, "ACGTACGT") for t in ("2M3", "*", "", "2M3Q1M", "M2M", "12", "0M1M")]
+    got = cigar.explode_cigar(spark.createDataFrame(odd, "chrom string, pos0 long, cigar string, seq string").coalesce(1), "depth")
+    assert got.count() == 2 + 3 + 2 + 1
     with pytest.raises(ValueError):
         cigar.counted(df, "bases", [])
     assert cigar.counted(df.limit(0), "pileup", ["chrom"]).count() == 0
