@@ -3,15 +3,17 @@
 A page is read into blocks of text, each with the path of tags and classes from the root to it (formatting tags count
 to the block they are in). For every path of the page the text length, the punctuation and the text of links of its
 blocks are summed; the ratios to the number of blocks are fused, less the share of links; the values are smoothed over
-neighbouring blocks in page order; paths whose mean reaches the threshold are selected, and their blocks are the
-result, in whatever containers they are. Blocks of other paths join them where they belong to the same article: in an
-``article`` or ``main`` that holds selected blocks, between selected blocks of one element, or as headings,
-paragraphs, lists, tables and quotes directly beside them; mostly linked ones do not.
+neighbouring blocks in page order, which lowers what stands alone and raises nothing; paths whose mean reaches the
+threshold are selected, and their blocks are the result, in whatever containers they are, ``article`` and ``main`` too.
+Of the other paths, headings, lists, tables, quotes and paragraphs without a name of their own join the selected blocks
+that they stand beside, and so do those of containers without a name between selected blocks or in an article; mostly
+linked ones do not, nor does what has a name of its own that is no plain word of layout or of a text's parts.
 
 A prior says what takes no part at all: elements whose tag, or one whole name in class, id or role, stands for what
 is no article (menus, footers, sidebars, notices, adverts, forms, reader comments). A name counts only if all of its
 words are of the prior's or plain words of layout: ``related-posts`` does, ``related-work`` does not. The prior is
-overruled where such an element holds the article itself.
+overruled where such an element holds the article itself, and within an article where its blocks are as long and as
+punctuated as others (a section on terms or reviews). Buttons and labels are text where their block has other text.
 
 The operator is one pass over the pages without a shuffle; a page is never split or cut, and takes time in proportion
 to its length at any depth of nesting. A null or empty html, or one without content, gives an empty text. Rows that
@@ -57,16 +59,18 @@ SIBLINGS = {
 LISTS = frozenset("ul ol dl table select menu".split())
 #: The prior: elements that are no article, and the words of names in class, id and role that say so.
 ASIDE_TAGS = frozenset(
-    "head nav footer aside button select option dialog menu svg canvas object audio video map label input fieldset".split()
+    "head nav footer aside select option dialog menu svg canvas object audio video map input fieldset".split()
 )
+#: Elements whose text belongs to the sentence around them, and is left out where nothing else is in their block.
+CONTROLS = frozenset("button label".split())
 ASIDE_WORDS = frozenset(
     "sidebar sidenav rail nav navbar navigation menu menubar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices "
     "notification notifications alert alerts popup modal overlay share sharing social follow related recommended "
     "recommendations recommendation trending popular newsletter subscribe subscription signup login register pagination pager "
     "widget widgets toolbar tools footer copyright colophon masthead skip complementary contentinfo search legal disclaimer "
-    "disclaimers privacy terms partners links tags feedback survey paywall donate".split()
+    "disclaimers privacy terms partners links tags feedback survey paywall donate bio review reviews discussion discussions".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond review reviews discussion discussions".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond responses".split())
 ADVERT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos "
     "promoted promotion promotions".split()
@@ -74,21 +78,27 @@ ADVERT_WORDS = frozenset(
 PRIOR = ASIDE_WORDS | COMMENT_WORDS | ADVERT_WORDS
 #: Plain words of layout, which may stand beside a word of the prior in one name.
 LAYOUT = frozenset(
-    "area articles article banner bar block body bottom box btn button buttons card cards col column container content div "
-    "field footer form global group head header heading icon icons info inner item items left list main message middle module "
+    "area articles article author banner bar block body bottom box btn button buttons card cards col column container content div "
+    "field footer form global group head header heading icon icons info inline inner item items left list main message middle module "
     "news outer page panel pane post posts primary reader readers region right row secondary section site slot small stories "
-    "story text thread title top unit user users view visitor wrap wrapper your zone".split()
+    "story text this thread title top unit user users view visitor wrap wrapper your zone".split()
 )
 #: Class names that say what a page has or lacks, and the share of a page's text by which the prior is overruled.
 MODIFIER, MOST = re.compile(r"(?:has|with|without|no)[-_]"), 0.5
+#: An element in doubt within an article stays if its blocks reach this share of the page's ratio of text and punctuation.
+LIKE = 0.5
 #: A class of these words alone, one of the first two among them, is the head of a site and not of an article.
 HEAD_WORDS = frozenset(["header", "topbar"])
 HEAD_PARTS = HEAD_WORDS | frozenset("site page top main global wrapper container bar inner".split())
 #: Containers that are part of an article only with selected text in them; every other block element is one by itself.
 GENERIC = frozenset("div section article main body html center form header address details figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text; those that an article's short blocks may be whatever they are called; names that say so of others.
+TEXTUAL = HEADINGS | frozenset("p li dt dd td th caption pre blockquote figcaption summary".split())
+KEPT = HEADINGS | frozenset("ul ol dl table pre blockquote figure header hgroup".split())
+CONTENT_WORDS = frozenset("abstract caption chapter dek entry headline intro lead lede paragraph preface standfirst subheading subhead subtitle summary title".split())
 #: Share of the page's mean that a path's smoothed value must reach, and of links from which a block is no text.
-THRESHOLD, LINKED = 0.6, 0.5
+THRESHOLD, LINKED = 0.8, 0.5
 
 
 @dataclass
@@ -101,6 +111,8 @@ class Page:
     aside: list[bool] = field(default_factory=lambda: [False])
     doubt: list[str] = field(default_factory=lambda: [""])
     article: list[bool] = field(default_factory=lambda: [False])  # whether it is or lies in an article or main
+    names: list[str] = field(default_factory=lambda: [""])
+    control: list[bool] = field(default_factory=lambda: [False])
     paths: dict[tuple[int, str, str], int] = field(default_factory=dict)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters of links
 
@@ -115,6 +127,8 @@ class Page:
         self.path.append(path)
         self.aside.append(aside)
         self.doubt.append(doubt)
+        self.names.append(names)
+        self.control.append(tag in CONTROLS or tag not in BLOCKS and self.control[parent])
         self.article.append(self.article[parent] or tag in ("article", "main"))
         return len(self.tag) - 1
 
@@ -151,7 +165,7 @@ def prior(tag: str, attributes: str, in_article: bool) -> tuple[bool, str, str]:
             if not words & PRIOR or not words <= PRIOR | LAYOUT or MODIFIER.match(one):
                 continue
             if words & COMMENT_WORDS:
-                doubt = "comment" if tag not in ("article", "main") or words & {"comment", "comments", "reply", "review"} else doubt
+                doubt = "comment" if tag not in ("article", "main") or words & {"comment", "comments", "reply"} else doubt
             elif tag not in ("article", "main") and doubt != "comment":
                 doubt = "advert" if words & ADVERT_WORDS else doubt or "word"
     return False, doubt, names
@@ -243,6 +257,8 @@ def read(html: str) -> Page:
         linked[e] = page.tag[e] == "a" or linked[page.parent[e]]
     for group in groups:
         kept = [(e, text) for e, text in group if not page.aside[e]]
+        if all(page.control[e] or text.isspace() for e, text in kept):
+            continue
         text = " ".join(entities.unescape("".join(text for _, text in kept)).split())
         if text:
             first = next(e for e, part in kept if not part.isspace())
@@ -251,25 +267,27 @@ def read(html: str) -> Page:
 
 
 def set_aside(page: Page, groups: list[list[tuple[int, str]]]) -> None:
-    """Make asides of the elements in doubt, unless they hold the article or, as sections of it, text like the rest."""
+    """Make asides of the elements in doubt, unless they hold the article or, as parts of it, text like the rest."""
     if not any(page.doubt):
         return
-    own: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(3, np.int64))  # characters, punctuation, blocks
+    own: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(2))  # characters, and these times the ratio of their block
     for group in groups:
-        for i, (e, text) in enumerate(group):
-            own[e] += (len(" ".join(text.split())), len(PUNCTUATION.findall(text)), not i)
-    sums = page.summed(own, np.zeros(3, np.int64))
+        whole = " ".join("".join(text for _, text in group).split())
+        ratio = len(whole) * (1 + len(PUNCTUATION.findall(whole)))
+        for e, text in group:
+            n = len(" ".join(text.split()))
+            own[e] += (n, n * ratio)
+    sums = page.summed(own, np.zeros(2))
     heads = {e: 1 for e, tag in enumerate(page.tag) if tag in ("article", "main", "h1") and not page.doubt[e] and not page.aside[e]}
     within, total = page.summed(heads, 0), sums[0]
     for e in range(1, len(page.tag)):  # outer ones first
         page.aside[e] = page.aside[e] or page.aside[page.parent[e]]
-        doubt, (chars, marks, blocks) = page.doubt[e], sums[e]
+        doubt, (chars, weighed) = page.doubt[e], sums[e]
         if doubt and not page.aside[e]:
             headed = heads and within[e] == len(heads)
             least = MOST if doubt == "comment" or not heads else MOST / 2
             holds = chars >= least * max(1, total[0]) and (headed or not heads and doubt != "comment")
-            like = doubt == "word" and page.tag[e] == "section" and page.article[page.parent[e]]
-            like = like and chars * (1 + marks) * total[2] ** 2 >= total[0] * (1 + total[1]) * blocks**2
+            like = doubt == "word" and page.article[page.parent[e]] and weighed * total[0] >= LIKE * total[1] * chars > 0
             page.aside[e] = not (holds or like)
 
 
@@ -287,8 +305,8 @@ def selected_paths(page: Page) -> np.ndarray:
         length, punctuation, linked = chars / n, (n + marks[of_path].sum()) / n, links[of_path].sum() / chars
         ratio[of_path] = np.log1p(length * punctuation * (1 - linked))  # the ratios of a path, fused
     padded = np.pad(ratio, 1, mode="edge")
-    smooth = np.minimum(0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:], 2 * ratio)
-    least = THRESHOLD * float((smooth * size).sum() / size.sum())
+    smooth = np.minimum(0.15 * padded[:-2] + 0.7 * padded[1:-1] + 0.15 * padded[2:], ratio)  # text around does not make a box text
+    least = THRESHOLD * float((ratio * size).sum() / size.sum())
     chosen = np.zeros(len(size), bool)
     for of_path in paths.values():
         chosen[of_path] = smooth[of_path].mean() >= least
@@ -320,12 +338,26 @@ def content(page: Page) -> list[str]:
     out = []
     for i, (e, text, links) in enumerate(page.blocks):
         holder, part = around[e], child[e]
-        joins = whole[e] or first[holder] < i < last[holder] or page.tag[part] not in GENERIC or heads[part]
-        if chosen[i] or joins and links < LINKED * len(text):
+        near = whole[e] or first[holder] < i < last[holder]
+        if chosen[i] or links < LINKED * len(text) and joins(page, e, part, near, heads[part], part in first):
             out.append(text)
     return out
 
 
+def joins(page: Page, block: int, part: int, near: bool, headings: bool, has_text: bool) -> bool:
+    """Whether a block whose path is not selected belongs to the article around it.
+
+    part: what of the lowest element with selected blocks holds the block; near: it lies in an article or between such
+    blocks. Headings, lists, tables and quotes do, and paragraphs and plain containers without a name of their own.
+    """
+    tag, words = page.tag[part], set(NAMES.findall(page.names[part]))
+    if tag in KEPT or headings or words & CONTENT_WORDS:
+        return True
+    if not words <= LAYOUT:
+        return False
+    return tag not in GENERIC or near and (page.tag[block] in TEXTUAL or has_text)
+
+
 def main_text(html: str) -> str:
     return "\n\n".join(content(read(html)))
 

@@ -357,3 +357,44 @@ def test_extract_equals_what_pages_hold(spark, tiny):
         clean = (" ".join(entities.unescape(re.sub("<[^>]*>", " " if "<br>" in b else "", b)).split()) for b in blocks)
         want[row.page_id] = "\n\n".join(b for b in clean if b)
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+
+
+def random_name(r):
+    """A name that no list can know."""
+    return "".join(r.choices("bcdfghjklmnpqrstvwxz", k=7)) + random_mark(r)
+
+
+def random_mark(r):
+    return r.choice(["", "-x", "_9", "-qq-zz"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_selected_paths_decide_within_an_article(seed):
+    """Short boxes under names that no list can know go, wherever they stand; what an article consists of stays."""
+    r = random.Random(seed)
+    box = lambda text: r.choice([f"<div class='{random_name(r)}'>{text}</div>", f"<div class='{random_name(r)}'><p>{text}</p></div>", f"<p class='{random_name(r)}'>{text}</p>"])
+    junk = [box("Buy now"), box("Advertisement"), box("Most read: one, two"), "<div class='author-bio'><p>By A. B.</p></div>", "<div class='share-this-article'>Share this</div>"]
+    r.shuffle(junk)
+    start, end = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<article><div class='content'>", "</div></article>")])
+    body = [f"<p>{LONG}</p>", "<p>Short.</p>", "<h2>Sub</h2>", f"<p>{LONG}</p>", "<ul><li>one</li><li>two</li></ul>", f"<p>{LONG}</p>", "<blockquote>Said so</blockquote>", f"<p>{LONG}</p>"]
+    for piece in junk:
+        body.insert(r.randrange(1, len(body)), piece)
+    page = f"<body><nav><a>Home</a></nav>{start}<h1>T</h1>{''.join(body)}{end}<div id='responses'><p>I think so, too.</p></div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["T", LONG, "Short.", "Sub", LONG, "one", "two", LONG, "Said so", LONG]
+
+
+@pytest.mark.parametrize("name", ["class='terms'", "id='privacy'", "id='reviews'", "class='discussion'", "class='links'"])
+def test_named_parts_of_an_article_that_read_like_the_rest_stay(name):
+    page = f"<body><article><h1>T</h1>{paragraphs(3)}<div {name}><h2>Sub</h2><p>{LONG}</p></div>{paragraphs(1)}</article><div {name}><p>One, two.</p></div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["T"] + [LONG] * 3 + ["Sub", LONG, LONG]
+
+
+def test_controls_within_a_sentence_are_text():
+    page = f"<body><article><p>{LONG}</p><p>Press <button>OK</button> to go on, and name the <label>second field</label> too.</p><button>Send</button><div><label>Name</label> <button>Go</button></div></article></body>"
+    assert html_extract.main_text(page).split("\n\n") == [LONG, "Press OK to go on, and name the second field too."]
+
+
+def test_titles_in_pages_of_containers():
+    body = "".join(f"<div class='row'>{LONG}</div>" for _ in range(4))
+    page = f"<body><div class='page'><div class='title'>A title</div>{body}<div class='{'zq' * 4}'>Long ago, and far away</div></div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["A title"] + [LONG] * 4
