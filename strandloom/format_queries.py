@@ -15,7 +15,7 @@ from strandloom.functions import kmers as km
 from strandloom.functions import strings as st
 from strandloom.operators import cigar, intervals, kmers, pileup, table
 from strandloom.plans import ase, depletion
-from strandloom.queries import BASES, PURE, RC, WINDOWS, bases, both_strands, cycles, CYCLES, pure, query, read, sql_kmers, sql_pure
+from strandloom.queries import BASES, PURE, RC, WINDOWS, bases, both_strands, cycles, CYCLES, pure, query, read, sql_gamma_lower, sql_kmers, sql_pure
 from strandloom.sources import bam, fasta, fastq, gtf, sinks, vcf
 from strandloom.sources.shared import shared_folder
 
@@ -146,7 +146,7 @@ def genes_with_few_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ase.few_sites(ase.gene_sites(*_genes_and_sites(spark, sf_dir)), 3)
 
 
-@query(f"""WITH {READS}, {SITES}, eligible AS (SELECT placed.* FROM placed JOIN (SELECT chrom, lo, hi FROM placed GROUP BY ALL HAVING count(*) >= 2) USING (chrom, lo, hi)),
+GENES = f"""{READS}, {SITES}, eligible AS (SELECT placed.* FROM placed JOIN (SELECT chrom, lo, hi FROM placed GROUP BY ALL HAVING count(*) >= 2) USING (chrom, lo, hi)),
     every AS (SELECT chrom, flag, pos, base AS allele FROM matched UNION ALL SELECT chrom, flag, pos, seq FROM inserted),
     counted AS (SELECT chrom, pos + 1 AS pos, allele, count(*) AS n FROM every WHERE flag = 2 GROUP BY ALL),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY n DESC, allele DESC) AS rn FROM counted),
@@ -155,9 +155,12 @@ def genes_with_few_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (SELECT gene_name, gene_id, chrom || ':' || lo || '-' || hi AS locus, count(*) AS sites, sum(major)::BIGINT AS high, sum(minor)::BIGINT AS low,
         avg(major + minor) AS mean, stddev_pop(major + minor) AS sd, sum(2 * (major * ln(major / ((major + minor) / 2.0)) + CASE WHEN minor > 0 THEN minor * ln(minor / ((major + minor) / 2.0)) ELSE 0 END)) AS g,
         string_agg(CASE WHEN big_no < 0 THEN '.' ELSE big_no::VARCHAR END, '/' ORDER BY ord, pos) AS high_hap, string_agg(CASE WHEN small_no < 0 THEN '.' ELSE small_no::VARCHAR END, '/' ORDER BY ord, pos) AS low_hap,
-        string_agg(pos::VARCHAR, '/' ORDER BY ord, pos) AS positions FROM scored GROUP BY chrom, lo, hi, gene_id, gene_name HAVING count(*) >= 2)
-    SELECT gene_name AS "geneName", gene_id AS "geneId", locus, sites AS "numHets", high AS "highCount", low AS "lowCount", round(mean, 6) AS "avgCov", round(sd, 6) AS "covSd",
-        round(high / (high + low), 6) AS "highFrac", round(g, 6) AS g, high_hap AS "highHaplo", low_hap AS "lowHaplo", positions FROM t""")
+        string_agg(pos::VARCHAR, '/' ORDER BY ord, pos) AS positions FROM scored GROUP BY chrom, lo, hi, gene_id, gene_name HAVING count(*) >= 2)"""
+SHOWN = """gene_name AS "geneName", gene_id AS "geneId", locus, sites AS "numHets", high AS "highCount", low AS "lowCount", round(mean, 6) AS "avgCov", round(sd, 6) AS "covSd",
+    round(high / (high + low), 6) AS "highFrac", high_hap AS "highHaplo", low_hap AS "lowHaplo", positions"""
+
+
+@query(f"WITH {GENES} SELECT {SHOWN}, round(g, 6) AS g FROM t")
 def ase_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     genes, sites = _genes_and_sites(spark, sf_dir)
     measured = ase.measured(genes, sites, _reads(spark, sf_dir), min_hets=2, min_coverage=1)
@@ -165,6 +168,16 @@ def ase_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ase.as_file(ase.displayed(measured).select("gene_name", "gene_id", "locus", "hetSites", "highCount", "lowCount", *rounded, "highHap", "lowHap", "positions"))
 
 
+@query(f"""WITH {GENES}, tested AS (SELECT *, CASE WHEN g <= 0 THEN 1 ELSE 1 - {sql_gamma_lower("(sites / 2)", "(g / 2)")} END AS p FROM t),
+    thresholds AS (SELECT *, (row_number() OVER (ORDER BY p, gene_id) - 1) / count(*) OVER () * 2.0 AS threshold FROM tested)
+    SELECT {SHOWN}, round(p, 6) AS "pValue", round(threshold, 6) AS "qValue" FROM thresholds WHERE high / (high + low) >= 0.6 AND p < threshold""")
+def ase_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table: p-values, thresholds and both filters; a looser q, as lines are no reads."""
+    genes, sites = _genes_and_sites(spark, sf_dir)
+    found = ase.allele_specific_expression(genes, sites, _reads(spark, sf_dir), min_hets=2, min_coverage=1, q=2.0, min_fraction=0.6, ranked=False)
+    return ase.as_file(found.withColumns({c: F.round(c, 6) for c in ("meanCount", "sdCount", "highFrac", "pValue", "qValue")}))
+
+
 # GTF: parts are annotation rows
 
 

@@ -15,7 +15,8 @@ from strandloom.functions import kmers as km
 from strandloom.functions import stats as fs
 from strandloom.functions import strings as st
 from strandloom.operators import intervals, kmers, matrix, pileup, stats, table
-from strandloom.plans import ase, bait_scan, depletion, kmer_bias
+from strandloom.plans import ase, bait_scan, depletion, divergence, kmer_bias
+from strandloom.sources import fasta
 from strandloom.sources.shared import cut
 
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -240,9 +241,34 @@ def kmer_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.gamma_fit(places, "kld", ["read", "pos"]).where("gamma_n > 1").select("read", "pos", "gamma_n", F.round("k", 6).alias("k"), F.round("theta", 6).alias("theta"))
 
 
-@query()
+def sql_gamma_lower(a: str, x: str, terms: int = 600) -> str:
+    """SQL of the regularised lower incomplete gamma function, by its series; x is above 0."""
+    series = f"list_sum(list_transform(range(0, {terms}), lambda i: exp(i * ln({x}) + lgamma({a} + 1) - lgamma({a} + 1 + i))))"
+    return f"exp({a} * ln({x}) - {x} - lgamma({a} + 1)) * {series}"
+
+
+def sql_gamma_fit(values: str, by: str = "") -> str:
+    """SQL of (by, n, k, theta) over the column x of a query, unrounded."""
+    sums = f"SELECT {by + ',' if by else ''} {GAMMA_SUMS} FROM ({values}) WHERE x > 0 {'GROUP BY ' + by if by else ''} HAVING count(*) > 1"
+    k0, theta = f"SELECT *, n * sx / (n * sxl - sl * sx) AS k0 FROM ({sums})", GAMMA_T.replace("round(", "(", 1).replace(", 6)", ")", 1)
+    return f"SELECT {by + ',' if by else ''} n, {GAMMA_K.replace('round(', '(', 1).replace(', 6)', ')', 1)}, {theta} FROM ({k0})"
+
+
+def sql_tail(x: str, k: str, theta: str) -> str:
+    return f"CASE WHEN {x} <= 0 THEN 1 WHEN {k} > 0 THEN abs(1 - {sql_gamma_lower(k, f'({x} / {theta})')}) END"
+
+
+@query(f"""WITH {CYCLES}, {POOL}, {KLD},
+    q AS (SELECT read, pos, kmer, n / sum(n) OVER (PARTITION BY read, pos) AS q FROM (SELECT read, pos, kmer, sum(n) AS n FROM c WHERE strand = 'fwd' GROUP BY ALL)),
+    e AS (SELECT sample, read, pos, sum(p * ln(p / q)) AS own FROM (SELECT *, n / sum(n) OVER (PARTITION BY sample, read, pos) AS p FROM c WHERE strand = 'fwd')
+        JOIN q USING (read, pos, kmer) GROUP BY ALL),
+    overall AS ({sql_gamma_fit("SELECT kld AS x FROM d")}), place AS ({sql_gamma_fit("SELECT read, pos, own AS x FROM e", "read, pos")}),
+    t AS (SELECT d.*, e.own, o.k AS ka, o.theta AS ta, p.k AS kb, p.theta AS tb FROM d JOIN e USING (sample, read, pos) CROSS JOIN overall o LEFT JOIN place p USING (read, pos))
+    SELECT sample, read, pos, round(kld, 6) AS "kldGlobal", round({sql_tail("kld", "ka", "ta")}, 6) AS "pvalGlobal",
+        round(own, 6) AS "kldPosition", round({sql_tail("own", "kb", "tb")}, 6) AS "pvalPosition" FROM t""")
 def kmer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_bias.score_samples(cycles(spark, sf_dir))
+    scores = kmer_bias.score_samples(cycles(spark, sf_dir))
+    return scores.select("sample", "read", "pos", *(F.round(c, 6).alias(c) for c in ("kldGlobal", "pvalGlobal", "kldPosition", "pvalPosition")))
 
 
 # Intervals
@@ -409,6 +435,57 @@ def genotype_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pos", "sample", F.round("hom", 6).alias("hom"), F.round("het", 6).alias("het"), fs.genotype(F.col("hom"), F.col("het"))[0].alias("gt"))
 
 
+# Divergence as a whole: texts are the reference, order lines the pileup of ten of them, order priorities the samples
+
+
+def _piled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    symbol = F.element_at(F.array(*map(F.lit, ("A", "A", "A", "C", "N", "+AC", "-2"))), (F.col("l_partkey") % 7 + 1).cast("int"))
+    place = [F.concat(F.lit("d"), (F.col("l_suppkey") % 10 + 1).cast("string")).alias("chrom"), (F.col("l_orderkey") % 50).alias("pos")]
+    symbols = rows.groupBy(F.col("o_orderpriority").alias("sample"), *place, symbol.alias("symbol")).agg(F.count("*").alias("n"))
+    reference = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.coalesce(pure("text"), F.lit("")).alias("seq"))
+    return symbols, reference
+
+
+DIVERGED = f"""
+    s AS (SELECT o_orderpriority AS sample, 'd' || (l_suppkey % 10 + 1) AS chrom, l_orderkey % 50 AS pos, ['A', 'A', 'A', 'C', 'N', '+AC', '-2'][l_partkey % 7 + 1] AS symbol, count(*) AS n
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+    f AS (SELECT 'd' || doc_id AS chrom, coalesce({PURE}, '') AS seq FROM documents),
+    w AS (SELECT *, n / sum(n) OVER (PARTITION BY chrom, pos, sample) AS p, sum(n) OVER (PARTITION BY chrom, pos, symbol) / sum(n) OVER (PARTITION BY chrom, pos) AS q,
+        sum(n) OVER (PARTITION BY chrom, pos, sample) AS total, sum(n) OVER (PARTITION BY chrom, pos) AS pool FROM s),
+    o AS (SELECT chrom, pos, count(DISTINCT symbol) AS kinds FROM s GROUP BY ALL),
+    d AS (SELECT chrom, pos, sample, sum(p * ln(p / q)) AS kld, any_value(total) AS total, any_value(pool) AS pool, count(*) AS alleles, list_reverse_sort(list(p)) AS shares,
+        {", ".join(f"coalesce(sum(n) FILTER (symbol = '{b}'), 0)::BIGINT AS {b}" for b in "ACGTN")},
+        coalesce(string_agg(symbol || ':' || n, ',' ORDER BY symbol) FILTER (symbol[1] IN ('+', '-')), '.') AS indels FROM w GROUP BY ALL),
+    x AS (SELECT d.*, kinds, substr(seq, greatest(0, least(pos - 3, length(seq) - 6))::INT + 1, 6) AS six FROM d JOIN o USING (chrom, pos) JOIN f USING (chrom)),
+    y AS (SELECT *, CASE WHEN length(six) = 6 THEN six ELSE 'AAAAAA' END AS context FROM x),
+    models AS ({sql_gamma_fit("SELECT context, kld AS x FROM y WHERE pool > 2 AND kinds > 1 AND total >= 2", "context")})"""
+FIT = """list_sum(list_transform(range(1, alleles + 1), lambda i: (shares[i] - {expected}) ** 2 / ({expected})))"""
+MISFITS = FIT.format(expected="CASE WHEN i = 1 THEN 0.95 ELSE 0.05 / alleles END"), FIT.format(expected="CASE WHEN i <= 2 THEN 0.475 ELSE 0.05 / alleles END")
+
+
+@query(f"WITH {DIVERGED} SELECT context, n AS gamma_n, round(k, 6) AS k, round(theta, 6) AS theta FROM models WHERE theta > 1e-6")
+def divergence_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols, reference = _piled(spark, sf_dir)
+    models = divergence.divergence(symbols, reference, coverage=2)[1].where("gamma_n > 1 AND theta > 1e-6")  # equal values have no spread to fit
+    return models.select("context", "gamma_n", F.round("k", 6).alias("k"), F.round("theta", 6).alias("theta"))
+
+
+@query(f"""WITH {DIVERGED}, r AS (SELECT *, count(*) OVER (PARTITION BY chrom, pos) AS samples FROM y WHERE pool >= 2 AND kinds > 1 AND total >= 2),
+    t AS (SELECT r.*, {sql_tail("kld", "k", "theta")} AS pvalue, {MISFITS[0]} AS one, {MISFITS[1]} AS two FROM r JOIN models USING (context) WHERE samples >= 2 AND models.n >= 4 AND k < 100),
+    g AS (SELECT *, CASE WHEN alleles < 2 THEN 0 ELSE {sql_gamma_lower("((alleles - 1) / 2)", "greatest(one / 2, 1e-300)", 1500)} END AS hom,
+        CASE WHEN alleles < 2 THEN 1 ELSE {sql_gamma_lower("((alleles - 1) / 2)", "greatest(two / 2, 1e-300)", 1500)} END AS het FROM t WHERE pvalue <= 0.25)
+    SELECT chrom || ':' || (pos + 1) AS locus, samples AS num_samples, context, sample, round(kld, 6) AS divergence, round(pvalue, 6) AS pvalue, alleles AS pseudo_allele_count,
+        CASE WHEN het < hom THEN 'het' ELSE 'hom' END AS gt, round(least(hom, het), 6) AS fit, total::BIGINT AS cov, A, C, G, T, N, indels FROM g WHERE least(hom, het) <= 0.9999""")
+def divergence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of it: pool, divergences, contexts, models that are trained, significance, genotypes; looser limits, as lines are no reads."""
+    symbols, reference = _piled(spark, sf_dir)
+    places = cut(fasta.context(pileup.divergences(symbols), reference), "places")
+    models = cut(divergence.train(places, 2).where("gamma_n >= 4 AND k < 100"), "models")  # of few or equal values no model is made
+    found = divergence.significant(places.join(models, "context", "left_semi"), models, 2, most_p=0.25, most_fit=0.9999)
+    return found.withColumns({c: F.round(c, 6) for c in ("divergence", "pvalue", "fit")})
+
+
 # Tables, strings, matrices
 
 

@@ -43,8 +43,9 @@ def test_equals_sql(spark, tiny, sql, name):
     assert sorted(map(repr, got)) == sorted(repr(tuple(float(v) if isinstance(g, float) and v is not None else v for v, g in zip(r, got[0], strict=True))) for r in rows) or sorted(got) == sorted(rows)
 
 
-def test_scores_have_rows(spark, tiny):
-    assert library.queries()["kmer_scores"](spark, tiny).count() > 0
+@pytest.mark.parametrize("name", ["kmer_scores", "divergence_models", "divergence_table"])
+def test_whole_plans_have_rows(spark, tiny, name):
+    assert library.queries()[name](spark, tiny).count() > 0
 
 
 def test_whole_texts_give_every_letter_to_a_read(spark, tiny, sql):
