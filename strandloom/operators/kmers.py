@@ -90,13 +90,15 @@ def kmers_among(df: DataFrame, seq: str, k: int, members: DataFrame, *, position
     """The rows of ``kmers`` whose kmer is one of members (distinct kmer).
 
     Up to ``most`` members are broadcast as a sorted array and looked up where the k-mers are made, so that only hits
-    leave a task. Whether they are that few is found by reading no more than one beyond; more are joined by a shuffle.
+    leave a task. Whether they are that few is found by reading no more than one beyond; for more, pieces of the
+    sequences travel to the members by their minimizers (``minimizers.looked_up``).
     """
+    from strandloom.operators.minimizers import looked_up  # which is built on this module
+
     some = np.sort(members.select("kmer").limit(most + 1).toArrow().column(0).to_numpy())
     if len(some) <= most:
         return kmers(df, seq, k, positions=positions, among=df.sparkSession.sparkContext.broadcast(some))
-    every = kmers(df, seq, k, positions=positions)
-    return every.join(members.select("kmer"), "kmer", "left_semi")
+    return looked_up(df, seq, k, members, positions=positions)
 
 
 def spectrum(df: DataFrame, seq: str, k: int, canonical: bool = True) -> DataFrame:

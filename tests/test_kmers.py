@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import kmers as km
-from strandloom.operators import kmers
+from strandloom.operators import kmers, minimizers
 from strandloom.streaming.kmer_counts import stream_spectrum
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -98,3 +99,53 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("spectrum").collect()} == {tuple(r) for r in kmers.spectrum(reads, "seq", 3).collect()}
+
+
+def bases_with_repeats(r, n):
+    """Random bases with runs of one base and letters that are none."""
+    return "".join(r.choice(["ACGT"[r.randrange(4)] * 1] * 30 + ["A" * 60, "N", "acgt"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("k,crowded", [(25, 4), (25, 0), (11, 4), (5, 4)])
+def test_minimizers_find_what_a_join_finds(spark, monkeypatch, k, crowded):
+    """Super-k-mers against a join of all k-mers, with and without buckets that are split."""
+    monkeypatch.setattr(minimizers, "CROWDED", crowded)
+    r = random.Random(k)
+    texts = [bases_with_repeats(r, r.choice([0, 3, 40, 400])) for _ in range(60)] + [None, "A" * 3_000, "ACGT" * 500]
+    rows = spark.createDataFrame([(i % 7, None if i % 5 == 0 else f"s{i}", t) for i, t in enumerate(texts)] * 3, "id int, name string, seq string").repartition(3)
+    every = kmers.kmers(rows, "seq", k, positions=True)
+    members = every.select("kmer").distinct().where("pmod(kmer, 3) = 0").unionByName(spark.createDataFrame([(5,), (None,)], "kmer long")).distinct()
+    want = Counter(map(tuple, every.join(members, "kmer", "left_semi").select("id", "name", "kmer", "pos").collect()))
+    assert Counter(map(tuple, minimizers.looked_up(rows, "seq", k, members, positions=True).collect())) == want and want
+    few = Counter(map(tuple, kmers.kmers_among(rows, "seq", k, members, positions=True, most=3).collect()))
+    assert few == want
+    assert minimizers.looked_up(rows, "seq", k, members.where("false")).count() == 0
+    assert minimizers.looked_up(rows.where("false"), "seq", k, members).count() == 0
+
+
+def shuffled(spark, df, first=[0]):  # noqa: B006  (the first stage that was not asked for yet)
+    """Bytes that a query writes for its shuffles."""
+    df.write.format("noop").mode("overwrite").save()
+    store, total = spark.sparkContext._jsc.sc().statusStore(), 0
+    for stage in range(first[0], first[0] + 1_000):
+        try:
+            total += store.lastStageAttempt(stage).shuffleWriteBytes()
+            first[0] = stage + 1
+        except Exception:
+            continue
+    return total
+
+
+def test_super_kmers_move_less_than_kmers(spark):
+    """Shuffled bytes for K = 25 on random bases, which nothing compresses, are below 2/7 of those of a join of all k-mers."""
+    r = random.Random(1)
+    rows = spark.createDataFrame([(i, "".join(r.choices("ACGT", k=4_000))) for i in range(150)], "id long, seq string")
+    members = kmers.kmers(rows.where("id = 3").select("seq"), "seq", 25).distinct()
+    shuffled(spark, spark.range(1))  # what earlier queries have written
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plain = shuffled(spark, kmers.kmers(rows, "seq", 25).join(members, "kmer", "left_semi"))
+        pieces = shuffled(spark, minimizers.looked_up(rows, "seq", 25, members))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < pieces * 3.5 <= plain
