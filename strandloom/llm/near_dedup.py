@@ -18,8 +18,10 @@
 Every link that shares a band is found or bridged by a path of confirmed links. A pair at the threshold of 0.8
 shares none of the 30 bands of 4 with probability 1.4e-7, and less above it.
 
-A null or wordless text has an empty set and links with nothing. Rows that repeat an id are one document; rows
-without an id never represent a class. Other columns are not read.
+A null or wordless text has an empty set and links with nothing. Rows that repeat an id are one document; if their
+texts differ, it links by any of the sets that are its own, but the full set by which a class it represents is compared
+is that of one of them, and which one depends on partitioning: such rows should get ids of their own. Rows without an
+id never represent a class. Ties go to the smallest id. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ greedily, at most two to a sequence; the smaller ones go, longest first, into th
 Ranks within a length are dealt out without a global order: counts per (bucket, length) are summed over buckets,
 and a piece's rank is its place in its bucket after the pieces of the buckets before.
 
-A null or empty text still has the closing id 0. Rows that repeat an id are packed one by one. No rows, no
-sequences.
+A null or empty text still has the closing id 0. Rows that repeat an id are packed one by one. Pieces of one length
+are alike to the plan: which of them takes which place of that length is open, and changes no number of sequences. No
+rows, no sequences.
 """
 
 from __future__ import annotations

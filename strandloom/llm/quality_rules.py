@@ -6,7 +6,8 @@ expression over the statistics. Fitting sees a bounded sample of the labelled ro
 hashes of their ids), all else sees every row and whole texts.
 
 A null text counts as empty and gets a score as any other. Without labelled rows all scores are 0.5; with one
-label they are next to it. Rows that repeat an id are scored one by one; other columns are not read.
+label they are next to it. A text whose id has several labels counts once with each, and repeated ones count again.
+Rows that repeat an id are scored one by one; other columns are not read.
 """
 
 from __future__ import annotations
