@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next one's docs. All but the last return the columns of docs. A document here is a row with an id: rows without
-one cannot be decided on by later stages and are kept by the filters as they are.
+one cannot be decided on by later stages and are kept by the filters as they are. Rows that share an id are kept or
+dropped together, so if a filter rejects one of them, all go; give rows ids of their own to have them judged apart.
 """
 
 from __future__ import annotations
