@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import kmers as km
 from strandloom.operators import kmers, minimizers
-from strandloom.streaming.kmer_counts import stream_spectrum
+from strandloom.streaming.kmer_counts import stream_spectrum, stream_windowed
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -149,3 +149,22 @@ def test_super_kmers_move_less_than_kmers(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 0 < pieces * 3.5 <= plain
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    """Counts by event time; what is late beyond the watermark is given up, and closed windows come out once."""
+    reads = [[("2024-01-01 00:00:10", "ACGT"), ("2024-01-01 00:00:50", "ACGA"), ("2024-01-01 00:01:10", "ACGT")], [("2024-01-01 00:09:00", "TTTT")], [("2024-01-01 00:10:00", "NNN")], [("2024-01-01 00:00:20", "ACGT"), ("2024-01-01 00:20:00", None)]]
+    schema = "time timestamp, seq string"
+    for i, rows in enumerate(reads):
+        spark.createDataFrame(rows, "t string, seq string").select(F.to_timestamp("t").alias("time"), "seq").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    counts = stream_windowed(stream, "seq", 3, "time", "1 minute", "2 minutes")
+    query = counts.writeStream.format("memory").queryName("windowed").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination(120)
+    got = {(r.window.start.minute, km_text(r.kmer)): r.n for r in spark.table("windowed").collect()}
+    assert got[0, "ACG"] == 3 and got[0, "CGA"] == 1 and got[1, "ACG"] == 2  # CGT is counted as ACG
+    assert got[9, "AAA"] == 2 and spark.table("windowed").count() == len(got)
+
+
+def km_text(code):
+    return "".join("ACGT"[code >> 2 * i & 3] for i in (2, 1, 0))

@@ -1,5 +1,6 @@
 """Pipelines end to end on small inputs with results worked out by hand."""
 
+import json
 import math
 import random
 from collections import Counter
@@ -12,6 +13,7 @@ from strandloom.functions.kmers import decode
 from strandloom.functions.stats import chi2_tail
 from strandloom.operators import cigar, pileup
 from strandloom.plans import ase, bait_scan, depletion, divergence, kmer_bias
+from strandloom.sources import sinks
 
 ALIGNMENTS = "sample string, chrom string, pos0 long, c string, seq string, flag int, mapq int"
 
@@ -175,3 +177,17 @@ def test_cigar_texts(spark):
     texts = ["1S3M2I", "*", "", "12M", None, "3M2Q", "M3"]
     df = spark.createDataFrame([(t,) for t in texts], "c string").select(cigar.parse_cigar(F.col("c")).alias("x"))
     assert [None if r.x is None else [tuple(o) for o in r.x] for r in df.collect()] == [[("S", 1), ("M", 3), ("I", 2)], [], [], [("M", 12)], None, [("M", 3)], []]
+
+
+def test_distributions_as_json(spark):
+    """There and back: every share at its place in dense arrays, the global one beside them."""
+    pairs = spark.createDataFrame([("s", "ACGT", "AAN"), ("s", "ACNT", None), ("t", "GG", "A")], "sample string, seq_1 string, seq_2 string")
+    counts = kmer_bias.kmer_cycle_counts(pairs, 2)
+    shares, overall = kmer_bias.distributions(counts), kmer_bias.global_distribution(counts)
+    docs = {r["sample"]: json.loads(r.value) for r in sinks.distributions_json(shares, overall, 2).collect()}
+    assert set(docs) == {"s", "t"} and docs["s"]["K"] == 2
+    want = {r.kmer: r.p for r in overall.collect()}
+    assert docs["s"]["global"] == pytest.approx([want.get(i, 0) for i in range(16)])
+    for r in shares.collect():
+        assert docs[r["sample"]][r.read][r.strand][r.pos][r.kmer] == pytest.approx(r.p)
+    assert sum(docs["s"]["read1"]["fwd"][0]) == pytest.approx(1)
