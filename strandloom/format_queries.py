@@ -16,8 +16,8 @@ from strandloom.functions import strings as st
 from strandloom.operators import cigar, intervals, kmers, pileup, table
 from strandloom.plans import ase, depletion
 from strandloom.queries import BASES, PURE, RC, WINDOWS, bases, both_strands, cycles, CYCLES, pure, query, read, sql_gamma_lower, sql_kmers, sql_pure
-from strandloom.sources import bam, fasta, fastq, gtf, sinks, vcf
-from strandloom.sources.shared import shared_folder
+from strandloom.sources import bam, fasta, fasta_splits, fastq, gtf, sinks, vcf
+from strandloom.sources.shared import cut, shared_folder
 
 text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
@@ -301,6 +301,22 @@ def fasta_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.context(points, records, size=64).select("chrom", "pos", "context")
 
 
+@query(f"""WITH {SEQUENCES}, p AS (SELECT name AS chrom, seq, length(seq) AS n, unnest([0, length(seq) // 2, length(seq) - 1]) AS pos FROM s WHERE length(seq) > 0),
+    c AS (SELECT chrom, n, pos, substr(seq, greatest(0, least(pos - 3, n - 6)) + 1, 6) AS six FROM p)
+    SELECT chrom, n AS length, pos, CASE WHEN length(six) = 6 THEN six ELSE 'AAAAAA' END AS context FROM c""")
+def fasta_split_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences written as FASTA files and read again in splits, as chunks, which the points meet."""
+    path = f"{shared_folder(spark)}/strandloom/fasta-{uuid.uuid4().hex}"
+    seq = F.regexp_replace(F.coalesce(pure("text"), F.lit("")), "(.{60})", "$1\n")
+    record = F.concat(F.lit(">d"), text("doc_id"), F.lit(" of  "), F.col("source"), F.lit("\n"), seq)
+    read(spark, sf_dir, "documents").select(record).write.text(path)
+    chunks = cut(fasta_splits.read_fasta_chunks(spark, path, size=1024), "chunks")
+    n = F.col("length")
+    places = F.explode(F.array(F.lit(0).cast("bigint"), F.floor(n / 2), n - 1)).alias("pos")
+    points = fasta_splits.lengths(chunks).where(n > 0).select(F.col("name").alias("chrom"), "length", places)
+    return fasta_splits.chunk_context(points, chunks, size=1024).select("chrom", "length", "pos", "context")
+
+
 def _fastq(spark: SparkSession, sf_dir: str, of: Column) -> DataFrame:
     seq = F.coalesce(of, F.lit(""))
     four = F.array(F.concat(F.lit("@d"), text("doc_id"), F.lit(" x")), seq, F.lit("+"), F.repeat(F.lit("@"), F.length(seq)))
