@@ -16,7 +16,7 @@ from strandloom.functions import strings as st
 from strandloom.operators import cigar, intervals, kmers, pileup, table
 from strandloom.plans import ase, depletion
 from strandloom.queries import BASES, PURE, RC, WINDOWS, bases, both_strands, cycles, CYCLES, pure, query, read, sql_gamma_lower, sql_kmers, sql_pure
-from strandloom.sources import bam, fasta, fasta_splits, fastq, gtf, sinks, vcf
+from strandloom.sources import bam, bcf, fasta, fasta_splits, fastq, gtf, sinks, vcf
 from strandloom.sources.shared import cut, shared_folder
 
 text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
@@ -238,6 +238,29 @@ def vcf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vcf(spark, sf_dir).select("pos", *info, vcf.format_values("GQ", "integral").alias("gq"), vcf.format_values("HQ", "integral").alias("hq"))
 
 
+#: A header of the variants that are written as BCF.
+BCF_HEADER = [
+    "##fileformat=VCFv4.2", *(f"##contig=<ID=chr{i}>" for i in range(5)), "##FILTER=<ID=q10,Description=\"x\">", "##FILTER=<ID=s50,Description=\"x\">",
+    *(f'##INFO=<ID={i},Number=.,Type={t},Description="x">' for i, t in (("NS", "Integer"), ("DP", "Integer"), ("AF", "Float"), ("DB", "Flag"))),
+    *(f'##FORMAT=<ID={i},Number=.,Type={t},Description="x">' for i, t in (("GT", "String"), ("GQ", "Integer"), ("HQ", "Integer"))),
+]
+
+
+@query(f"""SELECT 'chr' || (p_size % 5) AS chrom, p_partkey AS pos, {one_of("NULL", "'rs1'", "'rs2'")} AS id, {one_of("['A', 'C']", "['A', 'C', 'GT']", "['A']")} AS alleles,
+    {one_of("NULL", "7.5")}::FLOAT AS qual, {one_of("['PASS']", "['q10', 's50']", "[]::VARCHAR[]")} AS filters, ['GT', 'GQ', 'HQ'] AS format,
+    p_partkey AS dp, '0.5,0.25' AS af, {one_of("false", "true")} AS db, {one_of("'0|0'", "'0/1'", "'1|.'", "'./.'")} AS gt_s1, {one_of("'0/0'", "'1/2'", "'1'")} AS gt_s2,
+    {one_of("[48, NULL]", "[48, 3]", "[48, NULL]")}::BIGINT[] AS gq, [51, NULL, NULL]::BIGINT[] AS hq FROM part""")
+def bcf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants written as BCF files and read again in splits."""
+    path = f"{shared_folder(spark)}/strandloom/bcf-{uuid.uuid4().hex}"
+    bcf.write_bcf(_vcf(spark, sf_dir), path, BCF_HEADER, ["S1", "S2"])
+    values = [vcf.info_value("DP", "integral").alias("dp"), vcf.info_value("AF", "string").alias("af_first"), vcf.info_value("DB", "flag").alias("db")]
+    called = [F.col("samples")[i]["fields"]["GT"].alias(f"gt_s{i + 1}") for i in range(2)]
+    listed = [vcf.format_values("GQ", "integral").alias("gq"), vcf.format_values("HQ", "integral").alias("hq")]
+    rows = bcf.read_bcf(spark, path)
+    return rows.select("chrom", "pos", "id", vcf.alleles().alias("alleles"), "qual", "filters", "format", *values, *called, *listed).withColumnRenamed("af_first", "af")
+
+
 @query(f"""WITH g AS (SELECT p_partkey AS pos, 'S1' AS sample, {one_of("[0, 0]", "[0, 1]", "[1, -1]", "[-1, -1]")} AS alleles, {one_of("[true, true]", "[false, false]", "[true, true]", "[false, false]")} AS phased FROM part
     UNION ALL SELECT p_partkey, 'S2', {one_of("[0, 0]", "[1, 2]", "[1]")}, {one_of("[false, false]", "[false, false]", "[false]")} FROM part)
     SELECT pos, sample, alleles, phased, list_transform(alleles, lambda a: a < 0) AS missing FROM g""")
