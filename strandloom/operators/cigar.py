@@ -161,6 +161,14 @@ def _texts(names: np.ndarray, more: list[str]) -> pa.Array:
     return pa.DictionaryArray.from_arrays(pa.array(names, pa.int32()), pa.array(words, pa.string())).cast(pa.string())
 
 
+def walked(batch: pa.RecordBatch, emit: str, kernel, ordered: bool = False) -> Iterator[list[pa.Array]]:
+    """What a kernel makes of each slice of a batch, whose last columns are pos0, cigar and seq."""
+    if batch.num_rows:
+        walk = Walk(*batch.columns[-3:])
+        for part in walk.slices(emit):
+            yield kernel(batch, *walk.shown(part, emit, ordered))
+
+
 def _walks(df: DataFrame, emit: str, keys: list[str], kernel, more: list[StructField]) -> DataFrame:
     if emit not in EMITS:
         raise ValueError(f"emit {emit}")
@@ -170,11 +178,8 @@ def _walks(df: DataFrame, emit: str, keys: list[str], kernel, more: list[StructF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                walk = Walk(*batch.columns[len(keys) :])
-                for part in walk.slices(emit):
-                    columns = kernel(batch, *walk.shown(part, emit, not more))
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+            for columns in walked(batch, emit, kernel, not more):
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     seq = F.col("seq") if emit != "depth" else F.lit("").alias("seq")
     return df.select(*keys, F.col("pos0").cast("long"), "cigar", seq).mapInArrow(run, schema)
@@ -196,12 +201,12 @@ def explode_cigar(df: DataFrame, emit: str) -> DataFrame:
     return _walks(df, emit, keys, kernel, [])
 
 
-def counted(df: DataFrame, emit: str, by: list[str]) -> DataFrame:
-    """by, pos, allele, n: how often alignments show each thing, summed in each batch and then over all."""
+def batch_counts(keys: int):
+    """The kernel that counts a slice by its first columns, place and name."""
 
     def kernel(batch: pa.RecordBatch, reads: np.ndarray, places: np.ndarray, names: np.ndarray, more: list[str]) -> list[pa.Array]:
         group, sample = np.zeros(batch.num_rows, np.int64), [0]
-        for i in range(len(by)):
+        for i in range(keys):
             codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             _, sample, group = np.unique(group * (int(codes.max()) + 1) + codes, return_index=True, return_inverse=True)
         low = int(places.min()) if len(places) else 0
@@ -210,14 +215,19 @@ def counted(df: DataFrame, emit: str, by: list[str]) -> DataFrame:
         if width * kinds * (len(sample) + 1) >= 1 << 62:
             found, where = np.unique(places, return_inverse=True)
             width = len(found)
-        keys, n = np.unique((group[reads] * width + where) * kinds + names, return_counts=True)
-        keys, named = np.divmod(keys, kinds)
-        groups, where = np.divmod(keys, width)
+        found_keys, n = np.unique((group[reads] * width + where) * kinds + names, return_counts=True)
+        found_keys, named = np.divmod(found_keys, kinds)
+        groups, where = np.divmod(found_keys, width)
         at = pa.array(np.asarray(sample)[groups])
         pos = where + low if found is None else found[where]
-        return [*(batch.column(i).take(at) for i in range(len(by))), pa.array(pos), _texts(named, more), pa.array(n.astype(np.int64))]
+        return [*(batch.column(i).take(at) for i in range(keys)), pa.array(pos), _texts(named, more), pa.array(n.astype(np.int64))]
 
-    parts = _walks(df, emit, by, kernel, [StructField("n", LongType())])
+    return kernel
+
+
+def counted(df: DataFrame, emit: str, by: list[str]) -> DataFrame:
+    """by, pos, allele, n: how often alignments show each thing, summed in each batch and then over all."""
+    parts = _walks(df, emit, by, batch_counts(len(by)), [StructField("n", LongType())])
     return parts.groupBy(*by, "pos", "allele").agg(F.sum("n").alias("n"))
 
 
