@@ -543,6 +543,35 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.multiply(matrix.transpose(m), m)
 
 
+def sql_nmf(iterations: int) -> str:
+    """Updates of rank 2, each after the other, from factors w0 and h0 over the cells m(r, c, v)."""
+    out = []
+
+    def update(new: str, old: str, other: str, own: str, across: str) -> None:
+        out.append(f"""{new} AS (WITH g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM {other}),
+            n AS (SELECT m.{own} AS id, sum(v * a) AS na, sum(v * b) AS nb FROM m JOIN {other} o ON m.{across} = o.id GROUP BY ALL)
+            SELECT id, a * na / (a * aa + b * ab) AS a, b * nb / (a * ab + b * bb) AS b FROM {old} JOIN n USING (id), g)""")
+
+    for i in range(iterations):
+        update(f"h{i + 1}", f"h{i}", f"w{i}", "c", "r")
+        update(f"w{i + 1}", f"w{i}", f"h{i + 1}", "r", "c")
+    return ", ".join(out)
+
+
+@query(f"""WITH m AS (SELECT l_suppkey AS r, l_partkey AS c, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY ALL),
+    w0 AS (SELECT DISTINCT r AS id, (1 + r % 7) / 7 AS a, (1 + 3 * r % 7) / 7 AS b FROM m), h0 AS (SELECT DISTINCT c AS id, (1 + c % 5) / 5 AS a, (1 + 3 * c % 5) / 5 AS b FROM m),
+    {sql_nmf(2)}, every AS (SELECT 'w' AS factor, * FROM w2 UNION ALL SELECT 'h', * FROM h2)
+    SELECT factor, id, 0 AS component, round(a, 6) AS value FROM every UNION ALL SELECT factor, id, 1, round(b, 6) FROM every""")
+def nmf_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by parts, in two components."""
+    cells = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
+    start = lambda f, row, col: (1 + (2 * col + 1) * row % 7) / 7 if f == "w" else (1 + (2 * row + 1) * col % 5) / 5
+    w, h, _ = matrix.nmf(cells, 2, 2, start=start)
+    rows = w.select(F.lit("w").alias("factor"), F.col("row").alias("id"), F.col("col").alias("component"), "value")
+    rows = rows.unionByName(h.select(F.lit("h").alias("factor"), F.col("col").alias("id"), F.col("row").alias("component"), "value"))
+    return rows.select("factor", "id", F.col("component").cast("int").alias("component"), F.round("value", 6).alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from strandloom import format_queries  # noqa: F401  registers its queries
 

@@ -91,3 +91,38 @@ def test_matrices(spark):
     np.testing.assert_allclose(back(matrix.transpose(frame(w)), (2, 6)), w.T)
     a, b, changes = matrix.nmf(frame(v), 2, 3, seed=1)
     assert changes[-1] < changes[0] and np.abs(back(a, (6, 2)) @ back(b, (2, 5)) - v).mean() < 0.2
+
+
+def test_nmf_is_that_of_numpy(spark):
+    """Factors and changes of a sparse matrix with a full row, repeated cells, nulls and an empty column, against NumPy."""
+    r = np.random.default_rng(3)
+    rows = [(0, j, float(r.random())) for j in range(40)] + [(int(i), int(j), float(r.random())) for i, j in r.integers(0, 40, (150, 2))]
+    rows += [(3, 5, None), (None, 1, 2.0), (1, None, 2.0), (2, 41, 0.0)]
+    v = np.zeros((40, 42))
+    for i, j, x in rows:
+        if i is not None and j is not None:
+            v[i, j] += x or 0.0
+    seen = [sorted({x[k] for x in rows if None not in x[:2]}) for k in (0, 1)]
+    ids = [{x: n for n, x in enumerate(of)} for of in seen]
+    dense = v[np.ix_(*seen)]
+    w, h = np.array([[1 / (1 + i + 2 * k) for k in range(3)] for i in seen[0]]), np.array([[1 / (1 + j + 3 * k) for j in seen[1]] for k in range(3)])
+    want = []
+    for _ in range(4):
+        below = w.T @ w @ h
+        new_h = h * (w.T @ dense) / (below + (below == 0))
+        new_w = w * (dense @ new_h.T) / (w @ new_h @ new_h.T + (w @ new_h @ new_h.T == 0))
+        want.append(((new_h - h) ** 2).sum() + ((new_w - w) ** 2).sum())
+        w, h = new_w, new_h
+    start = lambda f, row, col: 1 / (1 + row + 2 * col) if f == "w" else 1 / (1 + col + 3 * row)
+    frame = spark.createDataFrame(rows, "row long, col long, value double").repartition(5)
+    a, b, changes = matrix.nmf(frame, 3, 4, start=start)
+    np.testing.assert_allclose(changes, want, rtol=1e-9)
+    for df, of, at in ((a, w, lambda x: (ids[0][x.row], x.col)), (b, h, lambda x: (x.row, ids[1][x.col]))):
+        got = np.full(of.shape, np.nan)
+        for x in df.collect():
+            got[at(x)] = x.value
+        np.testing.assert_allclose(got, of, rtol=1e-9, atol=1e-15)
+    none, _, moved = matrix.nmf(frame.where("false"), 2, 2)
+    assert none.count() == 0 and moved == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        matrix.nmf(frame, 0, 1)
