@@ -3,8 +3,8 @@
 Calls and results meet in a hash join on (conversation, call id): results are one row for each key then, so a
 partition's table is its share of them, however many calls a conversation has. Calls are put in a topological order of
 their dependencies: where all of a conversation's dependencies point to earlier calls, the order of the calls is one
-already; other conversations of up to ``GROUP`` calls and dependencies are ordered in one pass each, and longer ones in
-rounds that release the calls whose dependencies are placed. Arguments are validated against the schema of the called
+already; other conversations of up to ``GROUP`` calls and dependencies are ordered in one pass each. In longer ones chains
+of single dependencies are followed by doubling, and calls of several dependencies are released in rounds. Arguments are validated against the schema of the called
 name, compiled to column expressions over a parsed variant, and records are written with sorted keys and without
 spaces.
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, discard
 
 #: Schema of the calls that a plain conversation makes: a user's turn asks, the next turn answers.
 ASK = {
@@ -140,18 +140,59 @@ def levels(calls: DataFrame) -> DataFrame:
     kind = waiting.schema["conv_id"].dataType.simpleString()
     placed = placed.unionByName(short[0].cogroup(short[1]).applyInPandas(ordered, f"conv_id {kind}, call_id string, level int, cyclic boolean"))
     waiting, edges = (cut(rows.join(long, "conv_id", "left_semi"), "rounds") for rows in (waiting, edges))
-    level = 0
-    while not waiting.isEmpty():
-        ready = cut(waiting.join(edges, ["conv_id", "call_id"], "left_anti"), "ready")
-        stuck = ready.isEmpty()
-        now = waiting if stuck else ready
-        placed = placed.unionByName(now.select("conv_id", "call_id", F.lit(level).alias("level"), F.lit(stuck).alias("cyclic")))
-        if stuck:
+    return placed if waiting.isEmpty() else placed.unionByName(long_levels(waiting, edges))
+
+
+def jumped(pointers: DataFrame) -> DataFrame:
+    """conv_id, call_id, to, far, moving of calls that depend on one call each: the end of a call's chain and its distance.
+
+    Every pointer moves to where its target points, so a chain of n links takes about log2(n) rounds, in any order. A
+    pointer that still moves after as many rounds as the number of pointers has bits leads into a cycle.
+    """
+    rounds = pointers.count().bit_length() + 1
+    now = cut(pointers.withColumn("moving", F.lit(True)), "jumps")
+    for _ in range(rounds):
+        onward = now.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        step = (F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moving"))
+        new = cut(now.join(onward, ["conv_id", "to"], "left").select("conv_id", "call_id", *step), "jumps")
+        discard(now)
+        now = new
+        if now.where("moving").isEmpty():
             break
-        waiting = cut(waiting.join(ready, ["conv_id", "call_id"], "left_anti"), "waiting")
-        edges = cut(edges.join(ready.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_anti"), "edges")
-        level += 1
-    return placed
+    return now
+
+
+def long_levels(waiting: DataFrame, edges: DataFrame) -> DataFrame:
+    """The levels of conversations that no task orders as a whole.
+
+    Chains of calls that depend on one call each are followed to their ends at once (``jumped``). What is left are calls
+    of several dependencies, each a longest way from calls whose levels are known: a round for each such call on it.
+    """
+    key = ["conv_id", "call_id"]
+    counts = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("on").alias("to"))
+    chains = jumped(counts.where("n = 1").select(*key, "to", F.lit(1).cast("long").alias("far")))
+    ends = chains.select("conv_id", F.col("call_id").alias("on"), "to", "far")
+    arcs = edges.join(counts.where("n > 1").select(*key), key, "left_semi").join(ends, ["conv_id", "on"], "left")
+    arcs = arcs.select(*key, F.coalesce("to", "on").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("way"))
+    new = cut(waiting.join(edges, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")), "level")
+    known, kept = [new], None
+    while not new.isEmpty():
+        reached = new.select("conv_id", F.col("call_id").alias("to"), "level")
+        met = arcs.join(reached, ["conv_id", "to"], "left").select(
+            *key, F.when(F.col("level").isNull(), F.col("to")).alias("to"), (F.col("way") + F.coalesce("level", F.lit(0))).alias("way")
+        )
+        before, kept = kept, cut(met.groupBy(*key, "to").agg(F.max("way").alias("way")), "arcs")  # a null to: the longest way so far
+        if before is not None:
+            discard(before)
+        states = kept.groupBy(*key).agg(F.count("to").alias("open"), F.max("way").alias("level"))
+        new = cut(states.where("open = 0").select(*key, "level"), "level")
+        known.append(new)
+        arcs = kept.join(new, key, "left_anti")
+    ends = reduce(DataFrame.unionByName, known)
+    ways = chains.where("NOT moving").join(ends.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"])
+    every = ends.unionByName(ways.select(*key, (F.col("level") + F.col("far")).alias("level")))
+    found = waiting.join(every, key, "left")
+    return found.select(*key, F.coalesce("level", F.lit(0)).cast("int").alias("level"), F.col("level").isNull().alias("cyclic"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -304,3 +304,30 @@ def test_conversation_calls(spark):
     df = spark.createDataFrame([(1, 0, "system", "s", 1), (1, 1, "user", "q1", 1), (1, 2, "assistant", "a1", 1), (1, 3, "user", None, 1), (1, 4, "assistant", None, 1), (2, 0, "user", "x", 1), (2, 0, "user", "x", 1), (None, 0, "user", "x", 1), (3, 0, None, "x", 1)], "conv_id long, turn long, role string, text string, position int")
     got = sorted((r.conv_id, r.call_id, r.position, r.linked, r.valid) for r in chat_format.link_calls(*chat_format.conversation_calls(df), chat_format.ASK).collect())
     assert got == [(1, "t1", 0, True, True), (1, "t3", 1, True, False), (2, "t0", 0, False, True)]
+
+
+def longest(calls, edges):
+    """The level of every call by plain recursion over the order, and those in or behind a cycle."""
+    level, after = {}, {c: [b for a, b in edges if a == c] for c in calls}
+    while ready := [c for c in calls if c not in level and all(on in level for on in after[c])]:
+        level |= {c: max((level[on] + 1 for on in after[c]), default=0) for c in ready}
+    return {c: (level.get(c, 0), c not in level) for c in calls}
+
+
+def test_levels_of_long_conversations(spark):
+    """Chains in a random order, ladders, calls of many dependencies, cycles, and what hangs on them."""
+    rng = np.random.default_rng(5)
+    names = [f"n{i}" for i in rng.permutation(300)]
+    edges = {(names[i], names[i - 1]) for i in range(1, 120)}  # a chain
+    edges |= {(names[i], names[i - 1 - k]) for i in range(123, 129) for k in range(2)}  # a ladder behind a call of its own
+    edges |= {(names[140], names[i]) for i in (0, 60, 119, 128)} | {(names[i], names[i - 1]) for i in range(141, 170)}
+    edges |= {(names[171], names[170]), (names[170], names[171]), (names[172], names[171]), (names[173], names[172]), (names[174], names[174])}
+    edges |= {(names[175], names[173]), (names[175], names[0]), (names[176], names[175])}  # behind a cycle
+    edges |= {(names[i], names[int(j)]) for i in range(200, 240) for j in rng.integers(180, i, 2)}
+    want = {(conv, c): v for conv in (1, 2) for c, v in longest(names, edges).items()}
+    calls = spark.createDataFrame([(conv, c) for conv in (1, 2) for c in names], "conv_id long, call_id string")
+    links = spark.createDataFrame([(conv, *e) for conv in (1, 2) for e in sorted(edges)], "conv_id long, call_id string, on string")
+    got = chat_format.long_levels(calls, links).collect()
+    assert len(got) == len(want) and {(r.conv_id, r.call_id): (r.level, r.cyclic) for r in got} == want
+    none = chat_format.long_levels(calls, links.where("false")).collect()
+    assert {(r.level, r.cyclic) for r in none} == {(0, False)} and len(none) == len(want)
