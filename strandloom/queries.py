@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions import digests
 from strandloom.functions import kmers as km
 from strandloom.functions import stats as fs
 from strandloom.functions import strings as st
@@ -543,6 +544,26 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.multiply(matrix.transpose(m), m)
 
 
+M32 = "4294967295::UBIGINT"
+#: The words of a priority, then an order's key in two and its customer's in one, mixed one after the other.
+SQL_MURMUR3 = f"""WITH t AS (SELECT o_orderkey, o_custkey, hex(o_orderpriority) AS x, length(o_orderpriority) AS n FROM orders WHERE o_orderpriority IS NOT NULL AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL),
+    w AS (SELECT o_orderkey, list_transform([0, n] || list_transform(range(0, n // 4 + 1), lambda i: CASE WHEN 4 * i = n THEN 0 ELSE ('0x' || substr(x, 8 * i + 1, 8))::BIGINT END)
+        || [o_orderkey >> 32, o_orderkey & 4294967295, o_custkey & 4294967295], lambda k: k::UBIGINT) AS words FROM t),
+    a AS (SELECT o_orderkey, len(words) AS n, list_transform(words, lambda k: (k * 3432918353::UBIGINT) & {M32}) AS k FROM w),
+    b AS (SELECT o_orderkey, n, list_transform(k, lambda k: ((((k << 15) & {M32}) | (k >> 17)) * 461845907::UBIGINT) & {M32}) AS k FROM a),
+    h AS (SELECT o_orderkey, n, list_reduce([7::UBIGINT] || k, lambda h, k: (((((xor(h, k) << 13) & {M32}) | (xor(h, k) >> 19)) * 5 + 3864292196::UBIGINT) & {M32})::UBIGINT) AS h FROM b),
+    r AS (SELECT o_orderkey, xor(h, (4 * n)::UBIGINT) AS r FROM h), r1 AS (SELECT o_orderkey, (xor(r, r >> 16) * 2246822507::UBIGINT) & {M32} AS r FROM r),
+    r2 AS (SELECT o_orderkey, (xor(r, r >> 13) * 3266489909::UBIGINT) & {M32} AS r FROM r1)
+    SELECT o_orderkey, xor(r, r >> 16)::BIGINT AS digest FROM r2"""
+
+
+@query(SQL_MURMUR3)
+def order_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").where("o_orderpriority IS NOT NULL AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL")
+    state = digests.with_text(digests.start(7), F.col("o_orderpriority"))
+    return rows.select("o_orderkey", digests.digest(digests.with_int(digests.with_long(state, F.col("o_orderkey")), F.col("o_custkey"))).alias("digest"))
+
+
 def sql_nmf(iterations: int) -> str:
     """Updates of rank 2, each after the other, from factors w0 and h0 over the cells m(r, c, v)."""
     out = []
