@@ -6,6 +6,7 @@ else is no base), order lines for allele observations and intervals, and so on.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +16,10 @@ from strandloom.functions import digests
 from strandloom.functions import kmers as km
 from strandloom.functions import stats as fs
 from strandloom.functions import strings as st
-from strandloom.operators import intervals, kmers, matrix, pileup, stats, table
+from strandloom.operators import intervals, kmers, matrix, pileup, stats, stored_sets, table
 from strandloom.plans import ase, bait_scan, depletion, divergence, kmer_bias
 from strandloom.sources import fasta
-from strandloom.sources.shared import cut
+from strandloom.sources.shared import cut, shared_folder
 
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 MARKED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -544,6 +545,21 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.multiply(matrix.transpose(m), m)
 
 
+@query(f"""WITH every AS (SELECT 'd' AS source, text FROM documents UNION ALL SELECT 'b', text FROM benchmark), {sql_kmers("every", "source", 8)}
+    SELECT least(kmer, {RC}) AS kmer, count(*) AS n, count(*) FILTER (source = 'b') AS of_benchmark FROM kmers GROUP BY 1 HAVING of_benchmark > 0""")
+def stored_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored set to which documents and then the benchmark are added, joined after its merge with a stored set of the benchmark."""
+    path = f"{shared_folder(spark)}/strandloom/sets-{uuid.uuid4().hex}"
+    both, one = (stored_sets.StoredSet(spark, f"{path}/{name}", buckets=8) for name in ("both", "one"))
+    found = {t: kmers.spectrum(read(spark, sf_dir, t).select(bases("text").alias("seq")), "seq", 8) for t in ("documents", "benchmark")}
+    both.add(found["documents"])
+    both.add(found["benchmark"])
+    both.merge()
+    one.add(found["benchmark"])
+    joined = both.read().join(one.read().withColumnRenamed("n", "of_benchmark"), "kmer")
+    return joined.select(km.decode(F.col("kmer"), 8).alias("kmer"), "n", "of_benchmark")
+
+
 M32 = "4294967295::UBIGINT"
 #: The words of a priority, then an order's key in two and its customer's in one, mixed one after the other.
 SQL_MURMUR3 = f"""WITH t AS (SELECT o_orderkey, o_custkey, hex(o_orderpriority) AS x, length(o_orderpriority) AS n FROM orders WHERE o_orderpriority IS NOT NULL AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL),
