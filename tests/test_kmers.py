@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +170,36 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
 
 def km_text(code):
     return "".join("ACGT"[code >> 2 * i & 3] for i in (2, 1, 0))
+
+
+def test_counted_kmers_equal_counts_of_rows(spark):
+    """Whole sequences with whatever letters, by key and place, for codes that fill a table and for those that do not."""
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), "".join(r.choices("ACGTacgtNé€", k=r.choice([0, 2, 3, 40])))) for _ in range(200)] + [("a", None), ("b", "")]
+    df = spark.createDataFrame(rows, "name string, seq string").repartition(3)
+    for k in (2, 3, 31):
+        want = kmers.kmers(df, "seq", k, positions=True, both_strands=True).groupBy("name", "pos", "kmer", "rc").count()
+        got = kmers.counted(df, "seq", k)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.select("name", "pos", "kmer", "rc", "count").collect())))
+
+
+def test_counted_kmers_of_consecutive_reads(monkeypatch):
+    """Texts are cut into reads after what is no letter is left out, and a batch gives a row for each cell, at any size of slices."""
+    texts = ["ab-cd éa b c d abcd" * 9, "", None, "--", "abc"]
+    table = kmers.letter_codes("abcd", "ACGT")
+    bare = ["".join(c for c in t or "" if c in "abcd") for t in texts]
+    want = Counter()
+    for at, text in enumerate(bare):
+        for i in range(0, len(text), 5):
+            read = text[i : i + 5]
+            want.update((at % 2, i // 5 % 2 == 1, p, sum("abcd".index(c) * 4 ** (2 - j) for j, c in enumerate(read[p : p + 3]))) for p in range(len(read) - 2))
+    group = np.arange(len(texts)) % 2
+    for windows, cells in ((1 << 20, 1 << 22), (7, 1 << 22), (7, 0)):
+        monkeypatch.setattr(kmers, "WINDOWS", windows)
+        monkeypatch.setattr(kmers, "CELLS", cells)
+        got, slices = Counter(), 0
+        for columns in kmers._tallies(pa.array(texts), group, 2, 3, 5, table):
+            slices += 1
+            for *cell, n in zip(*(c.tolist() for c in columns), strict=True):
+                got[tuple(cell)] += n
+        assert got == want and (slices == 1) == (windows > 7)
