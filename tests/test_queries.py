@@ -116,3 +116,9 @@ def test_entry_hides_no_missing_library(monkeypatch):
 def test_archive_holds_the_library():
     with zipfile.ZipFile(__spark_entry__.archive()) as held:
         assert {"strandloom/__init__.py", "strandloom/operators/kmers.py"} <= set(held.namelist())
+
+
+def test_genotypes_are_parsed_once_and_after_rows_are_dealt_out(spark, tiny):
+    """No filter that Spark infers parses the lines too, in the one task of a small table."""
+    plan = library.queries()["vcf_genotypes"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and not [x for x in plan.splitlines() if "Filter" in x and "map_from_arrays" in x]
