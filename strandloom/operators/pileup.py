@@ -11,8 +11,21 @@ from strandloom.operators.cigar import UNMAPPED, counted
 
 def pileup(alignments: DataFrame, mapq_of_unmapped: int = 55) -> DataFrame:
     """Symbols of all reads but those that are unmapped and of low mapping quality too."""
-    kept = alignments.where(~((F.col("flag").bitwiseAND(F.lit(UNMAPPED)) != 0) & (F.col("mapq") < mapq_of_unmapped)))
-    return counted(kept, "pileup", ["sample", "chrom"]).withColumnRenamed("allele", "symbol")
+    return counted(kept(alignments, mapq_of_unmapped), "pileup", ["sample", "chrom"]).withColumnRenamed("allele", "symbol")
+
+
+def kept(alignments: DataFrame, mapq_of_unmapped: int = 55) -> DataFrame:
+    return alignments.where(~((F.col("flag").bitwiseAND(F.lit(UNMAPPED)) != 0) & (F.col("mapq") < mapq_of_unmapped)))
+
+
+def indel_symbols(alignments: DataFrame, mapq_of_unmapped: int = 55) -> DataFrame:
+    """The symbols of ``pileup`` that are insertions or deletions; bases are never made."""
+    return counted(kept(alignments, mapq_of_unmapped), "indels", ["sample", "chrom"]).withColumnRenamed("allele", "symbol")
+
+
+def places(alignments: DataFrame, mapq_of_unmapped: int = 55) -> DataFrame:
+    """chrom, pos of ``pileup``, each once; symbols and samples are never told apart."""
+    return counted(kept(alignments, mapq_of_unmapped), "places", ["chrom"]).select("chrom", "pos")
 
 
 def pooled(symbols: DataFrame) -> DataFrame:

@@ -191,3 +191,15 @@ def test_distributions_as_json(spark):
     for r in shares.collect():
         assert docs[r["sample"]][r.read][r.strand][r.pos][r.kmer] == pytest.approx(r.p)
     assert sum(docs["s"]["read1"]["fwd"][0]) == pytest.approx(1)
+
+
+def test_parts_of_a_pileup_equal_the_whole(spark):
+    """Indels and places that are made alone, without the bases, are those of the whole pileup; sites are chosen before the sum."""
+    rows = [("s", 2, "c", 5, 60, "3M2I1M2D2M", "ACGTTUNA"), ("s", 2, "c", 6, 60, "1S4M", "ACGTA"), ("t", 4, "c", 7, 10, "4M", "ACGT"), ("t", 2, "d", 5, 60, "2M1N2I1D", "AC"), ("t", 2, "d", None, 60, "2M", "AC"), ("t", 2, "d", 3, 60, "2M1I", None)]
+    reads = spark.createDataFrame(rows, "sample string, flag int, chrom string, pos0 long, mapq int, cigar string, seq string")
+    whole = pileup.pileup(reads)
+    indels = [tuple(r) for r in whole.where("symbol rlike '^[+-]'").collect()]
+    assert len(indels) == 3 + 1 and sorted(indels) == sorted(tuple(r) for r in pileup.indel_symbols(reads).where("symbol is not null").collect())
+    assert sorted(whole.select("chrom", "pos").distinct().collect()) == sorted(pileup.places(reads).collect())
+    plan = ase.allele_counts(reads, spark.createDataFrame([("c", 7), ("c", 7), ("d", 99)], "chrom string, pos long"))
+    assert [(r.chrom, r.pos, r.allele, r.n) for r in plan.collect()] == [("c", 7, "C", 2)]
