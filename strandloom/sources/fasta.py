@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.strings import WHITE, first_word, trimmed, words
 
+#: Chunks and bases that share a batch, at most (a longer chunk is one of its own).
+BATCH_ROWS, BATCH_BASES = 8192, 1 << 22
+
 
 def parse_fasta(records: DataFrame, value: str = "value") -> DataFrame:
     """name (first word of the header), header (without >), seq (lines joined) of texts that each hold one record.
@@ -61,11 +64,22 @@ def chunks(records: DataFrame, size: int = 1 << 20, overlap: int = 63) -> DataFr
     start + size belong to it.
     """
 
+    def out(held: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["name", "chunk", "start", "seq"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0  # small chunks share a batch
         for batch in batches:
             for name, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, at in enumerate(range(0, len(seq or ""), size)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([at], pa.int64()), pa.array([seq[at : at + size + overlap]])], names=["name", "chunk", "start", "seq"])
+                    held.append((name, i, at, seq[at : at + size + overlap]))
+                    total += len(held[-1][3])
+                    if len(held) == BATCH_ROWS or total >= BATCH_BASES:
+                        yield out(held)
+                        held, total = [], 0
+        if held:
+            yield out(held)
 
     return records.select("name", "seq").mapInArrow(run, "name string, chunk long, start long, seq string")
 

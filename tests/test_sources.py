@@ -295,3 +295,13 @@ def test_json_and_matrix(spark, tmp_path):
     models = spark.createDataFrame([("AAAAAA", 5, 1.5, 2.5)], "context string, N long, k double, theta double")
     path = put(tmp_path / "g.json", sinks.gamma_json(models).first().value)
     assert [tuple(r) for r in text_tables.read_gamma(spark, path).collect()] == [("AAAAAA", 5, 1.5, 2.5)]
+
+
+def test_small_chunks_share_batches(spark, monkeypatch):
+    """The kernel gives out a batch for many chunks, and the chunks are those of the sequence."""
+    seen = []
+    df = spark.createDataFrame([("a", "ACGT" * 50), ("b", None), ("c", "AC")], "name string, seq string").coalesce(1)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: seen.extend(run(self.toArrow().to_batches())))
+    fasta.chunks(df, 10, 3)
+    rows = [r for b in seen for r in b.to_pylist()]
+    assert len(seen) == 1 and len(rows) == 21 and rows[1] == {"name": "a", "chunk": 1, "start": 10, "seq": ("ACGT" * 50)[10:23]}
