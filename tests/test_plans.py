@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +205,34 @@ def test_parts_of_a_pileup_equal_the_whole(spark):
     assert sorted(whole.select("chrom", "pos").distinct().collect()) == sorted(pileup.places(reads).collect())
     plan = ase.allele_counts(reads, spark.createDataFrame([("c", 7), ("c", 7), ("d", 99)], "chrom string, pos long"))
     assert [(r.chrom, r.pos, r.allele, r.n) for r in plan.collect()] == [("c", 7, "C", 2)]
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 20])
+def test_stretches_merge_in_any_slices(monkeypatch, most):
+    """Counts of stretches that come in many rows and batches, one stretch in most of them, are those of all rows together."""
+    monkeypatch.setattr(cigar, "SHOWN", most)
+    r = random.Random(most)
+    texts, rows = ["+A", "-12", "T", ""], []
+    for _ in range(60):
+        places = sorted((r.choice([-3, 5, 6, 7, 5_000_000_000]), r.choice([65, 84, 256, 257, 258, 259, 260])) for _ in range(r.randint(1, 9)))
+        rows.append((r.choice([None, "a", "b"]), places))
+    whole, parts = Counter(), []
+    for key, shown in rows:
+        group, places, names, n = cigar._summed(np.zeros(len(shown), np.int64), *(np.array(x, np.int64) for x in zip(*shown, strict=True)), cigar.ABSENT + 1 + len(texts))
+        parts.append(pa.RecordBatch.from_arrays(cigar.packed([pa.array([key], pa.string())], group, places, names, n, pa.array(texts)), names=["k", "b", "e", "t"]))
+        whole.update((key, p, None if c == 256 else chr(c) if c < 256 else texts[c - 257]) for p, c in shown)  # one letter as a text too
+    table = pa.Table.from_batches(parts).sort_by([("k", "ascending"), ("b", "ascending")])
+    batches = table.combine_chunks().to_batches(max_chunksize=7)
+    got = [x for b in cigar._merged(batches, 1, ["k", "pos", "allele", "n"]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert {x[:3]: x[3] for x in got} == whole and len(got) == len(whole)
+
+
+def test_counts_are_shuffled_by_stretch(spark):
+    """Two hundred reads of one stretch are a row for each task of the shuffle, not one for each base that is shown."""
+    rows = [("s", 2, "c", 5 + i % 100, 60, "3M2I1M2D2M", "ACGTTUNA") for i in range(200)]
+    reads = spark.createDataFrame(rows, "sample string, flag int, chrom string, pos0 long, mapq int, cigar string, seq string").coalesce(1)
+    piled = pileup.pileup(reads)
+    assert piled.agg(F.sum("n")).first()[0] == 200 * 8
+    plan = piled._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "_entries" in plan
+    assert [r.n for r in piled.where("pos = 8 and symbol like '+%'").collect()] == [2]

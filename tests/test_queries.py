@@ -122,3 +122,10 @@ def test_genotypes_are_parsed_once_and_after_rows_are_dealt_out(spark, tiny):
     """No filter that Spark infers parses the lines too, in the one task of a small table."""
     plan = library.queries()["vcf_genotypes"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan and not [x for x in plan.splitlines() if "Filter" in x and "map_from_arrays" in x]
+
+
+@pytest.mark.parametrize("name", ["sam_pileup", "sam_depth", "pileup_indels"])
+def test_sam_lines_are_split_once_and_after_rows_are_dealt_out(spark, tiny, name):
+    """No filter of parsed fields splits the lines too, in the one task of a small table."""
+    plan = library.queries()[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and not [x for x in plan.splitlines() if "Filter" in x and ("split(" in x or "concat_ws" in x)]
