@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +306,42 @@ def test_small_chunks_share_batches(spark, monkeypatch):
     fasta.chunks(df, 10, 3)
     rows = [r for b in seen for r in b.to_pylist()]
     assert len(seen) == 1 and len(rows) == 21 and rows[1] == {"name": "a", "chunk": 1, "start": 10, "seq": ("ACGT" * 50)[10:23]}
+
+
+def plain_record(number, qname, flag, chrom, pos, mapq, ops, seq, qual):
+    """One record of a BAM file, field by field."""
+    name, seq, code = (qname or "*").encode() + b"\0", seq or "", lambda c: bam.LETTERS.index(c) if c in bam.LETTERS else 15
+    half = [code(c.upper()) for c in seq] + [0] * (len(seq) % 2)
+    fixed = struct.pack("<iiBBHHHiiii", -1 if chrom is None else number[chrom], -1 if pos is None else pos, len(name), mapq, 0, len(ops or []), flag, len(seq), -1, -1, 0)
+    body = fixed + name + b"".join(struct.pack("<I", n << 4 | bam.OPERATIONS.index(o)) for o, n in ops or []) + bytes(a << 4 | b for a, b in zip(half[::2], half[1::2], strict=True))
+    body += b"\xff" * len(seq) if qual is None else qual
+    return struct.pack("<i", len(body)) + body
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 24])
+def test_bam_records_are_packed_by_column(monkeypatch, most):
+    """Columns of a batch become the records that each row gives by itself, from arrays or texts of CIGARs, in pieces of any size."""
+    monkeypatch.setattr(bam, "BATCH_BYTES", most)
+    r, number = random.Random(most), {"c1": 0, "é2": 1}
+    rows = []
+    for i in range(60):
+        seq = r.choice([None, "", "".join(r.choice("ACGTUNacgtn=é") for _ in range(r.randint(1, 9)))])
+        ops = [(r.choice(bam.OPERATIONS), r.choice([0, 1, 70, (1 << 28) - 1])) for _ in range(r.randint(0, 5))]
+        rows.append((r.choice([None, "", "r", f"ré{i}"]), r.choice([0, 2, 65535]), r.choice([None, *number]), r.choice([None, -1, 0, i, 1 << 30]), r.choice([0, 60, 255]), ops if i % 7 else None, seq, r.choice([None, bytes(range(len(seq or "")))])))
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())])), pa.string(), pa.binary())
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    columns[5] = [None if ops is None else [{"op": o, "len": n} for o, n in ops] for ops in columns[5]]
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    texts = [*arrays[:5], pa.array([None if x is None else "".join(f"{n}{o}" for o, n in x) or "*" for x in (row[5] for row in rows)], pa.string()), *arrays[6:]]
+    names = [str(i) for i in range(8)]
+    whole = b"".join(plain_record(number, *x) for x in rows)
+    for made in (arrays, texts):
+        batch = pa.RecordBatch.from_arrays(made, names=names)
+        assert b"".join(bam.encode(batch, number)) == whole
+        assert b"".join(bam.encode(batch.slice(50), number)) == b"".join(plain_record(number, *x) for x in rows[50:])
+    assert b"".join(bam.encode(batch.slice(60), number)) == b""
+    good = dict(zip(names, (["r"], [0], ["c1"], [1], [0], ["1M"], ["A"], [None]), strict=True))
+    for field, bad in (("1", [1 << 16]), ("1", [None]), ("2", ["c9"]), ("3", [1 << 31]), ("4", [256]), ("5", ["268435456M"]), ("0", ["r" * 255])):
+        batch = pa.RecordBatch.from_arrays([pa.array((good | {field: bad})[n], t.type) for n, t in zip(names, texts, strict=True)], names=names)
+        with pytest.raises(ValueError):
+            list(bam.encode(batch, number))
